@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from ..operators import normalise_times
+from ..operators import normalise_times, rejects, schema_drift
 
 _RECORD_QUERIES = {
     "p2_found": normalise_times.p2_found,
     "p2_times": normalise_times.p2_times,
+    "p5_found": rejects.p5_found,
+    "p5_loaded": rejects.p5_loaded,
+    "p6_found": schema_drift.p6_found,
+    "p6_unified": schema_drift.p6_unified,
 }
 
 
