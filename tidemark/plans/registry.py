@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from ..operators import normalise_times, rejects, schema_drift
+from ..operators import log_entries, normalise_times, rejects, schema_drift
 
 _RECORD_QUERIES = {
+    "p1_found": log_entries.p1_found,
+    "p1_entries": log_entries.p1_entries,
     "p2_found": normalise_times.p2_found,
     "p2_times": normalise_times.p2_times,
     "p5_found": rejects.p5_found,
@@ -15,7 +17,7 @@ _RECORD_QUERIES = {
 
 
 def entry(spark, sf_dir):
-    return normalise_times.p2_found(spark, sf_dir)
+    return log_entries.p1_found(spark, sf_dir)
 
 
 def queries():
