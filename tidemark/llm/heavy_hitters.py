@@ -33,10 +33,11 @@ _PARTIAL = "label string, hash long, n long"
 
 def _pre_aggregate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: pa.Table | None = None
+    kind = pa.schema([("label", pa.string()), ("hash", pa.int64()), ("n", pa.int64())])
     for batch in batches:
-        t = pa.Table.from_batches([batch])
+        t = pa.Table.from_arrays(batch.columns, schema=kind)
         t = pa.concat_tables([held, t]) if held is not None else t
-        held = t.group_by(["label", "hash"], use_threads=False).aggregate([("n", "sum")]).rename_columns(["label", "hash", "n"])
+        held = t.group_by(["label", "hash"], use_threads=False).aggregate([("n", "sum")]).rename_columns(["label", "hash", "n"]).cast(kind)
         if len(held) > FLUSH:
             yield from held.combine_chunks().to_batches()
             held = None

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from . import heavy_hitters, tokenise
+from . import garbled, heavy_hitters, mixture, quality, tokenise
 
 _QUERIES = {
+    "p3_found": garbled.p3_found,
+    "p3_restored": garbled.p3_restored,
     "p4_found": heavy_hitters.p4_found,
     "p4_top": heavy_hitters.p4_top,
     "p7_ids": tokenise.p7_ids,
+    "p8_mix": mixture.p8_mix,
+    "p8_shares": mixture.p8_shares,
+    "p9_found": quality.p9_found,
+    "p9_statistics": quality.p9_statistics,
 }
 
 
