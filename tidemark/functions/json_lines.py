@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from .text import clipped
 
 _STRICT = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
-LEVEL_KEYS = ["level", "severity", "lvl", "log_level", "loglevel"]
-MESSAGE_KEYS = ["message", "msg", "text", "event"]
-TIME_KEYS = ["timestamp", "ts", "time", "datetime", "@timestamp", "date"]
+# The field names that hold level, message and time, by priority.
+LEVEL_KEYS = ["level", "severity", "lvl", "loglevel"]
+MESSAGE_KEYS = ["msg", "message", "text", "error", "event"]
+TIME_KEYS = ["timestamp", "time", "ts", "@timestamp", "datetime", "date"]
 
 
 def is_object(text: Column) -> Column:

@@ -258,9 +258,14 @@ def view(lines: DataFrame, which: str, found: DataFrame | None = None, marks: Da
     return lines.join(chosen.select("file", "line").distinct(), ["file", "line"], "left_semi")
 
 
-def ranked(lines: DataFrame) -> DataFrame:
-    """Lines with ``row``, their 1-based rank among the lines of their file."""
-    return lines.withColumn("row", F.row_number().over(Window.partitionBy("file").orderBy("line")).cast("long"))
+def ranked(lines: DataFrame, block: int = 1 << 20) -> DataFrame:
+    """Lines with ``row``, their 1-based rank among the lines of their file: ranks within blocks of line numbers plus the
+    number of lines in earlier blocks, so that no file is sorted in one task."""
+    blocked = lines.withColumn("__b", F.floor(F.col("line") / block).cast("long"))
+    sizes = blocked.groupBy("file", "__b").agg(F.count("*").alias("__n"))
+    before = sizes.withColumn("__o", F.coalesce(F.sum("__n").over(Window.partitionBy("file").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__n")
+    here = F.row_number().over(Window.partitionBy("file", "__b").orderBy("line"))
+    return blocked.withColumn("row", here.cast("long")).join(before, ["file", "__b"]).withColumn("row", F.col("row") + F.col("__o")).drop("__b", "__o")
 
 
 def merge_ranges(ranges: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import log_queries
 from ..operators import log_entries, normalise_times, rejects, schema_drift
 
 _RECORD_QUERIES = {
@@ -21,8 +22,8 @@ def entry(spark, sf_dir):
 
 
 def queries():
-    return dict(_RECORD_QUERIES)
+    return _RECORD_QUERIES | log_queries.QUERIES
 
 
 def oracle_sql():
-    return {}
+    return dict(log_queries.SQL)
