@@ -65,8 +65,9 @@ def plan(sizes: dict[str, int], weights: list[tuple[str, float, int]], total_tok
 
 def sized(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
     """``doc_id, source, n_tokens`` of documents with a source and at least one token."""
-    d = docs.select("doc_id", "source", "text").where("source is not null and text is not null and text <> ''").dropDuplicates(["doc_id"])
-    return token_ids(d, keep=["doc_id", "source"], path=path, counts_only=True).where("n_tokens > 0")
+    d = docs.select("doc_id", "source", "text").where("source is not null and text is not null and text <> ''")
+    # repeated rows go after the texts are counted: only ids and numbers are shuffled
+    return token_ids(d, keep=["doc_id", "source"], path=path, counts_only=True).where("n_tokens > 0").dropDuplicates(["doc_id"])
 
 
 def mixture(docs: DataFrame, weights: DataFrame, total_tokens: int | None = None, seed: int = SEED, path: str = VOCABULARY) -> DataFrame:
