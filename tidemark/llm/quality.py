@@ -87,46 +87,94 @@ class Line:
     COUNTS = ("chars", "words", "common", "plain", "letters", "digits", "signs", "spaces", "kana", "wide", "tabs", "word_chars", "stops")
 
 
+#: word -> (common, plain, stop); emptied when it has grown, so its memory is bounded
+_SEEN_WORDS: dict[str, tuple[bool, bool, bool]] = {}
+_DIGITS, _LETTERS, _SPACES = b"0123456789", bytes(range(65, 91)) + bytes(range(97, 123)), b" \t\x0b\x0c\r\n\x1c\x1d\x1e\x1f"
+_ASCII = re.compile(r"[\x00-\x7f]+")
+
+
+def _kind(w: str) -> tuple[bool, bool, bool]:
+    got = _SEEN_WORDS.get(w)
+    if got is None:
+        bare = w.strip(_EDGE).lower()
+        got = bare in _COMMON, bool(bare) and bare.replace("-", "").replace("'", "").replace("\u2019", "").isalpha(), w[-1] in ".!?\u2026"
+        if len(w) <= 64:
+            if len(_SEEN_WORDS) > 200_000:
+                _SEEN_WORDS.clear()
+            _SEEN_WORDS[w] = got
+    return got
+
+
+def _count_words(line: Line, words: list[str]) -> None:
+    common = plain = stops = chars = 0
+    for w in words:
+        c, p, s = _kind(w)
+        common, plain, stops, chars = common + c, plain + p, stops + s, chars + len(w)
+    line.words += len(words)
+    line.common += common
+    line.plain += plain
+    line.stops += stops
+    line.word_chars += chars
+
+
 def _word(line: Line, w: str) -> None:
-    if not w:
-        return
-    bare = w.strip(_EDGE).lower()
-    line.words += 1
-    line.word_chars += len(w)
-    line.stops += w[-1] in ".!?…"
-    line.common += bare in _COMMON
-    line.plain += bool(bare) and bare.replace("-", "").replace("'", "").replace("’", "").isalpha()
+    if w:
+        _count_words(line, [w])
+
+
+def _signs(text: str) -> Line:
+    """Counts of characters. ASCII is counted by translation; only other characters are looked at one by one."""
+    p = Line(chars=len(text), start=text[:64])
+    stripped = text.rstrip()
+    p.last = stripped[-1:]
+    b = text.encode("ascii", "ignore")
+    n = len(b)
+    p.letters = n - len(b.translate(None, _LETTERS))
+    p.digits = n - len(b.translate(None, _DIGITS))
+    p.spaces = n - len(b.translate(None, _SPACES))
+    p.tabs = b.count(b"\t")
+    p.signs = n - p.letters - p.digits - p.spaces
+    if n < len(text):
+        for c in _ASCII.sub("", text):
+            if c.isalpha():
+                p.letters += 1
+                o = ord(c)
+                if o >= 0x3040:
+                    p.kana += 0x3040 <= o <= 0x30FF
+                    p.wide += unicodedata.east_asian_width(c) in "WF"
+            elif c.isdigit():
+                p.digits += 1
+            elif c.isspace():
+                p.spaces += 1
+            else:
+                p.signs += 1
+    return p
 
 
 def part(text: str) -> Line:
     """Counts of a piece of a line; the words that touch its ends stay open."""
-    p = Line(chars=len(text))
     if not text:
-        return p
-    p.start = text[:64]
-    stripped = text.rstrip()
-    p.last = stripped[-1:] if stripped else ""
-    for c in text:
-        if c.isalpha():
-            p.letters += 1
-            o = ord(c)
-            if o >= 0x3040:
-                p.kana += 0x3040 <= o <= 0x30FF
-                p.wide += unicodedata.east_asian_width(c) in "WF"
-        elif c.isdigit():
-            p.digits += 1
-        elif c.isspace():
-            p.spaces += 1
-            p.tabs += c == "\t"
-        else:
-            p.signs += 1
-    words = re.split(r"\s+", text)
+        return Line()
+    p = _signs(text)
+    words = text.split()
+    if text[0].isspace():
+        words.insert(0, "")
+    if text[-1].isspace():
+        words.append("")
     if len(words) == 1:
-        p.head = text
+        p.head = words[0]
     else:
         p.split, p.head, p.tail = True, words[0], words[-1]
-        for w in words[1:-1]:
-            _word(p, w)
+        _count_words(p, words[1:-1])
+    return p
+
+
+def whole_line(text: str) -> Line:
+    """closed(part(text)) in one step."""
+    if not text:
+        return Line()
+    p = _signs(text)
+    _count_words(p, text.split())
     return p
 
 
@@ -157,19 +205,20 @@ def closed(p: Line) -> Line:
     return out
 
 
-def running(p: Line) -> bool:
+def running(p: Line, listed: bool | None = None) -> bool:
     """Whether a whole line is running text."""
     solid = p.chars - p.spaces
+    listed = bool(_BULLET.match(p.start)) if listed is None else listed
     if not solid:
         return False
     if p.kana >= 0.15 * solid and p.letters >= 0.6 * solid or p.wide >= 0.5 * solid and p.signs + p.digits <= 0.3 * solid and p.wide >= 8:
         return True
     if _STRUCTURE.match(p.start) or p.tabs >= 2 or p.digits > 0.25 * solid or p.signs > 0.25 * solid:
         return False
-    need = MIN_WORDS + 3 if _BULLET.match(p.start) else MIN_WORDS
+    need = MIN_WORDS + 3 if listed else MIN_WORDS
     if p.words < need:
         # the end of a wrapped sentence
-        return p.last in _ENDS and p.words >= 1 and p.plain == p.words and not _BULLET.match(p.start)
+        return p.last in _ENDS and p.words >= 1 and p.plain == p.words and not listed
     return p.plain >= MIN_PLAIN * p.words and (p.common >= MIN_COMMON * p.words or p.common >= 1 and p.stops >= 1)
 
 
@@ -192,22 +241,18 @@ SUMS = ["lines", "chars", "solid", "words", "word_chars", "common", "plain", "le
 _SHORT = 400
 
 
-def _finish(s: State, p: Line, text: str) -> None:
-    w = closed(p)
+def _finish(s: State, w: Line, text: str) -> None:
+    """Add a whole line (closed) and, if it is short, its text for repeats."""
+    sums = s.sums
     solid = w.chars - w.spaces
     if not solid:
-        s.sums["blank"] = s.sums.get("blank", 0) + 1
         return
-    run = running(w)
-    for k, v in (
-        ("lines", 1), ("chars", w.chars), ("solid", solid), ("words", w.words), ("word_chars", w.word_chars), ("common", w.common), ("plain", w.plain),
-        ("letters", w.letters), ("digits", w.digits), ("signs", w.signs), ("ended", int(w.last in _ENDS)), ("listed", int(bool(_BULLET.match(w.start)))),
-        ("running", solid if run else 0), ("running_lines", int(run)),
-    ):
-        s.sums[k] = s.sums.get(k, 0) + v
+    listed = bool(_BULLET.match(w.start))
+    run = running(w, listed)
+    for k, v in zip(SUMS, (1, w.chars, solid, w.words, w.word_chars, w.common, w.plain, w.letters, w.digits, w.signs, int(w.last in _ENDS), solid if run else 0, int(run), int(listed))):
+        sums[k] = sums.get(k, 0) + v
     if run and w.chars <= _SHORT:
-        h = hash_text(text.strip())
-        n = s.seen.setdefault(h, [0, solid])
+        n = s.seen.setdefault(hash_text(text.strip()), [0, solid])
         n[0] += 1
 
 
@@ -228,7 +273,7 @@ def state(text: str) -> State:
     s.broken = True
     s.first, s.text_first = part(pieces[0]), pieces[0][: _SHORT + 1]
     for x in pieces[1:-1]:
-        _finish(s, part(x), x)
+        _finish(s, whole_line(x), x)
     s.last, s.text_last = part(pieces[-1]), pieces[-1][: _SHORT + 1]
     return s
 
@@ -253,16 +298,16 @@ def merged(a: State, b: State) -> State:
         s.first, s.text_first = a.first, a.text_first
         s.last, s.text_last = b.last, b.text_last
         # a line end that a cut halves gives an empty line, which counts nothing
-        _finish(s, joined(a.last, b.first), both(a.text_last, b.text_first))
+        _finish(s, closed(joined(a.last, b.first)), both(a.text_last, b.text_first))
     return s
 
 
 def totals(s: State) -> dict[str, int]:
     """Counts of a whole document."""
     end = State(sums=dict(s.sums), seen={k: list(v) for k, v in s.seen.items()})
-    _finish(end, s.first, s.text_first)
+    _finish(end, closed(s.first), s.text_first)
     if s.broken:
-        _finish(end, s.last, s.text_last)
+        _finish(end, closed(s.last), s.text_last)
     out = {k: end.sums.get(k, 0) for k in SUMS}
     # boilerplate: of a repeated line only the first few count as running text
     out["repeated"] = sum((n - REPEATS) * solid for n, solid in end.seen.values() if n > REPEATS)
