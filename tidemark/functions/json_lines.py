@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .instants import bind
 from .text import clipped
 
 _STRICT = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
@@ -24,29 +25,39 @@ def is_object(text: Column) -> Column:
 
 def json_fields(text: Column) -> Column:
     """Non-null top-level fields as text (objects and arrays as compact JSON), or null if the line is no object or has none."""
-    m = F.from_json(F.trim(text), "map<string,string>", _STRICT)
-    kept = F.map_filter(m, lambda _, v: v.isNotNull())
-    return F.when(is_object(text), F.when(F.size(kept) > 0, kept))
+    m = F.map_filter(F.from_json(F.trim(text), "map<string,string>", _STRICT), lambda _, v: v.isNotNull())
+    return F.when(is_object(text), bind(m, lambda kept: F.when(F.size(kept) > 0, kept)))
 
 
 def pick(fields: Column, keys: list[str]) -> Column:
     """Value of the first of the keys that occurs in any ASCII case."""
+
+    def value(entries: Column, key: str) -> Column:
+        return F.get(F.filter(entries, lambda e: e["k"] == key), F.lit(0))["v"]
+
     lowered = F.transform(F.map_entries(fields), lambda e: F.struct(F.lower(e["key"]).alias("k"), e["value"].alias("v")))
-    return F.coalesce(*[F.get(F.filter(lowered, lambda e, k=k: e["k"] == k), F.lit(0))["v"] for k in keys])
+    return bind(lowered, lambda es: F.coalesce(*[value(es, k) for k in keys]))
 
 
 def display(text: Column) -> Column:
     """``[time] LEVEL message k=v ...`` with clipped parts and at most six further fields; null if the line is no object."""
-    f = json_fields(text)
     named = [k.lower() for k in TIME_KEYS + LEVEL_KEYS + MESSAGE_KEYS]
-    rest = F.array_sort(F.filter(F.map_entries(f), lambda e: ~F.lower(e["key"]).isin(named)))
-    shown = F.transform(F.slice(rest, 1, 6), lambda e: F.concat(clipped(e["key"], 24), F.lit("="), clipped(e["value"], 48)))
-    time = pick(f, TIME_KEYS)
-    parts = [
-        F.when(time.isNotNull(), F.concat(F.lit("["), clipped(time, 32), F.lit("]"))),
-        clipped(F.upper(pick(f, LEVEL_KEYS)), 12),
-        clipped(pick(f, MESSAGE_KEYS), 120),
-        F.when(F.size(shown) > 0, F.array_join(shown, " ")),
-        F.when(F.size(rest) > 6, F.lit("…")),
-    ]
-    return F.when(f.isNotNull(), F.concat_ws(" ", *parts))
+
+    def shown(f: Column) -> Column:
+        rest = F.array_sort(F.filter(F.map_entries(f), lambda e: ~F.lower(e["key"]).isin(named)))
+        time = pick(f, TIME_KEYS)
+
+        def parts(r: Column) -> Column:
+            extra = F.transform(F.slice(r, 1, 6), lambda e: F.concat(clipped(e["key"], 24), F.lit("="), clipped(e["value"], 48)))
+            return F.concat_ws(
+                " ",
+                F.when(time.isNotNull(), F.concat(F.lit("["), clipped(time, 32), F.lit("]"))),
+                clipped(F.upper(pick(f, LEVEL_KEYS)), 12),
+                clipped(pick(f, MESSAGE_KEYS), 120),
+                F.when(F.size(r) > 0, F.array_join(extra, " ")),
+                F.when(F.size(r) > 6, F.lit("\u2026")),
+            )
+
+        return bind(rest, parts)
+
+    return bind(json_fields(text), lambda f: F.when(f.isNotNull(), shown(f)))

@@ -43,11 +43,14 @@ def bounds(lines: DataFrame, kind: str, reach: int | None = None) -> DataFrame:
     pieces = F.array_distinct(F.array(F.floor((F.col("line") - n) / size).cast("long"), own, F.floor((F.col("line") + n) / size).cast("long")))
     spread = lines.withColumn("__own", own).withColumn("__piece", F.explode(pieces))
     start, end = marks(kind, F.col("text"))
-    by = Window.partitionBy("file", "__piece").orderBy("line")
-    up, above, down = by.rowsBetween(-n, 0), by.rowsBetween(-n, -1), by.rowsBetween(0, n)
     l = F.col("line")  # noqa: E741
-    first = F.greatest(F.max(F.when(start, l)).over(up), F.max(F.when(end, l + 1)).over(above))
-    out = spread.withColumns({"block_start": first, "block_end": F.min(F.when(end, l)).over(down)})
+    # running extremes in both directions: the nearest marks, which then must lie within reach
+    marked = spread.withColumns({"__s": F.when(start, l), "__e": F.when(end, l)})
+    by = Window.partitionBy("file", "__piece").orderBy("line")
+    back = Window.partitionBy("file", "__piece").orderBy(F.desc("line")).rowsBetween(Window.unboundedPreceding, 0)
+    near = marked.withColumns({"__s": F.max("__s").over(by.rowsBetween(Window.unboundedPreceding, 0)), "__p": F.max("__e").over(by.rowsBetween(Window.unboundedPreceding, -1)), "__e": F.min("__e").over(back)})
+    within = lambda c: F.when(F.abs(F.col(c) - l) <= n, F.col(c))
+    out = near.withColumns({"block_start": F.greatest(within("__s"), within("__p") + 1), "block_end": within("__e")}).drop("__s", "__p", "__e")
     return out.where("__own = __piece").drop("__own", "__piece")
 
 

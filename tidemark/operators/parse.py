@@ -38,7 +38,7 @@ def _groups(text: Column, pattern: str, *outs: str) -> Column:
 
 
 def trimmed(text: Column) -> Column:
-    return F.regexp_replace(present(text), r"^\s+|\s+$", "")
+    return F.btrim(present(text), F.lit(" \t\r\n\x0b\x0c"))
 
 
 def key_values(msg: Column, most: int = 8) -> Column:
@@ -49,9 +49,11 @@ def key_values(msg: Column, most: int = 8) -> Column:
 
 def first_wins(entries: Column) -> Column:
     """A map of (k, v) structs in which the first of equal keys wins."""
-    with_pos = F.transform(entries, lambda e, i: F.struct(e["k"].alias("k"), e["v"].alias("v"), i.alias("i")))
-    kept = F.filter(with_pos, lambda e: F.array_position(F.transform(entries, lambda x: x["k"]), e["k"]) == e["i"] + 1)
-    return F.map_from_entries(F.transform(kept, lambda e: F.struct(e["k"], e["v"])))
+
+    def kept(es: Column, ks: Column) -> Column:
+        return F.map_from_entries(F.filter(es, lambda e, i: F.array_position(ks, e["k"]) == i + 1))
+
+    return bind(entries, lambda es: bind(F.transform(es, lambda e: e["k"]), lambda ks: kept(es, ks)))
 
 
 def _record(kind: str, ts_raw: Column, level: Column, msg: Column, fields: Column) -> Column:
@@ -69,12 +71,11 @@ def parse_json(text: Column) -> Column:
         stamped = F.filter(F.array_sort(F.map_entries(f)), lambda e: F.lower(e["key"]).isin(json_lines.TIME_KEYS))
         return _record("json", F.get(stamped, F.lit(0))["value"], json_lines.pick(f, json_lines.LEVEL_KEYS), json_lines.pick(f, json_lines.MESSAGE_KEYS), f)
 
-    return F.when(trimmed(text).startswith("{"), bind(json_lines.json_fields(text), lambda f: F.when(f.isNotNull(), build(f))))
+    return bind(trimmed(text), lambda t: F.when(t.startswith("{"), bind(json_lines.json_fields(t), lambda f: F.when(f.isNotNull(), build(f)))))
 
 
 def parse_sql_trace(text: Column) -> Column:
     """Record of a database trace line (time, session, verb, rest); null without a session and a verb."""
-    t = trimmed(text)
 
     def build(g: Column) -> Column:
         ts, session, action, query = (F.get(g, i) for i in range(1, 5))
@@ -83,12 +84,11 @@ def parse_sql_trace(text: Column) -> Column:
         base = _pairs(("ts", ts), ("session", s), ("action", a), ("query", query))
         return F.when((s != "-") | (a != "-"), _record("sql", ts, F.lit(None), query, first_wins(F.concat(base, key_values(query, 6)))))
 
-    return F.when(F.octet_length(t) >= 12, bind(_groups(t, _TRACE, "$1$2", "$3$4$5", "$6$7", "$8"), lambda g: F.when(g.isNotNull(), build(g))))
+    return bind(trimmed(text), lambda t: F.when(F.octet_length(t) >= 12, bind(_groups(t, _TRACE, "$1$2", "$3$4$5", "$6$7", "$8"), lambda g: F.when(g.isNotNull(), build(g)))))
 
 
 def parse_generic(text: Column) -> Column:
     """Record of ``TIME LEVEL message`` and ``[TIME] [LEVEL] message``; the level may be missing."""
-    t = trimmed(text)
 
     def build(g: Column) -> Column:
         ts, level, msg = (F.get(g, i) for i in range(1, 4))
@@ -96,7 +96,7 @@ def parse_generic(text: Column) -> Column:
         base = F.filter(_pairs(("ts", ts), ("level", lvl), ("msg", msg)), lambda e: e["v"].isNotNull())
         return _record("generic", ts, lvl, msg, first_wins(F.concat(base, key_values(msg, 8))))
 
-    return F.when(F.octet_length(t) >= 12, bind(_groups(t, _GENERIC, "$1$2", "$3$4", "$5"), lambda g: F.when(g.isNotNull(), build(g))))
+    return bind(trimmed(text), lambda t: F.when(F.octet_length(t) >= 12, bind(_groups(t, _GENERIC, "$1$2", "$3$4", "$5"), lambda g: F.when(g.isNotNull(), build(g)))))
 
 
 def parse_auto(text: Column) -> Column:
@@ -182,13 +182,14 @@ def parse_custom(text: Column, parser: Parser) -> Column:
 def records(lines: DataFrame, parser: Parser | None = None) -> DataFrame:
     """``file, line, (byte,) text`` and the record's columns. Under auto, lines which no parser reads stay, as their own message
     of kind ``plain``; with a user's parser they are left out."""
-    rec = parse_custom(F.col("text"), parser) if parser else parse_auto(F.col("text"))
     keep = [c for c in ("file", "line", "byte", "text") if c in lines.columns]
-    out = lines.select(*keep, rec.alias("__r"))
+    # a generator, not a projection: each line is parsed once, whatever later conditions use
     if parser:
-        return out.where("__r is not null").select(*keep, "__r.*")
-    plain = _record("plain", F.lit(None).cast("string"), F.lit(None), F.col("text"), F.create_map(F.lit("msg"), present(F.col("text"))))
-    return out.select(*keep, F.coalesce("__r", plain).alias("__r")).select(*keep, "__r.*")
+        rec = F.array_compact(F.array(parse_custom(F.col("text"), parser)))
+    else:
+        plain = _record("plain", F.lit(None).cast("string"), F.lit(None), F.col("text"), F.create_map(F.lit("msg"), present(F.col("text"))))
+        rec = F.array(F.coalesce(parse_auto(F.col("text")), plain))
+    return lines.select(*keep, F.inline(rec))
 
 
 def lowered(fields: Column, level: Column, msg: Column) -> Column:
@@ -210,7 +211,8 @@ def lookup(fields: Column, name: str) -> Column:
 def detect(lines: DataFrame) -> DataFrame:
     """One row: ``format`` (json, sql, generic or plain: the first that reads at least half of the non-blank lines), shares and counts."""
     t = F.col("text")
-    n = lines.where(F.trim(present(t)) != "").select(parse_json(t).isNotNull().alias("j"), parse_sql_trace(t).isNotNull().alias("s"), parse_generic(t).isNotNull().alias("g"))
+    seen = F.struct(parse_json(t).isNotNull().alias("j"), parse_sql_trace(t).isNotNull().alias("s"), parse_generic(t).isNotNull().alias("g"))
+    n = lines.where(F.trim(present(t)) != "").select(F.inline(F.array(seen)))
     c = n.agg(F.count("*").alias("n_lines"), *[F.count_if(F.col(x)).alias(y) for x, y in (("j", "n_json"), ("s", "n_sql"), ("g", "n_generic"))])
     half = lambda x: (F.col(x) * 2 >= F.col("n_lines")) & (F.col("n_lines") > 0)
     name = F.when(half("n_json"), "json").when(half("n_sql"), "sql").when(half("n_generic"), "generic").otherwise("plain")

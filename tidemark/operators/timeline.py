@@ -21,7 +21,8 @@ def merged(*sources: DataFrame, parsed: bool = True) -> DataFrame:
     plain = F.struct(F.when(raw != "", raw).alias("ts_raw"), prefix_seconds(t).alias("ts"))
     if not parsed:
         return both.select("file", "line", plain["ts_raw"].alias("ts_raw"), plain["ts"].alias("ts"), "text")
-    rec = both.withColumn("__r", parse_auto(F.col("text")))
+    # a generator, not a projection: each line is parsed once
+    rec = both.select("*", F.explode(F.array(parse_auto(t))).alias("__r"))
     pick = lambda c: F.when(F.col("__r").isNotNull(), F.col("__r")[c]).otherwise(plain[c])
     return rec.select("file", "line", pick("ts_raw").alias("ts_raw"), pick("ts").alias("ts"), "text")
 

@@ -72,8 +72,8 @@ def _sql(statement: str):
     return lambda s, d: sql_lite.run(statement, sql_lite.rows(e_lines(s, d)))
 
 
-def _parsed(lines, fn, *cols: str):
-    return lambda s, d: lines(s, d).select("file", "line", fn(F.col("text")).alias("r")).where("r is not null").select("file", "line", *[F.expr(f"r.{c}").alias(c.replace("fields['", "").removesuffix("']")) for c in cols])
+def _parsed(lines, *cols: str):
+    return lambda s, d: parse.records(lines(s, d)).where("kind <> 'plain'").select("file", "line", *[F.expr(c).alias(c.replace("fields['", "").removesuffix("']")) for c in cols])
 
 
 QUERIES: dict = {}
@@ -124,10 +124,10 @@ _add("context_lines", lambda s, d: search.context(e_lines(s, d), e_lines(s, d).w
 _add("view_rank", lambda s, d: search.ranked(l_lines(s, d).where(F.col("text").contains("ERROR"))).select("file", "line", "row"), f"WITH {_L} SELECT file, line, row_number() OVER (PARTITION BY file ORDER BY line) AS row FROM l WHERE contains(text, 'ERROR')")
 
 # ---- parsing ----
-_add("parse_generic", _parsed(e_lines, parse.parse_auto, "kind", "ts_raw", "ts", "level", "msg"), f"WITH {_E} SELECT file, line, 'generic' AS kind, stamp AS ts_raw, {_SECONDS} AS ts, lvl AS level, msg FROM el")
-_add("parse_kv", _parsed(e_lines, parse.parse_auto, "fields['id']", "fields['cents']"), f"WITH {_E} SELECT file, line, cast(event_id AS VARCHAR) AS id, cast(cents AS VARCHAR) AS cents FROM el")
-_add("parse_json", _parsed(j_lines, parse.parse_auto, "kind", "ts_raw", "ts", "level", "msg"), f"WITH {_E} SELECT file, line, 'json' AS kind, stamp AS ts_raw, {_SECONDS} AS ts, lvl AS level, event_type AS msg FROM el")
-_add("parse_sqltrace", _parsed(t_lines, parse.parse_auto, "kind", "ts", "msg"), f"WITH {_E} SELECT file, line, 'sql' AS kind, {_SECONDS} AS ts, CASE WHEN event_type IN ('purchase', 'view') THEN '' ELSE 'note ' END || event_type || ' id=' || event_id AS msg FROM el")
+_add("parse_generic", _parsed(e_lines, "kind", "ts_raw", "ts", "level", "msg"), f"WITH {_E} SELECT file, line, 'generic' AS kind, stamp AS ts_raw, {_SECONDS} AS ts, lvl AS level, msg FROM el")
+_add("parse_kv", _parsed(e_lines, "fields['id']", "fields['cents']"), f"WITH {_E} SELECT file, line, cast(event_id AS VARCHAR) AS id, cast(cents AS VARCHAR) AS cents FROM el")
+_add("parse_json", _parsed(j_lines, "kind", "ts_raw", "ts", "level", "msg"), f"WITH {_E} SELECT file, line, 'json' AS kind, stamp AS ts_raw, {_SECONDS} AS ts, lvl AS level, event_type AS msg FROM el")
+_add("parse_sqltrace", _parsed(t_lines, "kind", "ts", "msg"), f"WITH {_E} SELECT file, line, 'sql' AS kind, {_SECONDS} AS ts, CASE WHEN event_type IN ('purchase', 'view') THEN '' ELSE 'note ' END || event_type || ' id=' || event_id AS msg FROM el")
 _add("parse_custom", lambda s, d: parse.records(e_lines(s, d), parse.Parser("own", r"{TS} {LVL} \[user-{user:\d+}\] (?P<what>\w+) id={num_id:\d+}")).select("line", "level", F.element_at("fields", "user").alias("user"), F.element_at("fields", "what").alias("what"), F.element_at("fields", "num_id").alias("num_id")), f"WITH {_E} SELECT line, lvl AS level, cast(user_id AS VARCHAR) AS user, event_type AS what, cast(event_id AS VARCHAR) AS num_id FROM el")
 _add("detect_format", lambda s, d: parse.detect(e_lines(s, d)), f"WITH {_E} SELECT 'generic' AS format, cast(100 AS BIGINT) AS percent, count(*) AS n_lines, cast(0 AS BIGINT) AS n_json, cast(0 AS BIGINT) AS n_sql, count(*) AS n_generic FROM el")
 _add("classify_level", lambda s, d: l_lines(s, d).groupBy(parse.severity(F.col("text")).alias("class")).agg(F.count("*").alias("n")), f"WITH {_L} SELECT CASE WHEN contains(t, 'ERROR') OR contains(t, 'FATAL') OR contains(t, 'Exception') OR contains(t, 'Caused by:') THEN 'error' WHEN contains(t, 'WARN') THEN 'warn' WHEN contains(t, 'INFO') THEN 'info' ELSE 'normal' END AS class, count(*) AS n FROM (SELECT coalesce(text, '') AS t FROM l) GROUP BY 1")

@@ -233,7 +233,8 @@ def rows(lines: DataFrame, parser: Parser | None = None) -> DataFrame:
 
 
 def as_rows(recs: DataFrame) -> DataFrame:
-    return recs.select("file", "line", "ts", "ts_raw", lowered(F.col("fields"), F.col("level"), F.col("msg")).alias("fields"))
+    # a generator, not a projection: the map is built once a row, however many conditions look into it
+    return recs.select("file", "line", "ts", "ts_raw", F.explode(F.array(lowered(F.col("fields"), F.col("level"), F.col("msg")))).alias("fields"))
 
 
 def run(statement: str | Statement, src: DataFrame, extra: list[str] | None = None) -> DataFrame:
