@@ -66,7 +66,7 @@ def test_archives(spark, tmp_path):
     with zipfile.ZipFile(z, "w") as f:
         f.writestr("readme.md", "x" * 999)
         f.writestr("a/app.log", log)
-        f.writestr("b.txt", bytes([0, 1] * 5000) + b"x")
+        f.writestr("b.txt", bytes([0, 0, 1] * 5000) + b"x")
     put("x.zip", z.getvalue())
     t = io.BytesIO()
     with tarfile.open(fileobj=t, mode="w") as f:
@@ -99,21 +99,18 @@ def test_follow(spark, tmp_path):
     p.write_text("a\nb\npart")
 
     def run():
+        import time
+
+        rows = lambda: spark.read.schema(follow.SCHEMA).parquet(out) if os.path.exists(out) else spark.createDataFrame([], follow.SCHEMA)
         q = follow.follow(spark, str(p)).writeStream.format("parquet").option("path", out).option("checkpointLocation", cp).trigger(processingTime="200 milliseconds").start()
         try:
-            import time
-
-            end = time.time() + 25
-            size = -1
-            while time.time() < end:
-                time.sleep(1.5)
-                n = spark.read.parquet(out).count() if os.path.exists(os.path.join(out, "_spark_metadata")) else 0
-                if n == size and n:
-                    break
-                size = n
+            before, end = rows().count(), time.time() + 30
+            while rows().count() == before and time.time() < end:
+                time.sleep(1)
+            time.sleep(2)
         finally:
             q.stop()
-        return {(r["generation"], r["line"], r["text"]) for r in spark.read.parquet(out).collect()}
+        return {(r["generation"], r["line"], r["text"]) for r in rows().collect()}
 
     assert run() == {(0, 1, "a"), (0, 2, "b")}
     with open(p, "a") as f:

@@ -75,6 +75,11 @@ def read_rows(texts: pa.Array, header: str) -> tuple[np.ndarray, np.ndarray, dic
     texts = pc.replace_substring_regex(texts, r"\r\z", "")
     whole = pc.match_substring_regex(texts, grammar).to_numpy(False)
     reason[~whole] = "quoting"
+    if len(names) > 1:
+        # the reader would fill an empty line up with empty cells
+        blank = pc.equal(pc.binary_length(texts), 0).to_numpy(False)
+        reason[blank] = "columns"
+        whole &= ~blank
     at = np.flatnonzero(whole)
     kept = texts.take(pa.array(at))
     # inner line breaks would end a row for the reader: signs that occur nowhere stand for them until the cells are read
