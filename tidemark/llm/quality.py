@@ -10,7 +10,7 @@ language (or letters of a script without spaces), few digits and signs, no head
 Repeats of the same line beyond the first few are no running text.
 
 Defined results: null, empty and white-space texts have zero counts and are no case; any line ends (``\\n``, ``\\r\\n``,
-``\\r``); texts are whole; statistics do not depend on CHUNK; repeated rows stay as they are.
+``\\r``); texts are whole; statistics do not depend on CHUNK; repeated rows stay as they are, those of texts beyond CHUNK become one.
 """
 
 from __future__ import annotations
@@ -335,7 +335,7 @@ _SCHEMA = ", ".join(f"{k} long" for k in [*SUMS, "repeated"])
 
 def _chunk_states(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        yield pd.DataFrame({"doc": pdf["doc"], "at": pdf["at"], "state": [packed(state(t)) for t in pdf["piece"]]})
+        yield pd.DataFrame({"doc": pdf["doc"], "h": pdf["h"], "at": pdf["at"], "state": [packed(state(t)) for t in pdf["piece"]]})
 
 
 def _merge_group(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -344,7 +344,7 @@ def _merge_group(pdf: pd.DataFrame) -> pd.DataFrame:
     for x in pdf["state"]:
         nxt = unpacked(x)
         s = nxt if s is None else merged(s, nxt)
-    return pd.DataFrame({"doc": [pdf["doc"].iloc[0]], "at": [pdf["at"].iloc[0] // FAN_IN], "state": [packed(s)]})
+    return pd.DataFrame({"doc": [pdf["doc"].iloc[0]], "h": [pdf["h"].iloc[0]], "at": [pdf["at"].iloc[0] // FAN_IN], "state": [packed(s)]})
 
 
 def _whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -368,11 +368,12 @@ def counts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", chunk: i
     kind = src.schema["doc"].dataType.simpleString()
     small = src.where(F.length("t") <= chunk).select("doc", F.col("t").alias("piece")).mapInPandas(_whole, f"doc {kind}, {_SCHEMA}")
     long = src.where(F.length("t") > chunk)
-    pieces = long.select("doc", "t", F.explode(F.sequence(F.lit(0), F.floor((F.length("t") - 1) / chunk).cast("int"))).alias("at"))
-    states = pieces.select("doc", "at", F.substring("t", F.col("at") * chunk + 1, F.lit(chunk)).alias("piece")).mapInPandas(_chunk_states, f"doc {kind}, at int, state binary")
+    # repeated rows of a long text are found by its hash, on the states of its chunks
+    pieces = long.select("doc", "t", F.xxhash64("t").alias("h"), F.explode(F.sequence(F.lit(0), F.floor((F.length("t") - 1) / chunk).cast("int"))).alias("at"))
+    states = pieces.select("doc", "h", "at", F.substring("t", F.col("at") * chunk + 1, F.lit(chunk)).alias("piece")).mapInPandas(_chunk_states, f"doc {kind}, h long, at int, state binary").dropDuplicates(["doc", "h", "at"])
     most = 2**31 // chunk + 1  # a text has at most 2^31 characters
     while most > 1:
-        states = states.groupBy("doc", F.floor(F.col("at") / FAN_IN).alias("__g")).applyInPandas(_merge_group, f"doc {kind}, at int, state binary")
+        states = states.groupBy("doc", "h", F.floor(F.col("at") / FAN_IN).alias("__g")).applyInPandas(_merge_group, f"doc {kind}, h long, at int, state binary")
         most = -(-most // FAN_IN)
     big = states.mapInPandas(_from_states, f"doc {kind}, {_SCHEMA}")
     return small.unionByName(big).withColumnRenamed("doc", doc_id)

@@ -43,6 +43,8 @@ def replay(words: list[bytes], ranks: dict[bytes, int]) -> list[list[int]]:
     for w in words:
         a, n = len(tok), len(w)
         starts.append(a)
+        if not n:
+            continue
         tok.extend(w[i : i + 1] for i in range(n))
         nxt.extend(range(a + 1, a + n))
         nxt.append(-1)
