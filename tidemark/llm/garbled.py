@@ -273,10 +273,11 @@ def garbled_lines(lines: DataFrame) -> DataFrame:
 
 def restored_lines(lines: DataFrame) -> DataFrame:
     """``file, line_no, text, restored, whole``: garbled lines with every restorable phrase put right; ``whole`` if nothing was lost."""
-    found = garbled_lines(lines).groupBy("file", "line_no").agg(F.array_sort(F.collect_set(F.struct(F.length("phrase").alias("n"), "phrase", "restored"))).alias("fixes"))  # as many as a line has phrases
-    texts = lines.select("file", "line_no", "text").where("text is not null").dropDuplicates(["file", "line_no"])
+    fixes = garbled_lines(lines).groupBy("file", "line_no").agg(F.array_sort(F.collect_set(F.struct(F.length("phrase").alias("n"), "phrase", "restored"))).alias("fixes"))  # as many as a line has phrases
+    texts = lines.select("file", "line_no", "text").where("text is not null and octet_length(text) <> length(text)")
+    hit = lookup_join(texts, cut(fixes), ["file", "line_no"], "inner", salt_by=F.col("line_no")).dropDuplicates(["file", "line_no"])
     put = F.aggregate(F.reverse("fixes"), F.col("text"), lambda t, f: F.when(f["restored"].isNull(), t).otherwise(F.replace(t, f["phrase"], f["restored"])))
-    return texts.join(found, ["file", "line_no"]).select("file", "line_no", "text", put.alias("restored"), F.forall("fixes", lambda f: f["restored"].isNotNull()).alias("whole"))
+    return hit.select("file", "line_no", "text", put.alias("restored"), F.forall("fixes", lambda f: f["restored"].isNotNull()).alias("whole"))
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
