@@ -13,14 +13,15 @@ from ..functions import filters, scalars, timestamps
 from ..operators import aggregates, blocks, export, parse, search, timeline
 from ..runtime import table
 from ..sources.lines import from_column, line_count, with_bytes
+from ..streaming import follow
 from . import sql_lite
 
 # ---- lines ----
 
 
-def _events(spark: SparkSession, d: str) -> DataFrame:
+def _events(spark: SparkSession, d: str, src: DataFrame | None = None) -> DataFrame:
     lvl = F.when(F.col("event_type") == "error", "ERROR").when(F.col("event_type") == "click", "WARN").when(F.col("event_type") == "view", "DEBUG").otherwise("INFO")
-    e = table(spark, d, "events").withColumns({"lvl": lvl, "cents": F.round(F.col("value") * 100).cast("bigint"), "at": F.date_format("ts", "yyyy-MM-dd HH:mm:ss")})
+    e = (table(spark, d, "events") if src is None else src).withColumns({"lvl": lvl, "cents": F.round(F.col("value") * 100).cast("bigint"), "at": F.date_format("ts", "yyyy-MM-dd HH:mm:ss")})
     return e
 
 
@@ -30,6 +31,16 @@ def e_lines(spark: SparkSession, d: str, files: int = 1) -> DataFrame:
     return _events(spark, d).select(file.alias("file"), F.col("event_id").alias("line"), text.alias("text"))
 
 
+def streamed_lines(spark: SparkSession, d: str) -> DataFrame:
+    """E as a stream: the events' file as a streaming source."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{d}/events.parquet")
+    folder = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory()
+    reader = spark.readStream.schema(table(spark, d, "events").schema)
+    src = reader.parquet(f"{d}/events.parquet") if folder else reader.option("pathGlobFilter", "events.parquet").parquet(d)
+    text = F.concat("at", F.lit(" "), "lvl", F.lit(" "), "event_type")
+    return _events(spark, d, src).select(text.alias("text"))
+
+
 def j_lines(spark: SparkSession, d: str) -> DataFrame:
     text = F.concat(F.lit('{"ts":"'), "at", F.lit('","level":"'), "lvl", F.lit('","msg":"'), "event_type", F.lit('","id":'), "event_id", F.lit("}"))
     return _events(spark, d).select(F.lit("events").alias("file"), F.col("event_id").alias("line"), text.alias("text"))
@@ -162,3 +173,5 @@ _add("export_csv", lambda s, d: export.csv_rows(l_lines(s, d).where("text is not
 _add("export_search", lambda s, d: export.matching(e_lines(s, d), "ERROR purchase OR WARN click"), f"WITH {_E} SELECT line || ': ' || text AS value FROM el WHERE lvl = 'WARN'")
 _add("export_timeline", lambda s, d: timeline.exported(timeline.merged(e_lines(s, d, 3))), f"WITH {_E} SELECT stamp || ' | events' || (user_id % 3) || ':' || line || ' | ' || text AS value FROM el")
 _add("export_ticket", lambda s, d: export.ticket(e_lines(s, d), e_lines(s, d).where(F.col("text").contains("ERROR")), "ERROR", 1))
+
+_add("stream_windowed_counts", lambda s, d: follow.run_to_table(follow.windowed_counts(streamed_lines(s, d), "1 day", "1 hour")).select(F.unix_timestamp("start").alias("start"), "level", "lines"), f"WITH {_E} SELECT {_SECONDS} // 3600 * 3600 AS start, lvl AS level, count(*) AS lines FROM el GROUP BY ALL")

@@ -77,7 +77,7 @@ class FollowReader(SimpleDataSourceStreamReader):
         rows, byte, line = [], at["byte"], at["line"]
         for raw in whole.split(b"\n")[:-1]:
             text = raw.removesuffix(b"\r").decode("utf-8", "replace")
-            rows.append((self.path, at["generation"], line, byte, text.removeprefix("﻿") if byte == 0 else text))
+            rows.append((self.path, at["generation"], line, byte, text.removeprefix("\ufeff") if byte == 0 else text))
             byte, line = byte + len(raw) + 1, line + 1
         return rows, at | {"byte": byte, "line": line} | identity(self.path, byte)
 
@@ -103,10 +103,25 @@ def follow(spark: SparkSession, path: str) -> DataFrame:
 
 
 def windowed_counts(stream: DataFrame, late: str = "10 minutes", width: str = "1 minute") -> DataFrame:
-    """Lines per level and time window of a stream of lines; records later than ``late`` are dropped by the watermark."""
+    """Lines per level and time window of lines; on a stream, state of windows older than ``late`` is dropped by the watermark."""
     from pyspark.sql import functions as F
 
     from ..operators.parse import parse_auto
 
-    rec = stream.withColumn("__r", parse_auto(F.col("text"))).where("__r.ts is not null").select(F.timestamp_seconds(F.col("__r.ts")).alias("at"), F.upper(F.coalesce(F.col("__r.level"), F.lit("-"))).alias("level"))
-    return rec.withWatermark("at", late).groupBy(F.window("at", width), "level").agg(F.count("*").alias("lines"))
+    rec = stream.select(F.explode(F.array(parse_auto(F.col("text")))).alias("r")).where("r.ts is not null")
+    at = rec.select(F.timestamp_seconds(F.col("r.ts")).alias("at"), F.upper(F.coalesce(F.col("r.level"), F.lit("-"))).alias("level"))
+    counted = at.withWatermark("at", late).groupBy(F.window("at", width).alias("w"), "level").agg(F.count("*").alias("lines"))
+    return counted.select(F.col("w.start").alias("start"), "level", "lines")
+
+
+def run_to_table(stream: DataFrame, mode: str = "complete") -> DataFrame:
+    """Run a streaming query over all input that is there now and return its last result as a table in the shared folder."""
+    import uuid
+
+    from ..runtime import shared_dir
+
+    spark = stream.sparkSession
+    base = f"{shared_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    q = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/state").foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(f"{base}/out")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{base}/out")
