@@ -123,7 +123,7 @@ _add("search_all_files", lambda s, d: search.search_all(d_lines(s, d), "index"),
 _add("search_scope", lambda s, d: search.scoped(l_lines(s, d), 100, 250).where(search.literal_condition(F.col("text"), "error")).select("file", "line"), f"WITH {_L} SELECT file, line FROM l WHERE line BETWEEN 100 AND 250 AND contains(lower(text), 'error')")
 _add("search_page", lambda s, d: search.page(search.literal_hits(l_lines(s, d), "lag="), 50, ("b", 0, 0)).select("file", "line"), f"WITH {_L} SELECT file, line FROM l WHERE contains(text, 'lag=') AND file > 'b' ORDER BY file, line LIMIT 50")
 for _n, _q, _c in (
-    ("bool_and_not", "error -retry timeout", "contains(t, 'error') AND contains(t, 'timeout') AND NOT contains(t, 'retry')"),
+    ("bool_and_not", "segment -error took", "contains(t, 'segment') AND contains(t, 'took') AND NOT contains(t, 'error')"),
     ("bool_xor", "segment XOR lag XOR retry", "(contains(t, 'segment')::INT + contains(t, 'lag')::INT + contains(t, 'retry')::INT) % 2 = 1"),
     ("bool_nand_nor", "(error NAND info) AND (debug NOR trace)", "NOT (contains(t, 'error') AND contains(t, 'info')) AND NOT (contains(t, 'debug') OR contains(t, 'trace'))"),
     ("bool_phrase_or", '"closed by peer" | "cannot read" & archive', "contains(t, 'closed by peer') OR (contains(t, 'cannot read') AND contains(t, 'archive'))"),
