@@ -78,6 +78,15 @@ def test_block_borders_change_nothing(spark, block):
     assert got == {("f", a + 2, b + 2, c, r) for a, b, c, r in w}
 
 
+def test_rare_layout_behind_a_shorter_head(spark):
+    common = [f"2026-03-01 10:{i // 60:02d}:{i % 60:02d} ERROR {COMPONENTS[i % 4]} write failed{' and again' * (i % 3)}" for i in range(600)]
+    rare = [f"2026-03-01 11:00:{i:02d} ERROR {4711 + i} storage - write failed" for i in range(3)]
+    df = frame(spark, {"f": common + rare})
+    doc = spark.createDataFrame([("f", "log")], "file string, kind string")
+    got = {r["first_line"]: r["component"] for r in entries(df, doc).collect()}
+    assert got == {i + 1: COMPONENTS[i % 4] for i in range(600)} | {601 + i: "storage" for i in range(3)}
+
+
 def test_broken_objects_and_sessions(spark):
     lines = ["[2026-03-01 10:00:00] [INFO] [store] a", "{", '  "level": "error",', "plain", "[2026-03-01 10:00:01] [SESSION-9] INSERT x", "go", "[2026-03-01 10:00:02] [error] [store] b\r", "\r", "{", '  "component": "c", "level": "error",', '  "ts": 1', "}", None]
     df = frame(spark, {"f": lines})

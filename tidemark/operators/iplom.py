@@ -1,7 +1,7 @@
 """Iterative partitioning of log lines into templates (the layout miner behind problem 1).
 
 Lines are reduced to shapes (typed tokens) and counted; all further work is on the distinct shapes. Three splits -
-token count, least-variable position, bijection between two positions - give leaves, whose constant tokens and variable
+token count and classes of the first tokens, least-variable position, bijection between two positions - give leaves, whose constant tokens and variable
 slots are the templates. Every split is a pair of partial aggregations over (partition, position, token), so a
 partition that holds a large part of the shapes is never gathered in one task.
 """
@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from ..runtime import cut
 
 M = "\u0002"  # marks a typed token
+#: tokens of a line that may be part of its head; lines whose heads differ in class never share a leaf
+HEAD = 24
 #: Timestamps as they stand at the head of log lines.
 TIME = (
     r"\d{4}[-/]\d{2}[-/]\d{2}[T ]\d{2}:?\d{2}:?\d{2}(?:[.,]\d+)?(?:Z| ?[+-]\d{2}:?\d{2}(?!\d))?"
@@ -61,6 +63,12 @@ def token_class(token: Column) -> Column:
     return F.when(token.startswith(M), F.substring(token, 2, 1)).when(token.rlike(r"^[^\w\x02]+$"), token).otherwise("w")
 
 
+def _wide(token: Column) -> Column:
+    """The class of a token; numbered names are words."""
+    c = token_class(token)
+    return F.when(c.isin("w", "R"), "w").otherwise(c)
+
+
 def _split_by_position(parts: DataFrame) -> DataFrame:
     """Split each partition by its position with the fewest distinct tokens above one (ties: leftmost)."""
     cells = parts.select("pid", F.posexplode("tokens").alias("pos", "tok")).groupBy("pid", "pos", "tok").agg(F.lit(1).alias("one"))
@@ -93,13 +101,13 @@ def templates(shapes: DataFrame) -> DataFrame:
     ``slots`` has one struct a position, in order: ``token`` (null for a variable slot), ``class`` (null where classes
     other than words differ) and ``named``, the share of the lines in which the slot holds a numbered name such as ``pool-3``.
     """
-    parts = shapes.select(F.split("shape", " ").alias("tokens"), "cnt").withColumn("pid", F.size("tokens").cast("long"))
+    parts = shapes.select(F.split("shape", " ").alias("tokens"), "cnt").withColumn("pid", F.xxhash64(F.size("tokens"), F.transform(F.slice("tokens", 1, HEAD), _wide)))
     # each split reads its input several times, so the input is written once
     for split in (_split_by_position, _split_by_bijection, _split_by_position):
         parts = cut(split(parts))
     cells = parts.select("pid", "cnt", F.posexplode("tokens").alias("pos", "tok"))
     c = token_class(F.col("tok"))
-    wide = F.when(c.isin("w", "R"), "w").otherwise(c)
+    wide = _wide(F.col("tok"))
     slots = cells.groupBy("pid", "pos").agg(
         F.when(F.min("tok") == F.max("tok"), F.min("tok")).alias("token"),
         F.when(F.min(wide) == F.max(wide), F.min(wide)).alias("class"),

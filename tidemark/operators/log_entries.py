@@ -1,8 +1,8 @@
 """Problem 1: semi-structured log lines of many layouts -> entries with time, level, component and message.
 
 1. Template mining (iplom): leaf templates give the layouts; a layout's head runs from the line's start over the slots
-   of its time, level and component (``layouts``). A first round mines every SEED-th text; a second one mines all lines
-   which state a time and fit no layout of the first, so every line is explained or mined.
+   of its time, level and component (``layouts``). The shapes of all lines are mined, so a layout of few lines has its
+   head as well, also where a shorter head fits its lines.
 2. All heads are compiled into one alternation that classifies each line once, in the JVM (``classified``).
 3. Lines become entries per block of BLOCK lines of a file, on narrow rows only; what crosses a block's border is
    stitched from one summary row per block, so a file of any size is spread over many tasks.
@@ -29,8 +29,6 @@ from . import iplom
 
 #: lines a block
 BLOCK = 1 << 16
-#: layouts are first mined from every SEED-th distinct text, then from all lines which those layouts leave unexplained
-SEED = 32
 TIME_KEYS = ["time", "ts", "timestamp", "@timestamp", "datetime", "date", "asctime", "eventTime"]
 LEVEL_KEYS = ["level", "lvl", "severity", "sev", "levelname", "log_level", "loglevel", "priority"]
 COMPONENT_KEYS = ["component", "logger", "module", "source", "comp", "logger_name", "unit", "subsystem", "category", "name"]
@@ -60,7 +58,7 @@ def layouts(lines: DataFrame) -> list[dict]:
     leaves = iplom.templates(cut(shapes))
     keyed = F.get("slots", F.lit(1))["token"] == "="
     # keyed heads keep their constant words (the keys); in the others every word is a "w"
-    head = F.slice("slots", 1, 24)
+    head = F.slice("slots", 1, iplom.HEAD)
     plain = F.transform(head, lambda s: F.coalesce(s["class"], F.lit("*")))
     named = F.transform(F.filter(head, lambda s: s["class"] == "w"), lambda s: s["named"])
     keys = F.transform(
@@ -192,8 +190,7 @@ def _coalesced(m: Column, keys: list[str]) -> Column:
 
 def classified(lines: DataFrame, specs: list[dict], messages: bool = True) -> DataFrame:
     """Each line with what it is: ``t`` H (states an entry's head), O (opens a JSON object over several lines), J (a line
-    of such an object), B (blank), X (other), and the head's time, level, component and message; ``text`` is kept only of
-    lines of kind X that may state a time."""
+    of such an object), B (blank), X (other), and the head's time, level, component and message."""
     text = F.regexp_replace("text", r"\r+$", "")
     blank = F.col("text").isNull() | (F.trim(F.regexp_replace("text", r"\s+", "")) == "")
     plain = [s for s in specs if "tokens" in s]
@@ -228,7 +225,6 @@ def classified(lines: DataFrame, specs: list[dict], messages: bool = True) -> Da
             "file",
             "host",
             "line_no",
-            F.when(F.col("h").isNull() & ~F.col("piece") & F.col("line_text").rlike(r"^\S.*\d{2}:?\d{2}:?\d{2}"), F.col("line_text")).alias("text"),
             F.when(F.col("line_text") == "", "B").when(F.col("h").isNotNull(), "H").when(F.col("piece"), F.when(F.col("line_text").startswith("{"), "O").otherwise("J")).otherwise("X").alias("t"),
             (F.col("h")[1] if messages else F.lit(None).cast("string")).alias("ts_raw"),
             F.when(F.col("h").isNotNull(), F.when(F.col("h")[2] != "", F.col("h")[2]).when(F.col("h")[3] != "", F.concat(F.lit("<"), F.col("h")[3]))).otherwise(F.regexp_extract("flat", rf'"{_any(LEVEL_KEYS)}"\s*:\s*"?([\w.-]+)', 1)).alias("lvl"),
@@ -418,15 +414,7 @@ def entries(lines: DataFrame, doc: DataFrame, messages: bool = True, specs: list
     """
     logs = doc.where(F.col("kind") == "log").select("file").distinct()
     rows = lookup_join(lines.select("file", "host", "line_no", "text").where("file is not null and line_no is not null"), logs, ["file"], "left_semi", salt_by=F.col("line_no"))
-    if specs is None:
-        seed = layouts(rows.where(F.pmod(F.xxhash64("text"), F.lit(SEED)) == 0))
-        narrow = cut(classified(rows, seed, messages))
-        unexplained = narrow.where("text is not null")
-        more = [x for x in layouts(unexplained) if all(x.get("tokens") != y.get("tokens") or x.get("keys") != y.get("keys") for y in seed)]
-        if more:
-            narrow = narrow.where("text is null").unionByName(classified(unexplained.select("file", "host", "line_no", "text"), more, messages))
-    else:
-        narrow = classified(rows, specs, messages)
+    narrow = classified(rows, layouts(rows) if specs is None else specs, messages)
     narrow = narrow.withColumn("blk", F.floor(F.col("line_no") / block).cast("long"))
     placed = narrow.repartition("file", "blk").sortWithinPartitions("file", "blk", "line_no")
     parts = cut(placed.select("file", "blk", "line_no", "t", "lvl", "comp", "ts_raw", "msg", "timed", "delta").mapInArrow(_blocks, _BLOCK_ROW))
