@@ -67,3 +67,10 @@ def test_alignment(spark):
     assert got == {"Ã¶": "ö", "ÃŸ": "ß"}
     v = vocabulary(spark.createDataFrame([("a", 'msg="für x": é, é'), ("b", "für x"), (None, None)], "file string, text string"))
     assert {(r["phrase"], r["n_files"], r["n_lines"]) for r in v.collect()} == {("für", 2, 2), ("é", 1, 2)}
+
+
+def test_learned_characters_decide_single_sequences(spark):
+    rows = [(f"f{i}", j, f"x {p}") for i in range(9) for j, p in enumerate([*CLEAN, "DÉJÀ «FERMÉ»", "Рёв", "AMANHÃ»", "AMANHÃ…"])]
+    rows += [("g", 100, "x " + wrong("déjà fermé", "utf8", "windows1252")), ("g", 101, "x Ã©tat"), ("g", 102, "x Ã©tat."), ("g", 103, "x (Ã©tat)")]
+    got = {r["line_no"]: r["restored"] for r in restored_lines(spark.createDataFrame(rows, "file string, line_no long, text string")).collect()}
+    assert got == {100: "x déjà fermé", 101: "x état", 102: "x état.", 103: "x (état)"}

@@ -2,11 +2,11 @@
 
 1. Lines are reduced to their phrases with non-ASCII characters, and these to a vocabulary with the number of files and
    lines that hold each phrase (``vocabulary``). All decisions are made on distinct phrases.
-2. Every phrase is undone by every pair of encodings (decoded with D, was in E), once or repeatedly, whole or in the run
-   that D can write. The results are joined with the vocabulary on the text stripped of non-ASCII characters and the
-   restored text: a hit is a clean near-twin (``twins``). The pairs of encodings with twins are the learned
-   transformations; aligning twins character by character gives what each character became (``alignment``).
-3. Phrases without a twin are decided by the learned transformations and alignments (``decided``).
+2. Every phrase is undone by every pair of encodings of CODECS (decoded with D, was in E), once or repeatedly, whole or in
+   the run that D can write. The results are joined with the vocabulary on the restored text; a hit that keeps the
+   phrase's ASCII characters is a clean near-twin (``twins``). The pairs of encodings with twins are the learned
+   transformations; aligning twins character by character gives what each character became (``aligned``).
+3. Phrases without a twin are decided by the learned transformations and characters (``decided``).
 
 Defined results
 * the replacement character, C1 controls and private-use characters are garbled (not always restorable: ``restored`` null);
@@ -47,6 +47,8 @@ _LOST = re.compile("[\ufffd\x80-\x9f\ue000-\uf8ff]")
 #: signs that stand in clean text
 _FAIR_SIGNS = set("\u2014\u2013\u2026\xab\xbb\u201e\u201c\u201d\u2018\u2019\u201a\u2022\xb7\xb0\xb1\xd7\xf7\xb5\xbd\xbc\xbe\u20ac\xa3\xa5\xa7\xa9\xae\u2122\u2116\u2192\u2190\u2191\u2193\u2713\u2717\u2264\u2265\u2248\u2260\u221e\xbf\xa1\xaa\xba\xb2\xb3\xb9\u2030\u3001\u3002\u30fb\u300c\u300d\uff08\uff09\uff1a\uff1b\uff01\uff1f\ufeff\u200b")
 MAX_DEPTH = 3
+#: signs that may follow a word's last letter in clean text
+_CLOSING = set("\u2026\xbb\u201c\u201d\u201e\u2018\u2019\u201a\u2013\u2014\u2022\xb7")
 _SEQUENCE = re.compile(rb"[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}")
 
 
@@ -220,21 +222,49 @@ def twins(ways: DataFrame, vocab: DataFrame) -> DataFrame:
     return hits.where(better & near)
 
 
+def _became(p: str, v: str, chain: str, codecs: Codecs) -> dict[str, str]:
+    """What stands in ``p`` for the non-ASCII characters of ``v``: garbled sequence -> character."""
+    out = {}
+    steps = [s.rstrip("*").split(">") for s in chain.split(",")]
+    for c in set(v):
+        t: str | None = c
+        for d, e in reversed(steps):
+            data = codecs.encode(t, e) if t is not None else None
+            t = codecs.decode(data, d) if data is not None else None
+        if t and not c.isascii() and t != c and t in p and not t.isascii():
+            out[t] = c
+    return out
+
+
 def alignment(pairs: pd.DataFrame) -> dict[str, str]:
     """What became of characters: garbled sequence -> character, from twins (``phrase``, ``restored``, ``chain``)."""
     codecs, out = Codecs(), {}
     for p, v, chain in zip(pairs["phrase"], pairs["restored"], pairs["chain"]):
-        steps = [s.rstrip("*").split(">") for s in chain.split(",")]
-        for c in set(v):
-            t: str | None = c
-            for d, e in reversed(steps):
-                data = codecs.encode(t, e) if t is not None else None
-                t = codecs.decode(data, d) if data is not None else None
-            if t and not c.isascii() and t != c and t in p and not t.isascii():
-                out[t] = c
+        out |= _became(p, v, chain, codecs)
     return out
 
 
+def _telling(phrase: str, garbled: str) -> bool:
+    """Whether a sequence cannot be clean text by chance: a sign joined to a letter, unless it may close the word."""
+    signs = [c for c in garbled[1:] if c in _FAIR_SIGNS or unicodedata.category(c)[0] not in "LM"]
+    if not signs:
+        return False
+    return garbled[-1] not in _CLOSING or re.search(re.escape(garbled) + r"\w", phrase) is not None
+
+
+def _align(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    codecs = Codecs()
+    for pdf in batches:
+        out = [(p, v, c, t, b, _telling(p, t)) for p, v, c in zip(pdf["phrase"], pdf["restored"], pdf["chain"]) for t, b in _became(p, v, c, codecs).items()]
+        yield pd.DataFrame(out, columns=["phrase", "restored", "chain", "garbled", "became", "telling"])
+
+
+def aligned(ways: DataFrame) -> DataFrame:
+    """``phrase, restored, chain, garbled, became, telling``: the ways by UTF-8 steps, character by character."""
+    utf8 = F.col("chain").rlike(r"utf8[*]?$") & ~F.col("restored_odd")
+    return ways.where(utf8).select("phrase", "restored", "chain").mapInPandas(_align, "phrase string, restored string, chain string, garbled string, became string, telling boolean")
+
+
 def decided(vocab: DataFrame) -> DataFrame:
     """``phrase, restored`` of every garbled phrase (``restored`` null where nothing certain is left)."""
     ways = cut(candidates(vocab))
@@ -243,10 +273,15 @@ def decided(vocab: DataFrame) -> DataFrame:
     learned = hits.groupBy("chain").agg(F.countDistinct("phrase").alias("pairs"))
     by_twin = hits.groupBy("phrase").agg(F.max_by("restored", F.struct("clean_files", "clean_lines", "restored")).alias("restored"))
     rest = ways.join(by_twin.select("phrase"), "phrase", "left_anti")
-    known = rest.join(F.broadcast(learned), "chain", "left")
+    # characters: as many rows as there are characters and encodings in use
+    taught = cut(aligned(hits).select("garbled", "became").distinct().withColumn("known", F.lit(True)))
+    met = lookup_join(aligned(rest), taught, ["garbled", "became"], "left")
+    spelt = met.groupBy("phrase", "restored", "chain").agg(F.min(F.coalesce("known", F.lit(False))).alias("all_known"), F.max("telling").alias("telling")).where("all_known and telling").select("phrase", "restored", "chain", F.lit(True).alias("spelt"))
+    known = rest.join(F.broadcast(learned), "chain", "left").join(spelt, ["phrase", "restored", "chain"], "left")
     utf8 = F.col("chain").endswith("utf8") | F.col("chain").endswith("utf8*")
-    # by a transformation that twins taught, or by UTF-8 sequences, which do not arise by chance
-    sure = utf8 & ~F.col("restored_odd") & (F.col("odd") | (F.col("sequences") >= 2) & F.col("pairs").isNotNull())
+    # by a transformation that twins taught, by UTF-8 sequences, which do not arise by chance, or by characters that twins
+    # taught, where one sequence is enough
+    sure = utf8 & ~F.col("restored_odd") & (F.col("odd") | (F.col("sequences") >= 2) & F.col("pairs").isNotNull() | F.coalesce("spelt", F.lit(False)))
     lost = F.coalesce(F.col("odd"), F.lit(False)) & F.col("phrase").rlike(r"[\x{FFFD}\x{80}-\x{9F}\x{E000}-\x{F8FF}]")
     single = F.col("odd") & ~F.coalesce(F.col("restored_odd"), F.lit(True)) & (F.col("pairs") >= 2)
     by_rule = (
