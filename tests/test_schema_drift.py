@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from tidemark.operators.schema_drift import file_changes, groups, parser_changes, pattern_changes, unified
+from tidemark.operators.schema_drift import consistent, file_changes, groups, parser_changes, pattern_changes, unified
 
 SCHEMA = "series string, file_seq int, file string, line long, time string, level string, msg string, fields map<string,string>"
 
@@ -83,3 +83,27 @@ def test_unified_reports_failed_casts(spark):
     rows = [("s", 1, "a", i, None, None, None, {"n": str(i)}) for i in range(30)] + [("s", 2, "b", 1, None, None, None, {"n": "12ms"}), ("s", 2, "b", 2, None, None, None, {"n": ""})]
     got = unified(spark.createDataFrame(rows, SCHEMA)).where("file = 'b'").collect()
     assert {(r["line"], r["as_long"], r["as_text"], r["failed"]) for r in got} <= {(1, None, "12ms", True), (2, None, "", False), (1, None, "12ms", False)}
+
+
+def test_consistent_table_follows_renames(spark):
+    rng = random.Random(3)
+    num = lambda: str(rng.randrange(1000, 9000))
+    rows = rows_of("s", 1, 40, lambda t, lv, m, i: {"ts": t, "took": num(), "up": "true"}, rng)
+    rows += rows_of("s", 2, 40, lambda t, lv, m, i: {"time": t, "elapsed": num() if i else "12ms", "up": "false"} | ({"stray": "1"} if i == 1 else {}), rng)
+    rows += rows_of("s", 3, 40, lambda t, lv, m, i: {"time": t, "cost": num(), "up": "-"} if i else None, rng)
+    rows += [("s", 3, "s/3", 99, None, None, None, {}), (None, None, "x", 1, "t", None, None, {"k": "v"})]
+    df = spark.createDataFrame(rows + rows[:30], SCHEMA)
+    got = {(r["file"], r["line"]): r for r in consistent(df).collect()}
+    assert len(got) == len(rows) == consistent(df).count()
+    types = dict(consistent(df).select("values.*").dtypes)
+    assert types == {"ts": "string", "took": "bigint", "up": "boolean"}
+    for series, seq, file, line, t, lvl, msg, fields in rows:
+        r, f = got[file, line], fields or {}
+        assert (r["series"], r["file_seq"], r["time"], r["level"], r["msg"]) == (series, seq, t, lvl, msg)
+        v = next((f[k] for k in ("took", "elapsed", "cost") if k in f), None)
+        assert r["values"]["took"] == (int(v) if v and v != "12ms" else None)
+        assert r["values"]["up"] == {"true": True, "false": False}.get(f.get("up"))
+    assert got["s/2", 0]["failed"] == {"took": "12ms"} and got["s/2", 1]["other"] == {"stray": "1"} and got["x", 1]["other"] == {"k": "v"}
+    long = unified(df).where("field = 'took' or field is null").collect()
+    assert sum(r["field"] == "took" for r in long) == 119 and sum(r["field"] is None for r in long) == 2
+    assert consistent(df.limit(0)).count() == 0

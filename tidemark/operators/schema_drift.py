@@ -147,31 +147,45 @@ def _renames(pdf: pd.DataFrame) -> pd.DataFrame:
         if -score >= ALIKE and a not in old and b not in new:
             old[a] = b
             new.add(b)
-    out = [(r.series, r.seq, r.field, "renamed" if r.field in old else "removed") for r in went]
-    out += [(r.series, r.seq, r.field, "added") for r in came if r.field not in new]
-    return pd.DataFrame(out, columns=["series", "seq", "field", "change"])
+    out = [(r.series, r.seq, r.field, "renamed" if r.field in old else "removed", old.get(r.field)) for r in went]
+    out += [(r.series, r.seq, r.field, "added", None) for r in came if r.field not in new]
+    return pd.DataFrame(out, columns=["series", "seq", "field", "change", "new_name"])
 
 
 def file_changes(rows: DataFrame) -> DataFrame:
     """``series, seq, field, change`` between consecutive files of every series."""
-    stats = cut(field_statistics(rows))
-    files = rows.where("series is not null and file_seq is not null").select("series", "file_seq").distinct()
+    stats, files = cut(field_statistics(rows)), _files(rows)
+    return moves(stats, files).drop("new_name").unionByName(_retyped(stats, files))
+
+
+def _files(rows: DataFrame) -> DataFrame:
+    return rows.where("series is not null and file_seq is not null").select("series", "file_seq").distinct()
+
+
+def _followed(files: DataFrame) -> DataFrame:
     by_series = Window.partitionBy("series").orderBy("file_seq")  # one small row per file
-    follow = files.withColumn("next_seq", F.lead("file_seq").over(by_series)).withColumn("prev_seq", F.lag("file_seq").over(by_series))
-    s = stats.join(follow, ["series", "file_seq"])
+    return files.withColumn("next_seq", F.lead("file_seq").over(by_series)).withColumn("prev_seq", F.lag("file_seq").over(by_series))
+
+
+def moves(stats: DataFrame, files: DataFrame) -> DataFrame:
+    """``series, seq, field, change, new_name``: fields that came, went or were renamed (only then with ``new_name``)."""
+    s = stats.join(_followed(files), ["series", "file_seq"])
     here = s.where("prev_seq is not null").withColumn("seq", F.col("file_seq"))
     before = s.where("next_seq is not null").withColumn("seq", F.col("next_seq"))
     keys = ["series", "seq", "field"]
     moved = before.join(here.select(*keys), keys, "left_anti").withColumn("gone", F.lit(True)).unionByName(here.join(before.select(*keys), keys, "left_anti").withColumn("gone", F.lit(False)))
     use = [*keys, "gone", "kind", "role", "n_real", "distinct", "s_len", "s_digits", "s_letters", "s_upper", "s_log", "s_log2", "hist"]
-    names = moved.select(*use).groupBy("series", "seq").applyInPandas(_renames, "series string, seq int, field string, change string")
+    return moved.select(*use).groupBy("series", "seq").applyInPandas(_renames, "series string, seq int, field string, change string, new_name string")
+
+
+def _retyped(stats: DataFrame, files: DataFrame) -> DataFrame:
+    s = stats.join(_followed(files), ["series", "file_seq"])
     # the last defined type of the same field in an unbroken run of files
     typed = s.select("series", F.col("file_seq").alias("seq"), "prev_seq", "field", "kind", "role")
     run = Window.partitionBy("series", "field").orderBy("seq")  # one row per file of a series
     typed = typed.withColumn("broken", F.coalesce(F.lag("seq").over(run) != F.col("prev_seq"), F.lit(True)).cast("int")).withColumn("run", F.sum("broken").over(run))
     known = Window.partitionBy("series", "field", "run").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    retyped = typed.withColumn("was", F.last("kind", True).over(known)).where("kind <> was").select("series", "seq", "field", F.lit("retyped").alias("change"))
-    return names.unionByName(retyped)
+    return typed.withColumn("was", F.last("kind", True).over(known)).where("kind <> was").select("series", "seq", "field", F.lit("retyped").alias("change"))
 
 
 # ---- patterns ----
@@ -270,27 +284,136 @@ def parser_changes(parsers: DataFrame) -> DataFrame:
 CASTS = {"integer": "bigint", "decimal": "double", "boolean": "boolean"}
 
 
+_PLACED = "series string, file_seq int, field string, canonical string"
+
+
+def _place(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The canonical name of every field of every file of one series: the first name in its chain of renames."""
+    renamed = {(r.file_seq, r.new_name): r.field for r in pdf[pdf["new_name"].notna()].itertuples()}
+    fields: dict[int, list[str]] = {}
+    for r in pdf[pdf["new_name"].isna()].sort_values(["file_seq", "field"]).itertuples():
+        fields.setdefault(r.file_seq, []).append(r.field)
+    known: dict[str, str] = {}  # each name's canonical one when last seen
+    before: dict[str, str] = {}
+    by_file, ever = [], set()
+    for seq, names in fields.items():
+        now = {f: before[f] for f in names if f in before}
+        now |= {f: before[renamed[seq, f]] for f in names if renamed.get((seq, f)) in before}
+        for f in names:
+            if f not in now:
+                c, k = known.get(f, f), 1
+                while c in now.values() or (c in ever and f not in known):
+                    k += 1
+                    c = f"{f}_{k}"
+                now[f] = c
+        known |= now
+        ever |= set(now.values())
+        by_file.append((seq, now))
+        before = now
+    out = []
+    for seq, now in by_file:
+        # names that are rare in this file but are fields of others, unless the field has another name here
+        held = set(now.values())
+        for f in sorted(known):
+            c = now.get(f, known[f])
+            if f in now or c not in held:
+                held.add(c)
+                out.append((pdf["series"].iloc[0], seq, f, c))
+    return pd.DataFrame(out, columns=["series", "file_seq", "field", "canonical"])
+
+
 def field_ids(stats: DataFrame, changes: DataFrame) -> DataFrame:
-    """Not exported as a query of its own: the type each field has in most files of its series."""
-    return stats.where("kind is not null").groupBy("series", "field", "kind").agg(F.count("*").alias("files")).groupBy("series", "field").agg(F.max_by("kind", F.struct("files", "kind")).alias("kind"))
+    """``series, file_seq, field, canonical``: the one name of each field of a file through the renames of its series."""
+    renames = changes.where("change = 'renamed'").select("series", F.col("seq").alias("file_seq"), "field", "new_name")
+    rows = stats.select("series", "file_seq", "field", F.lit(None).cast("string").alias("new_name")).unionByName(renames)
+    return rows.groupBy("series").applyInPandas(_place, _PLACED)  # as many rows as a series' files have fields
+
+
+def _kinds(stats: DataFrame, ids: DataFrame, keys: list[str]) -> DataFrame:
+    """The type most of a canonical field's values have; integer and decimal count together, and as decimal if a tenth is decimal."""
+    sums = stats.join(ids, ["series", "file_seq", "field"]).groupBy(*keys).agg(*[F.sum(f"t_{t}").alias(t) for t in TYPES])
+    number = F.col("integer") + F.col("decimal")
+    best = F.greatest(number, *[F.col(t) for t in TYPES[2:]])
+    numeric = F.when(F.col("decimal") > (1 - TYPE_SHARE) * number, "decimal").otherwise("integer")
+    kind = F.when(best <= 0, "text").when(number == best, numeric)
+    for t in TYPES[2:]:
+        kind = kind.when(F.col(t) == best, t)
+    return sums.select(*keys, kind.alias("kind"))
+
+
+def _once(rows: DataFrame) -> DataFrame:
+    """Repeated rows once; rows without a whole key stay as they are."""
+    whole = F.col("file").isNotNull() & F.col("line").isNotNull()
+    return rows.where(whole).dropDuplicates(["file", "line"]).unionByName(rows.where(~whole))
+
+
+def _canonical(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Records with ``cells`` (canonical name -> text) and ``other`` (fields that belong to no file), the statistics and the names."""
+    stats = cut(field_statistics(rows))
+    ids = cut(field_ids(stats, moves(stats, _files(rows))))
+    names = ids.groupBy("series", "file_seq").agg(F.map_from_entries(F.collect_list(F.struct("field", "canonical"))).alias("names"))  # the fields of a series
+    slim = _once(rows.select("series", "file_seq", "file", "line", "time", "level", "msg", "fields"))
+    named = lookup_join(slim, cut(names), ["series", "file_seq"], "left", salt_by=F.col("line"))
+    names_of = F.coalesce("names", F.create_map().cast("map<string,string>"))
+    named = named.withColumn("names", names_of)
+    cells = F.expr("transform_keys(map_filter(fields, (k, v) -> map_contains_key(names, k)), (k, v) -> names[k])")
+    other = F.expr("map_filter(fields, (k, v) -> not map_contains_key(names, k))")
+    return named.select("series", "file_seq", "file", "line", "time", "level", "msg", cells.alias("cells"), other.alias("other")), stats, ids
+
+
+def _cast(kind: str, value: Column) -> Column:
+    return F.trim(value).try_cast(CASTS[kind]) if kind in CASTS else value
 
 
 def unified(rows: DataFrame) -> DataFrame:
-    """Long form of the consistent table: one row per record and field with the value cast to the field's main type.
+    """Long form of the consistent table: one row per record and field under its canonical name, with the value cast to
+    the field's main type in its series; a record without fields is one row without ``field``.
 
-    ``series, file, line, field, kind, as_long, as_double, as_boolean, as_text, failed``: ``failed`` marks a non-null,
-    non-placeholder value which does not cast; it stays readable in ``as_text``.
+    ``series, file_seq, file, line, time, level, msg, field, kind, as_long, as_double, as_boolean, as_text, failed``:
+    ``failed`` marks a non-null, non-placeholder value which does not cast; it stays readable in ``as_text``.
     """
-    stats = cut(field_statistics(rows))
-    kinds = cut(field_ids(stats, stats))
-    cells = rows.where("series is not null").select("series", "file", "line", F.explode("fields").alias("field", "value"))
+    records, stats, ids = _canonical(rows)
+    kinds = cut(_kinds(stats, ids, ["series", "canonical"]).withColumnRenamed("canonical", "field"))
+    keys = ["series", "file_seq", "file", "line", "time", "level", "msg"]
+    pairs = F.concat(F.map_entries(F.coalesce("cells", F.create_map().cast("map<string,string>"))), F.map_entries(F.coalesce("other", F.create_map().cast("map<string,string>"))))
+    cells = records.select(*keys, F.explode_outer(pairs).alias("cell")).select(*keys, F.col("cell.key").alias("field"), F.col("cell.value").alias("value"))
     typed = lookup_join(cells, kinds, ["series", "field"], "left", salt_by=F.col("line"))
-    as_long = F.expr("case when kind = 'integer' then try_cast(trim(value) as bigint) end")
-    as_double = F.expr("case when kind in ('integer', 'decimal') then try_cast(trim(value) as double) end")
-    as_bool = F.expr("case when kind = 'boolean' then try_cast(trim(value) as boolean) end")
+    as_long = F.when(F.col("kind") == "integer", _cast("integer", F.col("value")))
+    as_double = F.when(F.col("kind").isin("integer", "decimal"), _cast("decimal", F.col("value")))
+    as_bool = F.when(F.col("kind") == "boolean", _cast("boolean", F.col("value")))
     failed = F.when(F.col("kind") == "integer", as_long.isNull()).when(F.col("kind") == "decimal", as_double.isNull()).when(F.col("kind") == "boolean", as_bool.isNull()).otherwise(False)
     real = raw_type(F.col("value")).isNotNull()
-    return typed.select("series", "file", "line", "field", F.coalesce("kind", F.lit("text")).alias("kind"), as_long.alias("as_long"), as_double.alias("as_double"), as_bool.alias("as_boolean"), F.col("value").alias("as_text"), (real & failed).alias("failed")).distinct()
+    return typed.select(*keys, "field", F.when(F.col("field").isNotNull(), F.coalesce("kind", F.lit("text"))).alias("kind"), as_long.alias("as_long"), as_double.alias("as_double"), as_bool.alias("as_boolean"), F.col("value").alias("as_text"), (real & failed).alias("failed"))
+
+
+def consistent(rows: DataFrame) -> DataFrame:
+    """The consistent table: every record once, with one typed column a field whatever its name in the record's file.
+
+    ``series, file_seq, file, line, time, level, msg, values, failed, other``: ``values`` is a struct of the canonical
+    fields, a field's type being that of most of its values over all series; ``failed`` maps fields to non-placeholder
+    values that do not cast, as text, ``other`` holds what is a field of no file. Placeholders in typed columns are null.
+    Records without fields, or of no series or file number, are kept. Names that differ in case only get a number.
+    """
+    records, stats, ids = _canonical(rows)
+    # as many rows as there are field names in the schemas
+    kinds = {r["canonical"]: r["kind"] for r in _kinds(stats, ids, ["canonical"]).orderBy("canonical").collect()}
+    taken: set[str] = set()
+    columns = []
+    for c, kind in kinds.items():
+        name, k = c, 1
+        while name.lower() in taken:
+            k += 1
+            name = f"{c}_{k}"
+        taken.add(name.lower())
+        columns.append(_cast(kind, F.element_at("cells", F.lit(c))).alias(name))
+    bad = lambda k, v: F.lit(False)
+    for kind in CASTS:
+        of_kind = [c for c, x in kinds.items() if x == kind]
+        if of_kind:
+            bad = lambda k, v, was=bad, kind=kind, of_kind=of_kind: was(k, v) | (k.isin(of_kind) & _cast(kind, v).isNull() & raw_type(v).isNotNull())
+    failed = F.map_filter("cells", lambda k, v: bad(k, v))
+    values = F.struct(*columns) if columns else F.lit(None).cast("struct<none:string>")
+    return records.select("series", "file_seq", "file", "line", "time", "level", "msg", values.alias("values"), failed.alias("failed"), "other")
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -302,5 +425,5 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_unified(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The consistent table of all json_summary records in long form."""
-    return unified(table(spark, sf_dir, "json_summary"))
+    """The consistent table of all json_summary records."""
+    return consistent(table(spark, sf_dir, "json_summary"))
