@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators.rejects import csv_loaded, csv_rejects, read_rows, record_rejects
+from tidemark.operators.rejects import csv_loaded, csv_rejects, p5_loaded, read_rows, record_rejects
 
 HEAD = "ts,level,session,status,ms,msg"
 
@@ -106,3 +106,19 @@ def test_records(spark):
     rows = [("a", 1, "generic", g), ("a", 2, "generic", g | {"ms": "1e5"}), ("a", 3, "generic", g | {"note": "x"}), ("a", 4, "generic", g | {"session": "S'1"}), ("a", 5, "sql", s | {"query": "note 'it''s \"search\" again'"}), ("a", 6, "sql", s | {"query": '"open'}), ("a", 7, "sql", {"session": "s", "action": "SELCT", "query": ""}), ("a", 8, "other", g), ("a", 9, None, g), ("a", 10, "generic", None), ("a", 11, "generic", g | {"status": None}), ("a", 12, "sql", {}), ("a", 12, "sql", {})]
     df = spark.createDataFrame(rows, "file string, line long, kind string, fields map<string,string>")
     assert {(r["line"], r["reason"]) for r in record_rejects(df).collect()} == {(2, "value"), (3, "columns"), (4, "quoting"), (6, "quoting"), (7, "value"), (10, "columns"), (11, "value"), (12, "columns")}
+
+
+def test_both_tables_are_loaded(spark, tmp_path):
+    g = {"session": "s", "status": "200", "ms": "1.5", "bytes": "90071992547409930"}
+    s = {"session": "", "action": "INSERT", "query": "it 'fine'"}
+    rows = [("a", 1, "generic", g), ("a", 1, "generic", g), ("a", 2, "generic", g | {"status": "600"}), ("a", 3, "sql", s), ("a", 4, "sql", s | {"query": '"open'}), ("a", 5, "other", g), ("a", 6, None, g), ("a", 7, "sql", None)]
+    spark.createDataFrame(rows, "file string, line long, kind string, fields map<string,string>").write.parquet(f"{tmp_path}/parsed_record.parquet")
+    lines = [("c", 1, HEAD), ("c", 2, "2026-01-01 00:00:00,INFO,s,200,1,m"), ("c", 3, "bad")]
+    spark.createDataFrame(lines, "file string, line_no long, text string").write.parquet(f"{tmp_path}/line_view.parquet")
+    spark.createDataFrame([("c", "csv"), ("a", "log")], "file string, kind string").write.parquet(f"{tmp_path}/doc.parquet")
+    got = {(r["tbl"], r["file"], r["line"], r["kind"], r["level"], r["session"], r["status"], r["ms"], r["msg"], r["bytes"], r["action"], r["query"]) for r in p5_loaded(spark, str(tmp_path)).collect()}
+    assert got == {
+        ("line_view", "c", 2, None, "INFO", "s", 200, 1.0, "m", None, None, None),
+        ("parsed_record", "a", 1, "generic", None, "s", 200, 1.5, None, 90071992547409930, None, None),
+        ("parsed_record", "a", 3, "sql", None, "", None, None, None, None, "INSERT", "it 'fine'"),
+    }

@@ -34,6 +34,8 @@ DELIMITERS = [",", ";", "\t", "|"]
 _STATUS, _MS = r"^[1-5][0-9]{2}$", r"^[0-9]+(\.[0-9]+)?$"
 #: the columns of the typed result, with the check of problem 5 behind each
 TYPED = "ts timestamp, level string, session string, status int, ms double, msg string"
+#: what only valid record maps have besides; ``bytes`` holds any number of up to 38 digits, beyond which the load fails
+RECORD_TYPED = "bytes decimal(38,0), action string, query string"
 
 
 def layout(header: str) -> tuple[str, tuple[str, ...], str]:
@@ -195,6 +197,16 @@ def record_rejects(records: DataFrame) -> DataFrame:
     return records.select("file", "line", record_reason(F.col("kind"), F.col("fields")).alias("reason")).where("reason is not null").distinct()
 
 
+def records_loaded(records: DataFrame) -> DataFrame:
+    """The valid parsed records with the fields of their kind as typed columns: ``file, line, kind, session, status, ms,
+    bytes, action, query``; a column the kind lacks is null."""
+    field = lambda name: F.element_at("fields", F.lit(name))
+    valid = records.where(F.col("kind").isin("generic", "sql") & record_reason(F.col("kind"), F.col("fields")).isNull())
+    return valid.select(
+        "file", "line", "kind", field("session").alias("session"), field("status").cast("int").alias("status"), field("ms").cast("double").alias("ms"), field("bytes").cast("decimal(38,0)").alias("bytes"), field("action").alias("action"), field("query").alias("query")
+    ).distinct()
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``tbl, file, line, reason`` of all failing rows of csv files and of parsed records."""
     a = csv_rejects(table(spark, sf_dir, "line_view"), table(spark, sf_dir, "doc")).withColumn("tbl", F.lit("line_view"))
@@ -203,5 +215,9 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The valid rows of all csv files, typed."""
-    return csv_loaded(table(spark, sf_dir, "line_view"), table(spark, sf_dir, "doc"))
+    """``tbl, file, line, kind``, TYPED and RECORD_TYPED: the valid rows of all csv files and the valid parsed records,
+    typed; ``kind`` is that of a record, columns of the other table are null."""
+    rows = csv_loaded(table(spark, sf_dir, "line_view"), table(spark, sf_dir, "doc")).withColumn("tbl", F.lit("line_view"))
+    records = records_loaded(table(spark, sf_dir, "parsed_record")).withColumn("tbl", F.lit("parsed_record"))
+    cols = ["tbl", "file", "line", "kind", *(c.split()[0] for c in f"{TYPED}, {RECORD_TYPED}".split(", "))]
+    return rows.unionByName(records, allowMissingColumns=True).select(*cols)
