@@ -74,3 +74,12 @@ def test_learned_characters_decide_single_sequences(spark):
     rows += [("g", 100, "x " + wrong("déjà fermé", "utf8", "windows1252")), ("g", 101, "x Ã©tat"), ("g", 102, "x Ã©tat."), ("g", 103, "x (Ã©tat)")]
     got = {r["line_no"]: r["restored"] for r in restored_lines(spark.createDataFrame(rows, "file string, line_no long, text string")).collect()}
     assert got == {100: "x déjà fermé", 101: "x état", 102: "x état.", 103: "x (état)"}
+
+
+def test_decodings_repeated_often_or_in_mixed_ways(spark):
+    often = "Größe überschritten"
+    for _ in range(5):
+        often = wrong(often, "utf8", "windows1252")
+    mixed = wrong(wrong("Ошибка Записи", "koi8r", "windows1251"), "utf8", "windows1252")
+    df = spark.createDataFrame([("g", 1, "x " + often), ("g", 2, "x " + mixed)], "file string, line_no long, text string")
+    assert {r["line_no"]: r["restored"] for r in restored_lines(df).collect()} == {1: "x Größe überschritten", 2: "x " + mixed}  # not certain which single-byte encoding it was

@@ -46,7 +46,6 @@ PHRASE = r"""[A-Za-z']*[^\x00-\x7F][^\x00-\x20":;,]*(?: [^\x00-\x20":;,]*[^\x00-
 _LOST = re.compile("[\ufffd\x80-\x9f\ue000-\uf8ff]")
 #: signs that stand in clean text
 _FAIR_SIGNS = set("\u2014\u2013\u2026\xab\xbb\u201e\u201c\u201d\u2018\u2019\u201a\u2022\xb7\xb0\xb1\xd7\xf7\xb5\xbd\xbc\xbe\u20ac\xa3\xa5\xa7\xa9\xae\u2122\u2116\u2192\u2190\u2191\u2193\u2713\u2717\u2264\u2265\u2248\u2260\u221e\xbf\xa1\xaa\xba\xb2\xb3\xb9\u2030\u3001\u3002\u30fb\u300c\u300d\uff08\uff09\uff1a\uff1b\uff01\uff1f\ufeff\u200b")
-MAX_DEPTH = 3
 #: signs that may follow a word's last letter in clean text
 _CLOSING = set("\u2026\xbb\u201c\u201d\u201e\u2018\u2019\u201a\u2013\u2014\u2022\xb7")
 _SEQUENCE = re.compile(rb"[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}")
@@ -150,17 +149,18 @@ def undone(phrase: str, codecs: Codecs) -> list[tuple[str, str, int]]:
     """What undoing wrong decodings gives: (chain of ``D>E`` steps, text, UTF-8 sequences undone)."""
     out: dict[str, tuple[str, int]] = {}
     front = [(phrase, "", 0)]
-    for depth in range(MAX_DEPTH):
+    while front:  # ends: no step to UTF-8 makes a text longer, and every text is looked at once
         nxt = []
         for text, chain, n in front:
             step = f"{chain}," if chain else ""
+            utf8_only = bool(chain) and not odd(text)
             for d in CODECS:
                 if d == "utf8":
                     continue  # other encodings read as UTF-8 lose characters
                 whole = codecs.encode(text, d)
                 if whole is not None and not whole.isascii():
                     for e in CODECS:
-                        if e == d or (e != "utf8" and depth):
+                        if e == d or (e != "utf8" and utf8_only):
                             continue
                         v = codecs.decode(whole, e)
                         if v is None or v == text or v in out or v == phrase:
@@ -177,7 +177,7 @@ def undone(phrase: str, codecs: Codecs) -> list[tuple[str, str, int]]:
                     out[v] = (f"{step}{d}>utf8*", n + m)
                     nxt.append((v, f"{step}{d}>utf8*", n + m))
         # a repeated decoding leaves text which is still odd
-        front = [x for x in nxt if not x[0].isascii()][:64]
+        front = [x for x in nxt if not x[0].isascii()]
     return [(c, v, m) for v, (c, m) in out.items()]
 
 
@@ -283,6 +283,8 @@ def decided(vocab: DataFrame) -> DataFrame:
     # taught, where one sequence is enough
     sure = utf8 & ~F.col("restored_odd") & (F.col("odd") | (F.col("sequences") >= 2) & F.col("pairs").isNotNull() | F.coalesce("spelt", F.lit(False)))
     lost = F.coalesce(F.col("odd"), F.lit(False)) & F.col("phrase").rlike(r"[\x{FFFD}\x{80}-\x{9F}\x{E000}-\x{F8FF}]")
+    # single-byte encodings after a UTF-8 step: garbled, but not certain which they were
+    lost |= F.coalesce(F.col("odd") & F.col("chain").contains(">utf8") & ~F.col("restored_odd"), F.lit(False))
     single = F.col("odd") & ~F.coalesce(F.col("restored_odd"), F.lit(True)) & (F.col("pairs") >= 2)
     by_rule = (
         known.groupBy("phrase")
