@@ -143,3 +143,18 @@ def test_scalars(spark):
     assert scalars.tidy_sql("select a from t where x='from b'") == "SELECT a\nFROM t\nWHERE x='from b'" and scalars.pretty_json("{") is None
     assert one(scalars.safe_name(F.lit("Été: My File_1!"))) == "t-my-file_1" and scalars.word_at("ab cd_e", 4) == "cd_e"
     assert scalars.version_key("v1.10.0") > scalars.version_key("1.9.9") and scalars.version_key("1.0-rc1") < scalars.version_key("1.0")
+
+
+def test_follow_line_longer_than_a_batch(tmp_path, monkeypatch):
+    monkeypatch.setattr(follow, "BATCH", 8)
+    p = tmp_path / "long.log"
+    p.write_text("x" * 50 + "\nnext\n" + "y" * 20)
+    reader = follow.FollowReader(str(p))
+    at, got = reader.initialOffset(), []
+    for _ in range(4):
+        rows, at = reader.read(at)
+        got += [r[4] for r in rows]
+    assert got == ["x" * 50, "next"]
+    p.write_text("x" * 50 + "\nnext\n" + "y" * 20 + "\n")
+    rows, at = reader.read(at)
+    assert [r[4] for r in rows] == ["y" * 20]

@@ -73,6 +73,8 @@ class FollowReader(SimpleDataSourceStreamReader):
         with open(self.path, "rb") as f:
             f.seek(at["byte"])
             data = f.read(BATCH if stop is None else stop - at["byte"])
+            if stop is None and len(data) == BATCH and b"\n" not in data:
+                data += f.readline()  # a line longer than a batch is read to its end
         whole = data[: data.rfind(b"\n") + 1]
         rows, byte, line = [], at["byte"], at["line"]
         for raw in whole.split(b"\n")[:-1]:
