@@ -106,3 +106,59 @@ def test_nulls_and_empty(spark):
 
 def test_level_rank():
     assert [level_rank(x) for x in ("err", "SEVERE", "F", "<131", "<134", "50", "notice", None, "", "odd")] == [50, 50, 60, 50, 30, 50, 30, 0, 0, 0]
+
+
+def full(spark, lines, block=BLOCK):
+    doc = spark.createDataFrame([("f", "log")], "file string, kind string")
+    rows = entries(frame(spark, {"f": lines}), doc, block=block).collect()
+    return {r["first_line"]: (r["last_line"], r["ts_raw"], r["lvl"], r["component"], r["msg"]) for r in rows}
+
+
+def test_zone_abbreviation_weekday_year_and_bare_values(spark):
+    lines = [f"2026-02-08 10:23:{i:02d},865 AEDT ERROR store.a - flush {i} lost" for i in range(40)]
+    lines += [f"Thu Mar 12 04:16:{i:02d} 2026 [error] [core] lost {i}" for i in range(40)]
+    lines += [f"level=error component=cache ts=2026-03-01T10:00:{i:02d}Z msg=flushed-{i}" for i in range(40)]
+    lines += [f"01-Mar-2026 10:00:{i:02d} PM ERROR net - odd hour {i}" for i in range(3)]
+    got = full(spark, lines)
+    assert [got[i + 121][1:] for i in range(3)] == [(f"01-Mar-2026 10:00:{i:02d} PM", "ERROR", "net", f"odd hour {i}") for i in range(3)]
+    for i in range(40):
+        assert got[i + 1] == (i + 1, f"2026-02-08 10:23:{i:02d},865 AEDT", "ERROR", "store.a", f"flush {i} lost")
+        assert got[i + 41] == (i + 41, f"Thu Mar 12 04:16:{i:02d} 2026", "error", "core", f"lost {i}")
+        assert got[i + 81] == (i + 81, f"2026-03-01T10:00:{i:02d}Z", "error", "cache", f"flushed-{i}")
+
+
+@pytest.mark.parametrize("block", [3, 10, BLOCK])
+def test_objects_in_an_indented_array_and_their_fields(spark, block):
+    lines = ["["]
+    for i in range(30):
+        lines += ["  {", f'    "time": "2026-03-01 10:00:{i:02d}",', '    "logger": "net",', '    "inner": [', "      1,", '      {"time": 5, "level": "error", "logger": "x"}', "    ],", '    "level":', '    "level": "error",', f'    "msg": "a {{b}} \\"{i}\\""', "  },"]
+    lines += ["]", "2026-03-01 10:10:00 ERROR store - after"] + [f"2026-03-01 10:11:{i:02d} ERROR store - after" for i in range(9)]
+    got = full(spark, lines, block)
+    want = {2 + 11 * i: (1 + 11 * (i + 1), f"2026-03-01 10:00:{i:02d}", "error", "net", f'a {{b}} "{i}"') for i in range(30)}
+    want[2 + 11 * 29] = (332, *want[2 + 11 * 29][1:])
+    assert {k: v for k, v in got.items() if k <= 332} == want
+    assert got[333] == (333, "2026-03-01 10:10:00", "ERROR", "store", "after")
+
+
+@pytest.mark.parametrize("n", [3, 8, 40])
+def test_heads_of_any_length(spark, n):
+    """A level behind any number of words or signs, if it differs from line to line; a constant one far in a line is no level."""
+    words = " ".join(f"part{'abcdefghij'[i % 10]}" for i in range(n))
+    lines = [f"2026-03-01 10:00:{i:02d} {words} {LEVELS[i % 5]} said {i}" for i in range(50)]
+    signs = "|".join(str(i) for i in range(n))
+    lines += [f"2026-03-01 11:00:{i:02d}|{signs}|{LEVELS[i % 5]}|net|said {i}" for i in range(50)]
+    lines += [f"2026-03-01 12:00:{i:02d} one two three four five of ERROR kind" for i in range(20)]
+    got = full(spark, lines)
+    for i in range(50):
+        assert got[i + 1][1:3] == (f"2026-03-01 10:00:{i:02d}", LEVELS[i % 5])
+        assert got[i + 51][1:] == (f"2026-03-01 11:00:{i:02d}", LEVELS[i % 5], "net", f"said {i}")
+    assert max(got) == 100
+
+
+def test_templates_have_slots(spark):
+    from tidemark.operators import iplom
+
+    lines = [f"[2026-03-01 10:00:{i:02d}] [ERROR] [net] flush of {i} took {'abcdefg'[i % 7]} ms" for i in range(50)]
+    got = {r["template"]: (r["slots"], r["cnt"]) for r in iplom.written(iplom.templates(iplom.counted(frame(spark, {"f": lines})))).collect()}
+    assert sum(c for _, c in got.values()) == 70  # with the 20 repeated rows of the fixture
+    assert all(t.startswith("[ <T> ] [ <L> ] [ net ] flush of <N> took") for t in got)

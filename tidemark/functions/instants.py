@@ -18,6 +18,7 @@ Defined results
 from __future__ import annotations
 
 import datetime as dt
+import re
 from functools import lru_cache
 from zoneinfo import ZoneInfo, available_timezones
 
@@ -29,29 +30,36 @@ _SEP = "\u0001"
 
 # Pieces of the alternation; {n} numbers the alternative, so that group names stay unique.
 _HMS = r"(?<h{n}>\d{{1,2}}):(?<mi{n}>\d{{2}}):(?<s{n}>\d{{2}})(?:[.,](?<f{n}>\d{{1,9}}))?"
-_ZONE = r"(?:\s*(?<z{n}>Z|[+-]\d{{2}}:?\d{{2}}|[A-Za-z]{{3,5}}))?"
-_MON = r"(?<mn{n}>[A-Za-z]{{3}})[a-z]{{0,6}}"
-_DAYNAME = r"(?:[A-Za-z]{{3,9}},?\s+)?"
-_FORMS = [
-    # 2026-03-29T00:33:41.892031+01:00   2026/07/14 10:25:09   2026-03-29T005416,182   2026-02-08 10:23:01,865 AEDT
-    r"(?<y{n}>\d{{4}})(?<q{n}>[-/.])(?<mo{n}>\d{{1,2}})\k<q{n}>(?<d{n}>\d{{1,2}})(?:[T_ ]\s*)(?<h{n}>\d{{2}})(?<c{n}>:?)(?<mi{n}>\d{{2}})\k<c{n}>(?<s{n}>\d{{2}})(?:[.,](?<f{n}>\d{{1,9}}))?" + _ZONE,
-    # 20260329T010926Z
-    r"(?<y{n}>\d{{4}})(?<mo{n}>\d{{2}})(?<d{n}>\d{{2}})[T_ ](?<h{n}>\d{{2}})(?<mi{n}>\d{{2}})(?<s{n}>\d{{2}})(?:[.,](?<f{n}>\d{{1,9}}))?" + _ZONE,
-    # 29/Mar/2026:00:34:15 +0100   26-Aug-2026 05:47:57.199   Thu, 18 Jun 2026 18:08:09 +0530
-    _DAYNAME + r"(?<d{n}>\d{{1,2}})[-/\s]" + _MON + r"[-/\s](?<y{n}>\d{{4}})[:T\s]\s*" + _HMS + _ZONE,
-    # Mar  8 04:16:04   Thu Mar  8 04:16:04 2026
-    _DAYNAME + _MON + r"\s+(?<d{n}>\d{{1,2}})\s+" + _HMS + r"(?:\s+(?<y{n}>\d{{4}}))?" + _ZONE,
-    # 18/06/2026 18:57:06   11/07/2026 08:39:03 PM
-    r"(?<a{n}>\d{{1,2}})/(?<b{n}>\d{{1,2}})/(?<y{n}>\d{{4}})[T\s]\s*" + _HMS + r"(?:\s*(?<p{n}>[AaPp])\.?[Mm]\.?)?" + _ZONE,
-    # 31.03.2026 05:21:47
-    r"(?<d{n}>\d{{1,2}})\.(?<mo{n}>\d{{1,2}})\.(?<y{n}>\d{{4}})[T\s]\s*" + _HMS + _ZONE,
-    # 01:05:48 2026-10-25
-    _HMS + r"\s+(?<y{n}>\d{{4}})-(?<mo{n}>\d{{2}})-(?<d{n}>\d{{2}})" + _ZONE,
-    # 0328 18:26:54.756875
-    r"(?<mo{n}>\d{{2}})(?<d{n}>\d{{2}})\s+" + _HMS,
-    # 1769006605   1789641665.675508   1789628264168
-    r"(?<e{n}>-?\d{{9,19}})(?:\.(?<f{n}>\d{{1,9}}))?",
-]
+
+
+def _forms(abbreviation: str, month: str, day: str, epoch: str) -> list[str]:
+    """The formats, over patterns for zone abbreviations, the names of months and days and times in Unix seconds."""
+    zone = r"(?:\s*(?<z{n}>Z|[+-]\d{{2}}:?\d{{2}}(?!\d)|" + abbreviation + r"))?"
+    mon = rf"(?<mn{{n}}>{month})[a-z]{{{{0,6}}}}"
+    dayname = rf"(?:{day},?\s+)?"
+    return [
+        # 2026-03-29T00:33:41.892031+01:00   2026/07/14 10:25:09   2026-03-29T005416,182   2026-02-08 10:23:01,865 AEDT
+        r"(?<y{n}>\d{{4}})(?<q{n}>[-/.])(?<mo{n}>\d{{1,2}})\k<q{n}>(?<d{n}>\d{{1,2}})(?:[T_ ]\s*)(?<h{n}>\d{{2}})(?<c{n}>:?)(?<mi{n}>\d{{2}})\k<c{n}>(?<s{n}>\d{{2}})(?:[.,](?<f{n}>\d{{1,9}}))?" + zone,
+        # 20260329T010926Z
+        r"(?<y{n}>\d{{4}})(?<mo{n}>\d{{2}})(?<d{n}>\d{{2}})[T_ ](?<h{n}>\d{{2}})(?<mi{n}>\d{{2}})(?<s{n}>\d{{2}})(?:[.,](?<f{n}>\d{{1,9}}))?" + zone,
+        # 29/Mar/2026:00:34:15 +0100   26-Aug-2026 05:47:57.199   Thu, 18 Jun 2026 18:08:09 +0530
+        dayname + r"(?<d{n}>\d{{1,2}})[-/\s]" + mon + r"[-/\s](?<y{n}>\d{{4}})[:T\s]\s*" + _HMS + zone,
+        # Mar  8 04:16:04   Thu Mar  8 04:16:04 2026
+        dayname + mon + r"\s+(?<d{n}>\d{{1,2}})\s+" + _HMS + r"(?:\s+(?<y{n}>\d{{4}})(?!\w))?" + zone,
+        # 18/06/2026 18:57:06   11/07/2026 08:39:03 PM
+        r"(?<a{n}>\d{{1,2}})/(?<b{n}>\d{{1,2}})/(?<y{n}>\d{{4}})[T\s]\s*" + _HMS + r"(?:\s*(?<p{n}>[AaPp])\.?[Mm]\.?)?" + zone,
+        # 31.03.2026 05:21:47
+        r"(?<d{n}>\d{{1,2}})\.(?<mo{n}>\d{{1,2}})\.(?<y{n}>\d{{4}})[T\s]\s*" + _HMS + zone,
+        # 01:05:48 2026-10-25
+        _HMS + r"\s+(?<y{n}>\d{{4}})-(?<mo{n}>\d{{2}})-(?<d{n}>\d{{2}})" + zone,
+        # 0328 18:26:54.756875
+        r"(?<mo{n}>\d{{2}})(?<d{n}>\d{{2}})\s+" + _HMS,
+        # 1769006605   1789641665.675508   1789628264168
+        epoch,
+    ]
+
+
+_FORMS = _forms("[A-Za-z]{{3,5}}", "[A-Za-z]{{3}}", "[A-Za-z]{{3,9}}", r"(?<e{n}>-?\d{{9,19}})(?:\.(?<f{n}>\d{{1,9}}))?")
 _PARTS = ["y", "mo", "mn", "d", "a", "b", "h", "mi", "s", "f", "z", "p", "e"]
 
 
@@ -89,7 +97,7 @@ def month_days(y: Column, m: Column) -> Column:
 def _zone_rows() -> list[tuple[str, dict[str, int]]]:
     """Every zone of the tz database with the offset each of its abbreviations stands for (the latest use wins)."""
     out = []
-    stamps = [dt.datetime(y, m, 1, tzinfo=dt.timezone.utc) for y in range(1990, 2038) for m in (1, 4, 7, 10)]
+    stamps = [dt.datetime(y, m, 1, tzinfo=dt.timezone.utc) for y in range(1990, 2038) for m in range(1, 13)]
     for name in sorted(available_timezones()):
         zone, abbr = ZoneInfo(name), {}
         for t in stamps:
@@ -99,6 +107,20 @@ def _zone_rows() -> list[tuple[str, dict[str, int]]]:
     return out
 
 
+@lru_cache(maxsize=1)
+def zone_abbreviations() -> list[str]:
+    """Every abbreviation of letters that a zone of the tz database uses."""
+    return sorted({a for _, abbr in _zone_rows() for a in abbr if a.isalpha()})
+
+
+def time_pattern(n: str) -> str:
+    """The formats as they stand within a line, as one pattern without groups but those of its back references, numbered ``n``."""
+    named = [m.capitalize() for m in MONTHS]
+    days = ["Mon", "Tue", "Wed", "Thu", "Fri", "Sat", "Sun"]
+    forms = _forms(rf"(?:{'|'.join(zone_abbreviations())})\b", "|".join(named), f"(?:{'|'.join(days)})[a-z]{{{{0,6}}}}", r"(?<![\w.])(?:\d{{10}}|\d{{13}}|\d{{16}}|\d{{19}})(?:\.\d{{1,9}})?(?![\w.])")
+    return "(?:" + "|".join(re.sub(r"\(\?<(?![qc]\{n\}|[!=])\w+\{n\}>", "(?:", f).format(n=n) for f in forms) + r")(?: [AP]M\b)?"
+
+
 def zone_table(spark: SparkSession) -> DataFrame:
     """``tz_name, tz_abbr map<string,int>``: as many rows as the tz database has zones (about 600, fixed)."""
     return spark.createDataFrame(_zone_rows(), "tz_name string, tz_abbr map<string,int>")

@@ -1,9 +1,10 @@
 """Iterative partitioning of log lines into templates (the layout miner behind problem 1).
 
-Lines are reduced to shapes (typed tokens) and counted; all further work is on the distinct shapes. Three splits -
-token count and classes of the first tokens, least-variable position, bijection between two positions - give leaves, whose constant tokens and variable
-slots are the templates. Every split is a pair of partial aggregations over (partition, position, token), so a
-partition that holds a large part of the shapes is never gathered in one task.
+Lines are reduced to typed tokens and counted (``line_types``); all further work is on the distinct token sequences.
+Three splits - token count and classes of the head, least-variable position, bijection between two positions - give
+leaves, whose constant tokens and variable slots are the templates. Every split is a partial aggregation over
+(partition, position, token) followed by a size-checked look-up, so a partition that holds a large part of the lines is
+neither gathered in one task nor shuffled on its number alone.
 """
 
 from __future__ import annotations
@@ -11,107 +12,80 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import cut
-
-M = "\u0002"  # marks a typed token
-#: tokens of a line that may be part of its head; lines whose heads differ in class never share a leaf
-HEAD = 24
-#: Timestamps as they stand at the head of log lines.
-TIME = (
-    r"\d{4}[-/]\d{2}[-/]\d{2}[T ]\d{2}:?\d{2}:?\d{2}(?:[.,]\d+)?(?:Z| ?[+-]\d{2}:?\d{2}(?!\d))?"
-    r"|\d{8}T\d{6}Z?"
-    r"|\d{1,2}[/-][A-Z][a-z]{2}[/-]\d{4}[: ]\d{2}:\d{2}:\d{2}(?:[.,]\d+)?(?: [+-]\d{4})?"
-    r"|(?:[A-Z][a-z]{2}, )?\d{1,2} [A-Z][a-z]{2} \d{4} \d{2}:\d{2}:\d{2}(?: [+-]\d{4})?"
-    r"|[A-Z][a-z]{2} [ \d]\d \d{2}:\d{2}:\d{2}(?:\.\d+)?"
-    r"|\d{1,2}[./]\d{1,2}[./]\d{4} \d{2}:\d{2}:\d{2}(?: [AP]M)?"
-    r"|\d{2}:\d{2}:\d{2}(?:[.,]\d+)? \d{4}-\d{2}-\d{2}"
-    r"|(?<=^[A-Z])\d{4} \d{2}:\d{2}:\d{2}\.\d+"
-    r"|(?<![\w.])1\d{9}(?:\.\d{1,9}|\d{3})?(?![\w.])"
-)
-#: Level words and abbreviations in any case; single letters only as upper-case tokens of their own.
-LEVEL_WORDS = "trace verbose finest finer fine config debug dbg information info inf notice warning warn wrn error err severe critical crit fatal alert emergency emerg panic".split()
-LEVEL = "(?i:" + "|".join(sorted(LEVEL_WORDS, key=len, reverse=True)) + ")"
-LETTER = "[TVDINWECFA]"
-SESSION = r"(?i:sess(?:ion)?[-_#:]\w*\d\w*)"
-
-_MASKS = [
-    (r"^([A-Z])(?=\d{4} \d{2}:\d{2}:\d{2}\.)", f"$1 "),
-    (r"^<\d{1,3}>", f" {M}P "),
-    (rf"(?<![\w.-]){LEVEL}(?![\w.=-])", f" {M}L "),
-    (rf"(?<=^|[ |\[(<]){LETTER}(?=$|[ |\])>])", f" {M}L "),
-    (rf"\b{SESSION}", f" {M}S "),
-    (r"(?<![\w.-])[A-Za-z]+(?:-(?:\d+|[A-Za-z]+))*-\d+(?![\w.-])", f" {M}R "),
-    (r"(?<![\w\x02.#/+-])[\w.#/+-]*?\d[\w./+-]*", f" {M}N "),
-    (r"[^\x00-\x7f]+", "u"),
-    (r"""([\[\](){}<>|=,;"':@])""", " $1 "),
-    (r"\s+", " "),
-]
-
-
-def shape(text: Column, host: Column) -> Column:
-    """A line as typed tokens, one space apart; null where the line states no time."""
-    timed = F.regexp_replace(text, TIME, f" {M}T ")
-    # a glog head keeps its letter next to the time
-    masked = F.when(F.coalesce(F.length(host), F.lit(0)) > 2, F.replace(timed, host, F.lit(f" {M}H "))).otherwise(timed)
-    for pattern, out in _MASKS[1:]:
-        masked = F.regexp_replace(masked, pattern, out)
-    return F.when(timed.contains(f"{M}T"), F.trim(masked))
-
-
-def token_class(token: Column) -> Column:
-    """``T L P S R N H`` for typed tokens, the sign itself for delimiters and dashes, ``w`` for words."""
-    return F.when(token.startswith(M), F.substring(token, 2, 1)).when(token.rlike(r"^[^\w\x02]+$"), token).otherwise("w")
-
-
-def _wide(token: Column) -> Column:
-    """The class of a token; numbered names are words."""
-    c = token_class(token)
-    return F.when(c.isin("w", "R"), "w").otherwise(c)
+from ..functions.instants import zone_abbreviations
+from ..runtime import cut, lookup_join
+from .line_types import M, typed_counts
+
+
+def counted(lines: DataFrame) -> DataFrame:
+    """``tokens, head, cnt``: the typed token sequences of the lines (``text``, ``host``) that may be heads of entries."""
+    text = F.when(F.length("host") > 2, F.replace("text", F.col("host"), F.lit(f" {M}H "))).otherwise(F.col("text"))
+    typed = lines.where("text is not null").select(text.alias("text")).mapInArrow(typed_counts(zone_abbreviations()), "tokens array<string>, head array<string>, cnt long")
+    return typed.groupBy("tokens", "head").agg(F.sum("cnt").alias("cnt"))
+
+
+def _class(token: Column) -> Column:
+    """As ``line_types.token_class``."""
+    typed = F.substring(token, 2, 1)
+    return F.when(token.startswith(M), F.when(typed == "R", "w").otherwise(typed)).when(token.rlike(r"^[^\p{L}\p{N}_]+$"), token).otherwise("w")
+
+
+def _spread(parts: DataFrame) -> DataFrame:
+    """``pid, pos, d``: positions with more than one distinct token, and how many."""
+    cells = parts.select("pid", F.posexplode("tokens").alias("pos", "tok")).distinct()
+    return cells.groupBy("pid", "pos").agg(F.count("*").alias("d")).where("d > 1")
 
 
 def _split_by_position(parts: DataFrame) -> DataFrame:
     """Split each partition by its position with the fewest distinct tokens above one (ties: leftmost)."""
-    cells = parts.select("pid", F.posexplode("tokens").alias("pos", "tok")).groupBy("pid", "pos", "tok").agg(F.lit(1).alias("one"))
-    spread = cells.groupBy("pid", "pos").agg(F.count("*").alias("d")).where("d > 1")
-    chosen = spread.groupBy("pid").agg(F.min(F.struct("d", "pos")).alias("m")).select("pid", F.col("m.pos").alias("at"))
+    chosen = _spread(parts).groupBy("pid").agg(F.min(F.struct("d", "pos")).alias("m")).select("pid", F.col("m.pos").alias("at"))
     key = F.when(F.col("at").isNull(), "").otherwise(F.get("tokens", F.col("at")))
-    return parts.join(chosen, "pid", "left").withColumn("pid", F.xxhash64("pid", key)).drop("at")
+    return lookup_join(parts, cut(chosen), ["pid"], "left", salt_by=F.col("tokens")).withColumn("pid", F.xxhash64("pid", key)).drop("at")
 
 
 def _split_by_bijection(parts: DataFrame) -> DataFrame:
     """Split by the relation between the tokens of the two leftmost positions that share the most frequent number of distinct tokens."""
-    cells = parts.select("pid", F.posexplode("tokens").alias("pos", "tok")).groupBy("pid", "pos", "tok").agg(F.lit(1).alias("one"))
-    spread = cells.groupBy("pid", "pos").agg(F.count("*").alias("d")).where("d > 1")
-    common = spread.groupBy("pid", "d").agg(F.count("*").alias("n"), F.min("pos").alias("p1")).where("n > 1")
-    best = common.groupBy("pid").agg(F.max_by("d", F.struct("n", -F.col("d"))).alias("d"))
-    at = spread.join(best, ["pid", "d"]).groupBy("pid").agg(F.slice(F.array_sort(F.collect_list("pos")), 1, 2).alias("ps"))  # a list as long as a line at most
-    at = at.select("pid", F.col("ps")[0].alias("p1"), F.col("ps")[1].alias("p2"))
-    pairs = parts.join(at, "pid", "left").withColumns({"t1": F.get("tokens", F.col("p1")), "t2": F.get("tokens", F.col("p2"))}).drop("p1", "p2")
-    seen = pairs.where("t1 is not null").select("pid", "t1", "t2").distinct()
-    one = seen.groupBy("pid", "t1").agg(F.count("*").alias("n12"))
-    two = seen.groupBy("pid", "t2").agg(F.count("*").alias("n21"))
-    out = pairs.join(one, ["pid", "t1"], "left").join(two, ["pid", "t2"], "left")
+    # one row a partition, with at most as many positions as its lines have tokens
+    places = _spread(parts).groupBy("pid").agg(F.array_sort(F.collect_list(F.struct("pos", "d"))).alias("ps"))
+    same = F.transform("ps", lambda x: F.struct(F.size(F.filter("ps", lambda y: y["d"] == x["d"])).alias("n"), (-x["d"]).alias("d"), x["d"].alias("of")))
+    best = F.array_max(F.filter(same, lambda x: x["n"] > 1))["of"]
+    two = F.filter("ps", lambda y: y["d"] == best)
+    at = cut(places.select("pid", F.get(two, F.lit(0))["pos"].alias("p1"), F.get(two, F.lit(1))["pos"].alias("p2")).where("p2 is not null"))
+    pairs = lookup_join(parts, at, ["pid"], "left", salt_by=F.col("tokens")).withColumns({"t1": F.get("tokens", F.col("p1")), "t2": F.get("tokens", F.col("p2"))}).drop("p1", "p2")
+    seen = cut(pairs.where("t1 is not null").select("pid", "t1", "t2").distinct())
+    one = cut(seen.groupBy("pid", "t1").agg(F.count("*").alias("n12")))
+    two = cut(seen.groupBy("pid", "t2").agg(F.count("*").alias("n21")))
+    out = lookup_join(lookup_join(pairs, one, ["pid", "t1"], "left", salt_by=F.col("tokens")), two, ["pid", "t2"], "left", salt_by=F.col("tokens"))
     key = F.when(F.col("n12").isNull(), "").when((F.col("n12") == 1) | ((F.col("n12") > 1) & (F.col("n21") == 1)), F.concat(F.lit("1"), "t1")).when(F.col("n21") > 1, F.when(F.col("n12") == 1, F.concat(F.lit("2"), "t2")).otherwise("mm"))
-    return out.withColumn("pid", F.xxhash64("pid", F.coalesce(key, F.lit("mm")))).select("pid", "tokens", "cnt")
+    return out.withColumn("pid", F.xxhash64("pid", F.coalesce(key, F.lit("mm")))).select("pid", "tokens", "head", "cnt")
 
 
 def templates(shapes: DataFrame) -> DataFrame:
-    """``pid, cnt, slots``: the leaf templates of ``shape, cnt`` rows.
+    """``pid, cnt, head, slots``: the leaf templates of ``tokens, head, cnt`` rows.
 
-    ``slots`` has one struct a position, in order: ``token`` (null for a variable slot), ``class`` (null where classes
-    other than words differ) and ``named``, the share of the lines in which the slot holds a numbered name such as ``pool-3``.
+    ``head`` has the classes of the tokens of its lines' heads. ``slots`` has one struct a position, in order: ``token``
+    (null for a variable slot), its least and greatest token ``lo`` and ``hi``, and ``named``, the share of the lines in
+    which the slot holds a numbered name such as ``pool-3``.
     """
-    parts = shapes.select(F.split("shape", " ").alias("tokens"), "cnt").withColumn("pid", F.xxhash64(F.size("tokens"), F.transform(F.slice("tokens", 1, HEAD), _wide)))
+    parts = shapes.withColumn("pid", F.xxhash64(F.size("tokens"), "head"))
     # each split reads its input several times, so the input is written once
     for split in (_split_by_position, _split_by_bijection, _split_by_position):
-        parts = cut(split(parts))
-    cells = parts.select("pid", "cnt", F.posexplode("tokens").alias("pos", "tok"))
-    c = token_class(F.col("tok"))
-    wide = _wide(F.col("tok"))
+        parts = split(cut(parts))
+    cells = cut(parts).select("pid", "cnt", "head", F.posexplode("tokens").alias("pos", "tok"))
     slots = cells.groupBy("pid", "pos").agg(
-        F.when(F.min("tok") == F.max("tok"), F.min("tok")).alias("token"),
-        F.when(F.min(wide) == F.max(wide), F.min(wide)).alias("class"),
-        (F.sum(F.when(c == "R", F.col("cnt")).otherwise(0)) / F.sum("cnt")).alias("named"),
+        F.min("tok").alias("lo"),
+        F.max("tok").alias("hi"),
+        (F.sum(F.when(F.col("tok").startswith(M + "R"), F.col("cnt")).otherwise(0)) / F.sum("cnt")).alias("named"),
         F.sum("cnt").alias("cnt"),
+        F.first("head").alias("head"),
     )
-    return slots.groupBy("pid").agg(F.max("cnt").alias("cnt"), F.array_sort(F.collect_list(F.struct("pos", "token", "class", "named"))).alias("slots"))  # as long as a line
+    slot = F.struct("pos", F.when(F.col("lo") == F.col("hi"), F.col("lo")).alias("token"), "lo", "hi", "named")
+    return slots.groupBy("pid").agg(F.max("cnt").alias("cnt"), F.first("head").alias("head"), F.array_sort(F.collect_list(slot)).alias("slots"))  # as long as a line
+
+
+def written(leaves: DataFrame) -> DataFrame:
+    """``template, slots, cnt``: leaf templates as text, each variable or typed slot as its class in angle brackets."""
+    kind = lambda s: F.when(s["token"].isNull() & (_class(s["lo"]) != _class(s["hi"])), "*").otherwise(_class(s["lo"]))
+    text = F.array_join(F.transform("slots", lambda s: F.when(s["token"].isNull() | s["token"].startswith(M), F.concat(F.lit("<"), kind(s), F.lit(">"))).otherwise(s["token"])), " ")
+    variable = F.size(F.filter("slots", lambda s: s["token"].isNull() | s["token"].startswith(M)))
+    return leaves.select(text.alias("template"), variable.alias("slots"), "cnt").groupBy("template", "slots").agg(F.sum("cnt").alias("cnt"))

@@ -1,39 +1,39 @@
 """Problem 1: semi-structured log lines of many layouts -> entries with time, level, component and message.
 
 1. Template mining (iplom): leaf templates give the layouts; a layout's head runs from the line's start over the slots
-   of its time, level and component (``layouts``). The shapes of all lines are mined, so a layout of few lines has its
-   head as well, also where a shorter head fits its lines.
-2. All heads are compiled into one alternation that classifies each line once, in the JVM (``classified``).
-3. Lines become entries per block of BLOCK lines of a file, on narrow rows only; what crosses a block's border is
-   stitched from one summary row per block, so a file of any size is spread over many tasks.
+   of its time, level and component (``layouts``). All lines are mined, so a layout of few lines has its head as well,
+   also where a shorter head fits its lines.
+2. All heads are compiled into one prefix tree of patterns that classifies each line once, in the JVM (``classified``).
+3. Lines become entries per block of BLOCK lines of a file, by array operations on narrow rows (``log_blocks``); what crosses a block's border is stitched from one summary row per block, so a file of any
+   size is spread over many tasks.
 
 Defined results
 * null, empty and white-space lines are blank: they belong to an entry but never end it;
 * repeated rows count once (the first in an arbitrary order, they are equal); rows may come in any order;
 * lines before a file's first entry belong to none; null file or line number: left out;
 * entries that state a session instead of a level are entries without a level;
-* a JSON object over several lines is an entry if its outermost object states time, level (or session) and component.
+* a JSON object over several lines, also one in an indented array, is an entry if it states time, level (or session) and
+  component itself, not in an inner object, each key on one line with its value;
+* the message is what the entry's first line says behind its head, or the value of its message key; the further lines are
+  those up to ``last_line``;
+* a level behind more than three words of a head is one only if different levels stand there; else it is part of a message.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.instants import time_pattern
 from ..runtime import cut, lookup_join, table
 from . import iplom
+from .line_types import LETTER, LEVEL, NEAR, SESSION
+from .log_blocks import COMPONENT_KEYS, LEVEL_KEYS, MESSAGE_KEYS, SESSION_KEYS, TIME_KEYS, assemble
 
 #: lines a block
 BLOCK = 1 << 16
-TIME_KEYS = ["time", "ts", "timestamp", "@timestamp", "datetime", "date", "asctime", "eventTime"]
-LEVEL_KEYS = ["level", "lvl", "severity", "sev", "levelname", "log_level", "loglevel", "priority"]
-COMPONENT_KEYS = ["component", "logger", "module", "source", "comp", "logger_name", "unit", "subsystem", "category", "name"]
-MESSAGE_KEYS = ["msg", "message", "text"]
-SESSION_KEYS = ["session", "sid", "session_id", "sessionId"]
 #: level words -> number on the scale 10 trace ... 60 fatal
 RANKS = {
     10: "trace verbose finest finer t v",
@@ -51,25 +51,24 @@ _SEP = "\u0001"
 def layouts(lines: DataFrame) -> list[dict]:
     """The layouts of all lines (``text``, ``host``), mined from their templates.
 
-    What comes to the driver are the heads of templates as classes of tokens, in which all words look alike:
-    its size follows the number of layouts, not of lines, words or templates.
+    What comes to the driver are the heads of templates as classes of tokens, in which all words look alike: its size
+    follows the number of layouts and of signs around their words, not of lines, words or templates.
     """
-    shapes = lines.select(iplom.shape(F.col("text"), F.col("host")).alias("shape")).where("shape is not null").groupBy("shape").agg(F.count("*").alias("cnt"))
-    leaves = iplom.templates(cut(shapes))
-    keyed = F.get("slots", F.lit(1))["token"] == "="
+    leaves = iplom.templates(iplom.counted(lines))
+    keyed = (F.get("slots", F.lit(1))["token"] == "=") & (F.size("slots") > 3)
     # keyed heads keep their constant words (the keys); in the others every word is a "w"
-    head = F.slice("slots", 1, iplom.HEAD)
-    plain = F.transform(head, lambda s: F.coalesce(s["class"], F.lit("*")))
-    named = F.transform(F.filter(head, lambda s: s["class"] == "w"), lambda s: s["named"])
-    keys = F.transform(
-        F.filter(F.transform(F.sequence(F.lit(1), F.size("slots") - 2), lambda i: F.struct(F.get("slots", i - 1)["token"].alias("key"), F.get("slots", i)["token"].alias("eq"), F.get("slots", i + 1).alias("v"), F.get("slots", i + 2).alias("vv"))), lambda x: (x["eq"] == "=") & x["key"].isNotNull() & x["key"].rlike(r"^[A-Za-z_@][\w.]*$")),
-        lambda x: F.concat_ws("=", x["key"], F.coalesce(F.when(x["v"]["token"] == '"', x["vv"]["class"]).otherwise(x["v"]["class"]), F.lit("*"))),
-    )
-    longer = F.size("slots") > 3
-    heads = leaves.select("cnt", F.coalesce(keyed & longer, F.lit(False)).alias("keyed"), F.when(keyed & longer, F.array_distinct(keys)).otherwise(plain).alias("head"), F.slice(named, 1, 4).alias("named"))
-    w = [F.sum(F.coalesce(F.get("named", F.lit(i)), F.lit(0.0)) * F.col("cnt")).alias(f"r{i}") for i in range(4)]
-    rows = [r.asDict() for r in heads.groupBy("keyed", "head").agg(F.sum("cnt").alias("cnt"), *w).collect()]
-    return _specs(rows)
+    token = lambda i: F.get("slots", i)["lo"]
+    value = lambda i: F.when(token(i) == '"', token(i + 1)).otherwise(token(i))
+    places = F.filter(F.sequence(F.lit(1), F.size("slots") - 2), lambda i: (F.get("slots", i)["token"] == "=") & F.get("slots", i - 1)["token"].rlike(r"^[A-Za-z_@][\w.]*$"))
+    keys = F.transform(places, lambda i: F.concat(F.get("slots", i - 1)["token"], F.lit("="), F.when(value(i + 1).startswith(iplom.M), F.substring(value(i + 1), 2, 1)).otherwise("*")))
+    at = F.slice("slots", 1, F.size("head"))
+    words = F.filter(F.arrays_zip(F.col("head").alias("class"), at.alias("slot")), lambda x: x["class"] == "w")
+    stated = F.get(F.filter(F.arrays_zip(F.col("head").alias("class"), at.alias("slot")), lambda x: x["class"] == "L"), F.lit(0))["slot"]
+    heads = leaves.select("cnt", F.coalesce(keyed, F.lit(False)).alias("keyed"), F.when(keyed, F.array_distinct(keys)).otherwise(F.col("head")).alias("head"), F.transform(words, lambda x: x["slot"]["named"]).alias("named"), stated["lo"].alias("lo"), stated["hi"].alias("hi"))
+    each = heads.select("keyed", "head", "cnt", "lo", "hi", F.posexplode_outer("named").alias("k", "share"))
+    by_word = each.groupBy("keyed", "head", "k").agg(F.sum(F.col("share") * F.col("cnt")).alias("r"), F.sum("cnt").alias("cnt"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    done = by_word.groupBy("keyed", "head").agg(F.array_sort(F.collect_list(F.struct("k", "r"))).alias("rs"), F.max("cnt").alias("cnt"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    return _specs([r.asDict() for r in done.collect()])
 
 
 def _specs(rows: list[dict]) -> list[dict]:
@@ -85,24 +84,24 @@ def _specs(rows: list[dict]) -> list[dict]:
                 out.setdefault(f"{t}|{lvl}|{c}", {"keys": (t, lvl, c), "cnt": 0})["cnt"] += r["cnt"]
     share: dict[tuple[str, ...], list[float]] = {}
     for r in plain:
-        k = 0
-        for i, c in enumerate(r["head"]):
-            if c == "w":
-                if k >= 4:
-                    break
-                s = share.setdefault(tuple(r["head"][: i + 1]), [0.0, 0.0])
-                s[0] += r[f"r{k}"]
-                s[1] += r["cnt"]
-                k += 1
+        rs = {x["k"]: x["r"] for x in r["rs"]}
+        for k, i in enumerate(i for i, c in enumerate(r["head"]) if c == "w"):
+            s = share.setdefault(tuple(r["head"][: i + 1]), [0.0, 0.0])
+            s[0] += rs.get(k) or 0.0
+            s[1] += r["cnt"]
+    levels: dict[tuple[str, ...], set] = {}
+    for r in plain:
+        if "L" in r["head"]:
+            levels.setdefault(tuple(r["head"][: r["head"].index("L") + 1]), set()).update((r["lo"], r["hi"]))
     for r in plain:
-        if spec := _head(r["head"], share):
+        if spec := _head(r["head"], share, levels):
             key = " ".join(map(str, spec["tokens"])) + f"#{spec['component']}"
             out.setdefault(key, spec | {"cnt": 0})["cnt"] += r["cnt"]
     # the longest heads first, so that none hides behind a shorter one; ties by support
     return sorted(out.values(), key=lambda s: (-len(s.get("tokens", ())), -s["cnt"], str(s)))
 
 
-def _head(head: list[str], share: dict[tuple[str, ...], list[float]]) -> dict | None:
+def _head(head: list[str], share: dict[tuple[str, ...], list[float]], levels: dict[tuple[str, ...], set]) -> dict | None:
     """The head of a positional layout: its tokens and which of them is the component, or None if the line states no level or session near its start."""
     if not head or head[0] in ("{", '"'):
         return None  # objects state their fields by name
@@ -116,15 +115,13 @@ def _head(head: list[str], share: dict[tuple[str, ...], list[float]]) -> dict |
             session = i
         elif c == "w":
             words.append(i)
-            if len(words) > 3:
-                break
-        elif c == "*":
-            break
         if at is not None and (level is not None or session is not None):
             break
     if at is None or (level is None and session is None):
         return None
     end = max(x for x in (at, level, session) if x is not None)
+    if sum(i < end for i in words) > NEAR and (level != end or len(levels.get(tuple(head[: end + 1]), ())) < 2):
+        return None
     if level is None:
         return {"tokens": head[: end + 1], "component": None} if not words else None
 
@@ -138,9 +135,7 @@ def _head(head: list[str], share: dict[tuple[str, ...], list[float]]) -> dict |
         if head[i] == "w":
             if not numbered(i):
                 comp = i
-            elif sum(1 for x in head[end + 1 : i] if x == "w") > 1:
-                return None
-        elif head[i] in ("*", "T", "L", "U"):
+        elif head[i] in ("T", "L"):
             return None
         i += 1
     if comp is None:
@@ -155,29 +150,49 @@ _WORDY = {"w", "N", "H", "T", "L", "S"}
 _ANY_WORD = r"[^\s\[\](){}<>|,;=\"']+"
 
 
-def _regex(spec: dict, k: int) -> str:
-    out = []
-    for i, c in enumerate(spec["tokens"]):
-        if i:
-            apart = set(c) == {"-"} or set(spec["tokens"][i - 1]) == {"-"}  # dashes are tokens only where white space sets them apart
-            out.append(r"\s+" if apart or c in _WORDY and spec["tokens"][i - 1] in _WORDY and not (c == "T" and i == 1 and spec["tokens"][0] == "L") else r"\s*")
-        if i == spec["component"]:
-            out.append(rf"(?<c{k}>[^\s\[\](){{}}<>|:,;=\"'@]+)")
-        elif c == "T":
-            out.append(rf"(?<t{k}>{iplom.TIME})")
-        elif c == "L":
-            out.append(rf"(?<l{k}>{iplom.LEVEL}|{iplom.LETTER})(?![\w.=-])" if not (i == 0 and spec["tokens"][1:2] == ["T"]) else rf"(?<l{k}>{iplom.LEVEL}|{iplom.LETTER})")
-        elif c == "P":
-            out.append(rf"<(?<p{k}>\d{{1,3}})>")
-        elif c == "S":
-            out.append(rf"(?<s{k}>{iplom.SESSION})")
-        elif c == "N":
-            out.append(r"[\w.#/+-]*\d[\w./+-]*")
-        elif c in ("w", "H", "R", "U"):
-            out.append(_ANY_WORD)
-        else:
-            out.append(re.escape(c))
-    return "".join(out)
+def _token(tokens: list[str], i: int, component: bool, n: int) -> str:
+    """The pattern of a head's token ``i`` with the space before it; its groups are numbered ``n``."""
+    c = tokens[i]
+    first = i == 0 or i == 1 and tokens[0] == "L" and c == "T"
+    out = ""
+    if i:
+        apart = set(c) == {"-"} or set(tokens[i - 1]) == {"-"}  # dashes are tokens only where white space sets them apart
+        out = r"\s+" if apart or c in _WORDY and tokens[i - 1] in _WORDY and not first else r"\s*"
+    if component:
+        return out + rf"(?<c{n}>[^\s\[\](){{}}<>|:,;=\"'@]+)"
+    if c == "T":
+        return out + rf"(?<t{n}>{time_pattern(f'x{n}')})"
+    if c == "L":
+        return out + rf"(?<l{n}>{LEVEL}|{LETTER})" + ("" if i == 0 and tokens[1:2] == ["T"] else r"(?![\w.=-])")
+    if c == "P":
+        return out + rf"<(?<p{n}>\d{{1,3}})>"
+    if c == "S":
+        return out + rf"(?<s{n}>{SESSION})"
+    if c == "N":
+        return out + r"[\w.#/+-]*\d[\w./+-]*"
+    return out + (_ANY_WORD if c in ("w", "H") else re.escape(c))
+
+
+def head_pattern(specs: list[dict]) -> str:
+    """One pattern for all positional heads, as a tree of their common beginnings; the longest heads come first."""
+    root: dict = {}
+    for s in specs:
+        node = root
+        for i in range(len(s["tokens"])):
+            key = (s["tokens"][i], i == s["component"], tuple(s["tokens"][:2]) if i < 2 else ())
+            node = node.setdefault(key, {"tokens": s["tokens"], "kids": {}, "cnt": 0, "deep": 0})
+            node["cnt"] += s["cnt"]
+            node["deep"] = max(node["deep"], len(s["tokens"]))
+            node, last = node["kids"], node
+        last["end"] = True
+    numbers = iter(range(1 << 30))
+
+    def written(kids: dict, i: int, end: bool) -> str:
+        order = sorted(kids.items(), key=lambda x: (-x[1]["deep"], -x[1]["cnt"], str(x[0])))
+        parts = [_token(n["tokens"], i, key[1], next(numbers)) + written(n["kids"], i + 1, n.get("end", False)) for key, n in order]
+        return "" if not parts else parts[0] if len(parts) == 1 and not end else "(?:" + "|".join(parts + [""] * end) + ")"
+
+    return "^" + written(root, 0, False) + r"\s?(?<m>.*)$"
 
 
 def _any(keys: list[str]) -> str:
@@ -188,50 +203,50 @@ def _coalesced(m: Column, keys: list[str]) -> Column:
     return F.coalesce(*[F.element_at(m, k) for k in keys])
 
 
-def classified(lines: DataFrame, specs: list[dict], messages: bool = True) -> DataFrame:
-    """Each line with what it is: ``t`` H (states an entry's head), O (opens a JSON object over several lines), J (a line
-    of such an object), B (blank), X (other), and the head's time, level, component and message."""
-    text = F.regexp_replace("text", r"\r+$", "")
-    blank = F.col("text").isNull() | (F.trim(F.regexp_replace("text", r"\s+", "")) == "")
+def classified(lines: DataFrame, specs: list[dict]) -> DataFrame:
+    """Each line with what it is: ``t`` H (states an entry's head), P (may be part of a JSON object over several lines, whose
+    text is ``piece``), B (blank), X (other), and the head's time, level, component and message."""
+    text = F.expr("trim(TRAILING '\r' FROM text)")
     plain = [s for s in specs if "tokens" in s]
     keyed = [s for s in specs if "keys" in s]
+    line = F.col("line_text")
     heads = F.lit(None).cast("array<string>")
     if plain:
-        pattern = "^(?:" + "|".join(_regex(s, k) for k, s in enumerate(plain)) + r")\s?(?<m>.*)$"
-        has = {g: [k for k, s in enumerate(plain) if f"(?<{g}{k}>" in _regex(s, k)] for g in "tlpsc"}
-        put = _SEP + _SEP.join(["".join(f"${{{g}{k}}}" for k in has[g]) for g in "tlpsc"] + ["${m}"])
-        done = F.regexp_replace("line_text", "(?s)" + pattern, put)
-        heads = F.when(done.startswith(_SEP), F.split(done, _SEP))
+        pattern = head_pattern(plain)
+        has = {g: re.findall(rf"\(\?<({g}\d+)>", pattern) for g in "tlpsc"}
+        put = _SEP + _SEP.join(["".join(f"${{{x}}}" for x in has[g]) for g in "tlpsc"] + ["${m}"])
+        heads = F.split(F.regexp_replace(line, "(?s)" + pattern, put), _SEP)
+        heads = F.transform(F.array(heads), lambda h: F.when(F.size(h) == 7, h))[0]
     if keyed:
-        bare = F.regexp_replace("line_text", r'="((?:[^"\\]|\\.)*\s(?:[^"\\]|\\.)*)"', "=~")
+        bare = F.regexp_replace(line, r'="((?:[^"\\]|\\.)*\s(?:[^"\\]|\\.)*)"', "=~")
         tk, lk, ck = (_any(sorted({s["keys"][i] for s in keyed})) for i in range(3))
         get = lambda keys: F.regexp_extract(bare, rf'(?:^|\s){keys}="?([^"\s]+)"?', 1)
-        raw = F.regexp_extract("line_text", rf'(?:^|\s){tk}=(?:"([^"]*)"|(\S+))', 0)
-        msg = F.regexp_extract("line_text", rf'(?:^|\s){_any(MESSAGE_KEYS)}="((?:[^"\\]|\\.)*)"', 1)
-        fields = F.array(F.lit(""), F.regexp_replace(F.trim(raw), r'^[^=]*="?|"$', ""), get(lk), F.lit(""), F.lit(""), get(ck), msg)
-        is_keyed = F.col("line_text").rlike(r"^[A-Za-z_@][\w.]*=") & (get(tk) != "") & (get(lk) != "") & (get(ck) != "")
-        heads = F.when(is_keyed, fields).otherwise(heads)
-    m = F.from_json("line_text", "map<string,string>")
-    obj = F.struct(_coalesced(m, TIME_KEYS).alias("t"), _coalesced(m, LEVEL_KEYS).alias("l"), _coalesced(m, SESSION_KEYS).alias("s"), _coalesced(m, COMPONENT_KEYS).alias("c"), _coalesced(m, MESSAGE_KEYS).alias("m"))
-    from_obj = F.transform(F.array(obj), lambda o: F.when(o["t"].isNotNull() & o["c"].isNotNull() & (o["l"].isNotNull() | o["s"].isNotNull()), F.array(F.lit(""), o["t"], F.coalesce(o["l"], F.lit("")), F.lit(""), F.when(o["l"].isNull(), o["s"]).otherwise(""), o["c"], F.coalesce(o["m"], F.lit("")))))[0]
-    braced = F.col("line_text").startswith("{") & F.col("line_text").rlike(r"\}\s*$")
-    piece = F.col("line_text").rlike(r'^\s*(?:["{}]|\][,\s]*$)')
+        raw = F.regexp_extract(line, rf'(?:^|\s){tk}=(?:"([^"]*)"|(\S+))', 0)
+        # a quoted message, or all up to the next key
+        msg = F.regexp_extract(line, rf'(?:^|\s){_any(MESSAGE_KEYS)}=("(?:[^"\\]|\\.)*"|(?:(?!\s[A-Za-z_@][\w.]*=).)*)', 1)
+        fields = F.array(F.lit(""), F.regexp_replace(F.trim(raw), r'^[^=]*="?|"$', ""), get(lk), F.lit(""), F.lit(""), get(ck), F.regexp_replace(msg, '^"|"$', ""))
+        full = F.transform(F.array(fields), lambda f: F.when((f[1] != "") & (f[2] != "") & (f[5] != ""), f))[0]
+        heads = F.when(line.rlike(r"^[A-Za-z_@][\w.]*="), F.coalesce(full, heads)).otherwise(heads)
+    obj = lambda m: F.struct(_coalesced(m, TIME_KEYS).alias("t"), _coalesced(m, LEVEL_KEYS).alias("l"), _coalesced(m, SESSION_KEYS).alias("s"), _coalesced(m, COMPONENT_KEYS).alias("c"), _coalesced(m, MESSAGE_KEYS).alias("m"))
+    stated = lambda o: F.when(o["t"].isNotNull() & o["c"].isNotNull() & (o["l"].isNotNull() | o["s"].isNotNull()), F.array(F.lit(""), o["t"], F.coalesce(o["l"], F.lit("")), F.lit(""), F.when(o["l"].isNull(), o["s"]).otherwise(""), o["c"], F.coalesce(o["m"], F.lit(""))))
+    parsed = F.from_json(F.regexp_replace(line, r",\s*$", ""), "map<string,string>")
+    from_obj = F.transform(F.transform(F.array(parsed), obj), stated)[0]
+    braced = line.startswith("{") & line.rlike(r"\}\s*,?\s*$")
+    piece = line.rlike(r'^\s*(?:["{}]|[\[\]][\[\],\s]*$|(?:-?\d[\d.eE+-]*|true|false|null)\s*,?\s*$)')
+    h = F.col("h")
     return (
-        lines.select("file", "host", "line_no", F.when(blank, "").otherwise(text).alias("line_text"))
-        .withColumn("h", F.when(F.col("line_text") == "", F.lit(None)).when(braced, from_obj).when(F.col("line_text").rlike(r"^\s"), F.lit(None)).otherwise(heads))
-        .withColumn("piece", F.col("h").isNull() & piece)
-        .withColumn("flat", F.when(F.col("piece"), F.regexp_replace(F.regexp_replace("line_text", r'(?<=:)\s*"((?:[^"\\]|\\.)*[{}\[\]\s](?:[^"\\]|\\.)*)"', '""'), r"(?<=:)\s*\{[^{}]*\}|(?<=:)\s*\[[^\[\]]*\]", "0")))
+        lines.select("file", "line_no", F.when(F.col("text").rlike(r"\S"), text).otherwise("").alias("line_text"))
+        .withColumn("h", F.when(line == "", F.lit(None)).when(braced, from_obj).when(line.rlike(r"^\s"), F.lit(None)).otherwise(heads))
+        .withColumn("t", F.when(h.isNotNull(), "H").when(line == "", "B").when(piece, "P").otherwise("X"))
         .select(
             "file",
-            "host",
             "line_no",
-            F.when(F.col("line_text") == "", "B").when(F.col("h").isNotNull(), "H").when(F.col("piece"), F.when(F.col("line_text").startswith("{"), "O").otherwise("J")).otherwise("X").alias("t"),
-            (F.col("h")[1] if messages else F.lit(None).cast("string")).alias("ts_raw"),
-            F.when(F.col("h").isNotNull(), F.when(F.col("h")[2] != "", F.col("h")[2]).when(F.col("h")[3] != "", F.concat(F.lit("<"), F.col("h")[3]))).otherwise(F.regexp_extract("flat", rf'"{_any(LEVEL_KEYS)}"\s*:\s*"?([\w.-]+)', 1)).alias("lvl"),
-            F.coalesce(F.col("h")[5], F.regexp_extract("flat", rf'"{_any(COMPONENT_KEYS)}"\s*:\s*"([^"]+)"', 1)).alias("comp"),
-            (F.coalesce(F.col("h")[6], F.lit("")) if messages else F.lit("")).alias("msg"),
-            F.coalesce(F.col("flat").rlike(rf'"{_any(TIME_KEYS)}"\s*:'), F.lit(False)).alias("timed"),
-            F.when(F.col("piece"), F.length(F.regexp_replace("flat", r"[^{\[]", "")) - F.length(F.regexp_replace("flat", r"[^}\]]", ""))).otherwise(0).alias("delta"),
+            "t",
+            h[1].alias("ts_raw"),
+            F.when(h[2] != "", h[2]).when(h[3] != "", F.concat(F.lit("<"), h[3])).alias("lvl"),
+            h[5].alias("comp"),
+            h[6].alias("msg"),
+            F.when(F.col("t") == "P", line).alias("piece"),
         )
     )
 
@@ -247,180 +262,19 @@ def level_rank(word: str | None) -> int:
     return _RANK_OF.get(word.lower(), 0)
 
 
-class Machine:
-    """Entries out of a file's classified lines, one after the other; ``out`` gets the finished ones."""
-
-    def __init__(self) -> None:
-        self.entry: list | None = None  # [first, last, lvl, comp, ts_raw, msg]
-        self.last: int | None = None  # the last line that is not blank
-        self.object: dict | None = None  # a JSON object that may become an entry
-        self.out: list[list] = []
-
-    def close(self, last: int | None) -> None:
-        if self.entry is not None:
-            if last is not None and last > self.entry[1]:
-                self.entry[1] = last
-            self.out.append(self.entry)
-        self.entry = None
-
-    def step(self, line: int, t: str, lvl, comp, ts_raw, msg, timed, delta) -> None:
-        if t == "H":
-            self.close(self.last)
-            self.object = None
-            self.entry = [line, line, lvl, comp, ts_raw, msg]
-        elif t == "O":
-            self.object = {"first": line, "before": self.last, "depth": 1, "lvl": "", "comp": "", "timed": False}
-            self._keys(lvl, comp, timed)
-            self.object["depth"] = delta
-        elif t == "J":
-            if self.object is not None:
-                if self.object["depth"] == 1:
-                    self._keys(lvl, comp, timed)
-                self.object["depth"] += delta
-                if self.object["depth"] <= 0:
-                    self.object = None
-        elif t == "X":
-            self.object = None
-        if t != "B":
-            self.last = line
-            if self.entry is not None:
-                self.entry[1] = line
-
-    def _keys(self, lvl, comp, timed) -> None:
-        o = self.object
-        o["lvl"], o["comp"], o["timed"] = o["lvl"] or lvl, o["comp"] or comp, o["timed"] or timed
-        if o["lvl"] and o["comp"] and o["timed"] and not o.get("done"):
-            if self.entry is not None:
-                self.entry[1] = max(self.entry[0], o["before"] if o["before"] is not None else self.entry[0])
-                self.out.append(self.entry)
-            self.entry = [o["first"], o["first"], o["lvl"], o["comp"], None, ""]
-            o["done"] = True
-
-
-_ROW = "first_line long, last_line long, lvl string, component string, ts_raw string, msg string"
-_BLOCK_ROW = f"file string, blk long, {_ROW}, lead string, headless long, open boolean, object string"
-
-
-def _block(file: str, blk: int, rows: list[tuple]) -> tuple[list[list], dict]:
-    """Finished entries of one block's lines and the summary that its neighbours need."""
-    import json
-
-    lead = 0
-    while lead < len(rows) and rows[lead][1] in "JB":
-        lead += 1
-    m = Machine()
-    headless = None
-    for r in rows[lead:]:
-        m.step(*r)
-        if m.entry is None and not m.out and r[1] != "B":
-            headless = r[0]
-    if m.entry is not None or m.out:
-        first = (m.out[0] if m.out else m.entry)[0]
-        headless = None
-        for r in rows[lead:]:
-            if r[0] >= first:
-                break
-            if r[1] != "B":
-                headless = r[0]
-    summary = {"lead": json.dumps([list(r) for r in rows[:lead]]), "headless": headless, "entry": m.entry, "object": json.dumps(m.object) if m.object and not m.object.get("done") else None, "began": bool(m.out or m.entry), "body": lead < len(rows)}
-    if m.object and m.object.get("done"):
-        summary["object"] = json.dumps(m.object)
-    return m.out, summary
-
-
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted lines -> finished entries and one summary row a block. At most a block of narrow rows is held."""
-    import json
-
-    key, rows, out = None, [], []
-
-    def flush() -> None:
-        done, s = _block(*key, rows)
-        out.extend([*key, *e, None, None, None, None] for e in done)
-        out.append([*key, *(s["entry"] or [None] * 6), json.dumps({"lead": s["lead"], "began": s["began"], "body": s["body"]}), s["headless"], True, s["object"]])
-
-    names = [c.split()[0] for c in _BLOCK_ROW.split(", ")]
-    for batch in batches:
-        d = batch.to_pydict()
-        for f, b, line, *r in zip(d["file"], d["blk"], d["line_no"], d["t"], d["lvl"], d["comp"], d["ts_raw"], d["msg"], d["timed"], d["delta"]):
-            if key is None or f != key[0] or b != key[1]:
-                if key is not None:
-                    flush()
-                key, rows = (f, b), []
-            elif rows and rows[-1][0] == line:
-                continue
-            rows.append((line, *r))
-        if len(out) > 20000:
-            yield _frame(out, names)
-            out = []
-    if key is not None:
-        flush()
-    yield _frame(out, names)
-
-
-def _frame(rows: list, names: list[str]) -> pa.RecordBatch:
-    kinds = {"blk": pa.int64(), "first_line": pa.int64(), "last_line": pa.int64(), "headless": pa.int64(), "open": pa.bool_()}
-    cols = list(zip(*rows)) if rows else [()] * len(names)
-    return pa.RecordBatch.from_arrays([pa.array(c, kinds.get(n, pa.string())) for c, n in zip(cols, names)], names)
-
-
-def _stitch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Block summaries, sorted by file and block, -> the entries that were open at a block's end."""
-    import json
-
-    names = ["file", *(c.split()[0] for c in _ROW.split(", "))]
-    file, m, out = None, Machine(), []
-
-    def flush() -> None:
-        m.close(m.last)
-        out.extend([file, *e] for e in m.out)
-
-    for batch in batches:
-        for r in batch.to_pylist():
-            if r["file"] != file:
-                if file is not None:
-                    flush()
-                file, m = r["file"], Machine()
-            s = json.loads(r["lead"])
-            for row in json.loads(s["lead"]):
-                m.step(*row)
-            if not s["body"]:
-                continue
-            earlier = m.last
-            if r["headless"] is not None:
-                m.last = r["headless"]
-                if m.entry is not None:
-                    m.entry[1] = m.last
-            if s["began"]:
-                m.close(m.last)
-                if r["first_line"] is not None:
-                    m.entry = [r[n] for n in names[1:]]
-                    m.last = r["last_line"]
-            m.object = json.loads(r["object"]) if r["object"] else None
-            if m.object and m.object["before"] is None:
-                m.object["before"] = earlier
-        if len(out) > 20000:
-            yield _frame(out, names)
-            out.clear()
-    if file is not None:
-        flush()
-    yield _frame(out, names)
-
-
-def entries(lines: DataFrame, doc: DataFrame, messages: bool = True, specs: list[dict] | None = None, block: int = BLOCK) -> DataFrame:
+def entries(lines: DataFrame, doc: DataFrame, specs: list[dict] | None = None, block: int = BLOCK) -> DataFrame:
     """``file, first_line, last_line, lvl, component, ts_raw, msg`` of every entry of the files of kind log.
 
     ``lines``: file, host, line_no, text. ``specs``: layouts known already, else they are mined from all the lines.
     """
+    rows = _log_lines(lines, doc)
+    narrow = classified(rows, layouts(rows) if specs is None else specs)
+    return assemble(narrow.withColumn("blk", F.floor(F.col("line_no") / block).cast("long")))
+
+
+def _log_lines(lines: DataFrame, doc: DataFrame) -> DataFrame:
     logs = doc.where(F.col("kind") == "log").select("file").distinct()
-    rows = lookup_join(lines.select("file", "host", "line_no", "text").where("file is not null and line_no is not null"), logs, ["file"], "left_semi", salt_by=F.col("line_no"))
-    narrow = classified(rows, layouts(rows) if specs is None else specs, messages)
-    narrow = narrow.withColumn("blk", F.floor(F.col("line_no") / block).cast("long"))
-    placed = narrow.repartition("file", "blk").sortWithinPartitions("file", "blk", "line_no")
-    parts = cut(placed.select("file", "blk", "line_no", "t", "lvl", "comp", "ts_raw", "msg", "timed", "delta").mapInArrow(_blocks, _BLOCK_ROW))
-    done = parts.where("open is null").select("file", *[c.split()[0] for c in _ROW.split(", ")])
-    rest = parts.where("open").repartition("file").sortWithinPartitions("file", "blk").mapInArrow(_stitch, f"file string, {_ROW}")
-    return done.unionByName(rest)
+    return lookup_join(lines.select("file", "host", "line_no", "text").where("file is not null and line_no is not null"), logs, ["file"], "left_semi", salt_by=F.col("line_no"))
 
 
 def ranked(found: DataFrame) -> DataFrame:
@@ -434,7 +288,7 @@ def ranked(found: DataFrame) -> DataFrame:
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``file, first_line, last_line, component`` of entries whose level is error or worse."""
-    e = entries(table(spark, sf_dir, "line_view"), table(spark, sf_dir, "doc"), messages=False)
+    e = entries(table(spark, sf_dir, "line_view"), table(spark, sf_dir, "doc"))
     return ranked(e).where("rank >= 50").select("file", "first_line", "last_line", "component")
 
 
@@ -442,3 +296,9 @@ def p1_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every entry with its stated time, level, component and message."""
     e = entries(table(spark, sf_dir, "line_view"), table(spark, sf_dir, "doc"))
     return ranked(e).select("file", "first_line", "last_line", "ts_raw", F.col("lvl").alias("level"), "rank", "component", "msg")
+
+
+def p1_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``template, slots, cnt``: the leaf templates of the lines that may be heads, their number of variable or typed slots and of lines."""
+    rows = _log_lines(table(spark, sf_dir, "line_view"), table(spark, sf_dir, "doc"))
+    return iplom.written(iplom.templates(iplom.counted(rows)))

@@ -8,6 +8,7 @@ from ..operators import log_entries, normalise_times, rejects, schema_drift
 _RECORD_QUERIES = {
     "p1_found": log_entries.p1_found,
     "p1_entries": log_entries.p1_entries,
+    "p1_templates": log_entries.p1_templates,
     "p2_found": normalise_times.p2_found,
     "p2_times": normalise_times.p2_times,
     "p5_found": rejects.p5_found,
