@@ -68,3 +68,33 @@ def test_tables(spark):
     assert small == {tuple(r) for r in counts(df).collect()}
     assert statistics(df.limit(0)).count() == 0
     assert running(closed(part("the end of it."))) and not running(closed(part("")))
+
+
+@pytest.mark.parametrize("n", [3, 6, 8, 40, 2000])
+def test_repeated_lines_of_any_length(n):
+    """A line of running text 40 times is boilerplate, be it short or long."""
+    line = " ".join(["the reason was that it had been cut in the middle of it"] * n)
+    assert share("\n".join([line] * 40)) == pytest.approx(3 / 40)
+    assert share("\n".join(f"{i} {line}" for i in range(40))) == 1.0
+
+
+@pytest.mark.parametrize("n", [1, 40, 60, 70, 500])
+def test_settings_and_structure_behind_any_prefix(n):
+    """A key with one word behind it is a setting however long the word is; with prose behind it, it is none."""
+    word = "https://" + "a" * n
+    assert not running(closed(part(f"See: {word}")))
+    assert not running(closed(part(f"See {word}=")))
+    assert running(closed(part(f"See: {word} it explains why the session was cut in the middle of it")))
+    assert not running(closed(part(" " * n + "2026-06-24 19:27:30 WARN gateway asked for the top of it in the cache")))
+    assert not running(closed(part(" " * n + "| it was in the cache | and so was the other one |")))
+
+
+@pytest.mark.parametrize("chunk", [64, 1 << 16])
+def test_long_texts_in_chunks(spark, chunk):
+    """Repeated rows are one row at any length; a text's chunks and lines over their borders count as those of the whole."""
+    line = " ".join(["the reason was that it had been cut in the middle of it"] * 9)
+    texts = ["\n".join([line] * 300), " ".join([line] * 300), "short but whole, and it was in the cache.", "\n".join(f"{line} {i % 7}" for i in range(400))]
+    rows = [(i, t) for i, t in enumerate(texts)] * 2 + [(None, texts[0]), (7, texts[0])]
+    got = {tuple(r) for r in counts(spark.createDataFrame(rows, "doc_id long, text string"), chunk=chunk).collect()}
+    want = {(i, *totals(state(t)).values()) for i, t in [*enumerate(texts), (None, texts[0]), (7, texts[0])]}
+    assert got == want

@@ -1,20 +1,22 @@
 """Problem 9: per-document text statistics, and documents of which less than half runs in sentences.
 
-Documents longer than CHUNK characters are split. A chunk's statistics are counts per line, kept as an associative
-state: finished lines, and the open line at either end with its open word (boundary state). States of a document's
-chunks are merged in order, a fixed number at a time (tree aggregation), so a text of any length is never read as one.
-Ratios and rule outcomes are derived from the merged counts.
+Documents longer than CHUNK characters are split and their chunks spread over all tasks. A chunk's statistics are counts
+per line, kept as an associative state: finished lines, and the open line at either end with its open word (boundary
+state). States of a document's chunks are merged in order, a fixed number at a time (tree aggregation), so a text of any
+length is never read as one. Ratios and rule outcomes are derived from the merged counts.
 
 A line's characters count as running text by rules on its counts: enough words, enough of them function words of some
 language (or letters of a script without spaces), few digits and signs, no head of a log line, table, list or dump.
-Repeats of the same line beyond the first few are no running text.
+Repeats of the same line beyond the first few are no running text; lines of any length are compared, by a hash of their
+characters that can be joined over chunks (a number modulo a prime of 89 bits; white space is left out).
 
 Defined results: null, empty and white-space texts have zero counts and are no case; any line ends (``\\n``, ``\\r\\n``,
-``\\r``); texts are whole; statistics do not depend on CHUNK; repeated rows stay as they are, those of texts beyond CHUNK become one.
+``\\r``); texts are whole; statistics do not depend on CHUNK; repeated rows (the same id and text) are one row.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -28,7 +30,7 @@ from ..runtime import cut, table
 
 CHUNK = 1 << 16
 #: chunk states merged at a time
-FAN_IN = 64
+FAN_IN = 256
 #: common words of running text, by language
 FUNCTION_WORDS = {
     "en": "the a of to and in is it that for was on with as at by be this not are from or but have has had we you i if so when which",
@@ -49,10 +51,14 @@ _STRUCTURE = re.compile(
     r"\[?\d{4}[-/]\d{2}[-/]\d{2}[T ]\d{2}:\d{2}"  # a log line
     r"|[0-9a-f]{6,}\b\s+(?:[0-9a-f]{2,4}\s+){3}"  # a dump
     r"|\|"  # a table
-    r"|[\w.-]+\s*[=:]\s*\S+\s*$"  # a setting
     r"|[<{\[]"  # markup
     r")"
 )
+#: a key of a setting, if just one word follows it in its line
+_KEY = re.compile(r"[\w.-]{1,48}\s{0,4}[=:]")
+#: characters that the patterns for the beginning of a line look at, white space before them not counted
+_START = 128
+_PRIME = 2**89 - 1
 _BULLET = re.compile(r"\s*(?:[-*+•·]|\(?\d{1,4}[.):]|[a-z]\))\s+")
 _EDGE = ".,;:!?\"'()[]{}«»„“”‘’…¿¡`*_-—–。、！？"
 _ENDS = tuple(".!?…。！？")
@@ -81,8 +87,11 @@ class Line:
     head: str = ""
     tail: str = ""
     split: bool = False  # whether there is white space between head and tail
-    start: str = ""  # the first characters, for the structure rules
+    start: str = ""  # the first characters behind leading white space, for the structure rules
+    raw: str = ""  # the first characters
     last: str = ""  # the last character that is no white space
+    hash: int = 0  # of the bytes that are no white space, as one number modulo _PRIME
+    bytes: int = 0  # how many they are
 
     COUNTS = ("chars", "words", "common", "plain", "letters", "digits", "signs", "spaces", "kana", "wide", "tabs", "word_chars", "stops")
 
@@ -124,7 +133,9 @@ def _word(line: Line, w: str) -> None:
 
 def _signs(text: str) -> Line:
     """Counts of characters. ASCII is counted by translation; only other characters are looked at one by one."""
-    p = Line(chars=len(text), start=text[:64])
+    p = Line(chars=len(text), start=text[:_START].lstrip())
+    if len(p.start) < _START < len(text):
+        p.start = text.lstrip()[:_START]
     stripped = text.rstrip()
     p.last = stripped[-1:]
     b = text.encode("ascii", "ignore")
@@ -157,6 +168,8 @@ def part(text: str) -> Line:
         return Line()
     p = _signs(text)
     words = text.split()
+    p.raw = text[:_START]
+    _hash(p, words)
     if text[0].isspace():
         words.insert(0, "")
     if text[-1].isspace():
@@ -169,13 +182,19 @@ def part(text: str) -> Line:
     return p
 
 
-def whole_line(text: str) -> Line:
-    """closed(part(text)) in one step."""
+def _hash(p: Line, words: list[str]) -> None:
+    b = "".join(words).encode("utf-8", "surrogatepass")
+    p.bytes, p.hash = len(b), int.from_bytes(b) % _PRIME
+
+
+def whole_line(text: str) -> tuple[Line, list[str]]:
+    """closed(part(text)) in one step, but for the hash, and the line's words."""
     if not text:
-        return Line()
+        return Line(), []
     p = _signs(text)
-    _count_words(p, text.split())
-    return p
+    words = text.split()
+    _count_words(p, words)
+    return p, words
 
 
 def joined(a: Line, b: Line) -> Line:
@@ -183,7 +202,9 @@ def joined(a: Line, b: Line) -> Line:
     if not a.chars or not b.chars:
         return a if a.chars else b
     out = Line(**{c: getattr(a, c) + getattr(b, c) for c in Line.COUNTS})
-    out.start = a.start if len(a.start) >= 64 else (a.start + b.start)[:64]
+    out.raw = (a.raw + b.raw)[:_START] if len(a.raw) < _START else a.raw
+    out.start = (a.start + b.raw)[:_START] if a.start else b.start
+    out.bytes, out.hash = a.bytes + b.bytes, (a.hash * pow(256, b.bytes, _PRIME) + b.hash) % _PRIME
     out.last = b.last or a.last
     if a.split and b.split:
         _word(out, a.tail + b.head)
@@ -199,12 +220,21 @@ def joined(a: Line, b: Line) -> Line:
 
 def closed(p: Line) -> Line:
     """A whole line: its open words are words."""
-    out = Line(**{c: getattr(p, c) for c in Line.COUNTS}, start=p.start, last=p.last)
+    out = Line(**{c: getattr(p, c) for c in Line.COUNTS}, start=p.start, last=p.last, hash=p.hash, bytes=p.bytes)
     _word(out, p.head)
     _word(out, p.tail)
     return out
 
 
+def _setting(p: Line) -> bool:
+    """Whether a line is a key, a sign and one word."""
+    m = _KEY.match(p.start)
+    if m is None:
+        return False
+    words, apart = len(p.start[: m.end()].split()), p.start[m.end() : m.end() + 1].isspace()
+    return p.words == words + apart and p.bytes != len("".join(p.start[: m.end()].split()).encode())
+
+
 def running(p: Line, listed: bool | None = None) -> bool:
     """Whether a whole line is running text."""
     solid = p.chars - p.spaces
@@ -213,7 +243,7 @@ def running(p: Line, listed: bool | None = None) -> bool:
         return False
     if p.kana >= 0.15 * solid and p.letters >= 0.6 * solid or p.wide >= 0.5 * solid and p.signs + p.digits <= 0.3 * solid and p.wide >= 8:
         return True
-    if _STRUCTURE.match(p.start) or p.tabs >= 2 or p.digits > 0.25 * solid or p.signs > 0.25 * solid:
+    if _STRUCTURE.match(p.start) or _setting(p) or p.tabs >= 2 or p.digits > 0.25 * solid or p.signs > 0.25 * solid:
         return False
     need = MIN_WORDS + 3 if listed else MIN_WORDS
     if p.words < need:
@@ -227,87 +257,77 @@ class State:
     """Associative statistics of a piece of text: sums over its finished lines and the open lines at its ends."""
 
     sums: dict[str, int] = field(default_factory=dict)
-    seen: dict[int, list[int]] = field(default_factory=dict)  # hash of a running line -> [times, characters]
+    seen: dict[str, list[int]] = field(default_factory=dict)  # running lines by hash: [times, characters]
     first: Line = field(default_factory=Line)
     last: Line = field(default_factory=Line)
     broken: bool = False  # whether a line ends within the piece
-    cr: bool = False  # whether it ends in a carriage return
-    lf: bool = False  # whether it starts with a line feed
-    text_first: str = ""  # text of the open lines, kept for repeats only while short
-    text_last: str = ""
 
 
 SUMS = ["lines", "chars", "solid", "words", "word_chars", "common", "plain", "letters", "digits", "signs", "ended", "running", "running_lines", "listed"]
-_SHORT = 400
 
 
-def _finish(s: State, w: Line, text: str) -> None:
-    """Add a whole line (closed) and, if it is short, its text for repeats."""
+def _finish(s: State, w: Line, words: list[str] | None = None) -> None:
+    """Add a whole line (closed); ``words`` if its hash is still to be made."""
     sums = s.sums
     solid = w.chars - w.spaces
     if not solid:
         return
+    if words is not None and (w.words <= 3 and ("=" in w.start or ":" in w.start)):
+        _hash(w, words)
+        words = None
     listed = bool(_BULLET.match(w.start))
     run = running(w, listed)
     for k, v in zip(SUMS, (1, w.chars, solid, w.words, w.word_chars, w.common, w.plain, w.letters, w.digits, w.signs, int(w.last in _ENDS), solid if run else 0, int(run), int(listed))):
         sums[k] = sums.get(k, 0) + v
-    if run and w.chars <= _SHORT:
-        n = s.seen.setdefault(hash_text(text.strip()), [0, solid])
-        n[0] += 1
-
-
-def hash_text(text: str) -> int:
-    import zlib
-
-    b = text.encode("utf-8", "replace")
-    return zlib.crc32(b) << 32 | zlib.adler32(b)
+    if run:
+        if words is not None:
+            _hash(w, words)
+        s.seen.setdefault(f"{w.bytes:x}-{w.hash:x}", [0, solid])[0] += 1
 
 
 def state(text: str) -> State:
     """State of one piece of text."""
-    s = State(cr=text.endswith("\r"), lf=text.startswith("\n"))
+    s = State()
     pieces = _LINE_END.split(text)
-    if len(pieces) == 1:
-        s.first, s.text_first = part(text), text[: _SHORT + 1]
-        return s
-    s.broken = True
-    s.first, s.text_first = part(pieces[0]), pieces[0][: _SHORT + 1]
-    for x in pieces[1:-1]:
-        _finish(s, whole_line(x), x)
-    s.last, s.text_last = part(pieces[-1]), pieces[-1][: _SHORT + 1]
+    s.first = part(pieces[0])
+    if len(pieces) > 1:
+        s.broken = True
+        for x in pieces[1:-1]:
+            _finish(s, *whole_line(x))
+        s.last = part(pieces[-1])
     return s
 
 
 def merged(a: State, b: State) -> State:
     """State of two neighbouring pieces."""
-    s = State(sums=dict(a.sums), seen={k: list(v) for k, v in a.seen.items()}, cr=b.cr if (b.first.chars or b.broken) else a.cr, lf=a.lf, broken=a.broken or b.broken)
+    s = State(sums=dict(a.sums), seen={k: list(v) for k, v in a.seen.items()}, broken=a.broken or b.broken)
     for k, v in b.sums.items():
         s.sums[k] = s.sums.get(k, 0) + v
     for k, v in b.seen.items():
         s.seen.setdefault(k, [0, v[1]])[0] += v[0]
-    both = lambda x, y: (x + y)[: _SHORT + 1]
-    if not a.broken and not b.broken:
-        s.first, s.text_first = joined(a.first, b.first), both(a.text_first, b.text_first)
+    s.first, s.last = a.first, b.last
+    if not a.broken:
+        s.first = joined(a.first, b.first)
     elif not b.broken:
-        s.first, s.text_first = a.first, a.text_first
-        s.last, s.text_last = joined(a.last, b.first), both(a.text_last, b.text_first)
-    elif not a.broken:
-        s.first, s.text_first = joined(a.first, b.first), both(a.text_first, b.text_first)
-        s.last, s.text_last = b.last, b.text_last
+        s.last = joined(a.last, b.first)
     else:
-        s.first, s.text_first = a.first, a.text_first
-        s.last, s.text_last = b.last, b.text_last
         # a line end that a cut halves gives an empty line, which counts nothing
-        _finish(s, closed(joined(a.last, b.first)), both(a.text_last, b.text_first))
+        _finish(s, closed(joined(a.last, b.first)))
     return s
 
 
-def totals(s: State) -> dict[str, int]:
-    """Counts of a whole document."""
+def ended(s: State) -> State:
+    """State of a whole document: its open lines are lines."""
     end = State(sums=dict(s.sums), seen={k: list(v) for k, v in s.seen.items()})
-    _finish(end, closed(s.first), s.text_first)
+    _finish(end, closed(s.first))
     if s.broken:
-        _finish(end, closed(s.last), s.text_last)
+        _finish(end, closed(s.last))
+    return end
+
+
+def totals(s: State) -> dict[str, int]:
+    """Counts of a whole document."""
+    end = ended(s)
     out = {k: end.sums.get(k, 0) for k in SUMS}
     # boilerplate: of a repeated line only the first few count as running text
     out["repeated"] = sum((n - REPEATS) * solid for n, solid in end.seen.values() if n > REPEATS)
@@ -317,66 +337,105 @@ def totals(s: State) -> dict[str, int]:
 
 def packed(s: State) -> bytes:
     """A state as bytes."""
-    import json
     from dataclasses import asdict
 
-    return json.dumps(asdict(s) | {"seen": list(s.seen.items())}).encode()
+    return json.dumps(asdict(s)).encode()
 
 
 def unpacked(data: bytes) -> State:
-    import json
-
     d = json.loads(data)
-    return State(**d | {"seen": {k: v for k, v in d["seen"]}, "first": Line(**d["first"]), "last": Line(**d["last"])})
+    return State(**d | {"first": Line(**d["first"]), "last": Line(**d["last"])})
 
 
 _SCHEMA = ", ".join(f"{k} long" for k in [*SUMS, "repeated"])
 
 
+_PIECE = "doc {kind}, h long, size int, at int, state binary, line string, times long, solid long"
+
+
+def _pieces(chunk: int):
+    """Long texts -> their chunks, each cut out once."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for doc, h, size, t in zip(pdf["doc"], pdf["h"], pdf["size"], pdf["t"]):
+                n = -(-len(t) // chunk)
+                for a in range(0, n, 64):  # a few chunks at a time, whatever the text's length
+                    at = range(a, min(a + 64, n))
+                    yield pd.DataFrame({"doc": [doc] * len(at), "h": h, "size": size, "at": list(at), "piece": [t[i * chunk : (i + 1) * chunk] for i in at]})
+
+    return run
+
+
 def _chunk_states(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Chunks -> a state each, and one row for each of its distinct running lines, which the states do without."""
     for pdf in batches:
-        yield pd.DataFrame({"doc": pdf["doc"], "h": pdf["h"], "at": pdf["at"], "state": [packed(state(t)) for t in pdf["piece"]]})
+        rows: list[tuple] = []
+        for doc, h, size, at, piece in zip(pdf["doc"], pdf["h"], pdf["size"], pdf["at"], pdf["piece"]):
+            s = state(piece)
+            rows += [(doc, h, size, at, None, k, n, solid) for k, (n, solid) in s.seen.items()]
+            s.seen = {}
+            rows.append((doc, h, size, at, packed(s), None, None, None))
+        yield _piece_frame(rows)
+
+
+def _piece_frame(rows: list[tuple]) -> pd.DataFrame:
+    out = pd.DataFrame(rows, columns=["doc", "h", "size", "at", "state", "line", "times", "solid"])
+    return out.astype({"times": "Int64", "solid": "Int64"})
 
 
 def _merge_group(pdf: pd.DataFrame) -> pd.DataFrame:
+    """States of neighbouring chunks -> one state; ``seen`` holds the lines that crossed a border, one a border at most."""
     pdf = pdf.sort_values("at")
     s = None
     for x in pdf["state"]:
         nxt = unpacked(x)
         s = nxt if s is None else merged(s, nxt)
-    return pd.DataFrame({"doc": [pdf["doc"].iloc[0]], "h": [pdf["h"].iloc[0]], "at": [pdf["at"].iloc[0] // FAN_IN], "state": [packed(s)]})
+    return pd.DataFrame({"doc": [pdf["doc"].iloc[0]], "h": [pdf["h"].iloc[0]], "size": [pdf["size"].iloc[0]], "at": [pdf["at"].iloc[0] // FAN_IN], "state": [packed(s)]})
 
 
 def _whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        rows = [totals(state(t)) for t in pdf["piece"]]
-        out = pd.DataFrame(rows, columns=[*SUMS, "repeated"])
-        out.insert(0, "doc", pdf["doc"].to_numpy())
+        out = pd.DataFrame([totals(state(t)) for t in pdf["t"]], columns=[*SUMS, "repeated"])
+        for i, c in enumerate(("doc", "h", "size")):
+            out.insert(i, c, pdf[c].to_numpy())
         yield out
 
 
 def _from_states(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Merged states -> sums, with the lines that crossed a border."""
     for pdf in batches:
-        out = pd.DataFrame([totals(unpacked(x)) for x in pdf["state"]], columns=[*SUMS, "repeated"])
-        out.insert(0, "doc", pdf["doc"].to_numpy())
-        yield out
+        rows = []
+        for doc, h, size, x in zip(pdf["doc"], pdf["h"], pdf["size"], pdf["state"]):
+            s = ended(unpacked(x))
+            lines = [{"line": k, "times": n, "solid": solid} for k, (n, solid) in s.seen.items()]
+            rows.append((doc, h, size, *(s.sums.get(k, 0) for k in SUMS), lines))
+        yield pd.DataFrame(rows, columns=["doc", "h", "size", *SUMS, "crossing"])
 
 
 def counts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", chunk: int = CHUNK) -> DataFrame:
-    """``doc_id`` and the merged counts of every document; one row per input row with a non-null text."""
+    """``doc_id`` and the merged counts of every document with a non-null text, repeated rows once."""
     src = docs.select(F.col(doc_id).alias("doc"), F.col(text).alias("t")).where("t is not null")
+    src = src.select("doc", F.xxhash64("t").alias("h"), F.length("t").alias("size"), "t")
     kind = src.schema["doc"].dataType.simpleString()
-    small = src.where(F.length("t") <= chunk).select("doc", F.col("t").alias("piece")).mapInPandas(_whole, f"doc {kind}, {_SCHEMA}")
-    long = src.where(F.length("t") > chunk)
-    # repeated rows of a long text are found by its hash, on the states of its chunks
-    pieces = long.select("doc", "t", F.xxhash64("t").alias("h"), F.explode(F.sequence(F.lit(0), F.floor((F.length("t") - 1) / chunk).cast("int"))).alias("at"))
-    states = pieces.select("doc", "h", "at", F.substring("t", F.col("at") * chunk + 1, F.lit(chunk)).alias("piece")).mapInPandas(_chunk_states, f"doc {kind}, h long, at int, state binary").dropDuplicates(["doc", "h", "at"])
+    small = src.where(F.col("size") <= chunk).mapInPandas(_whole, f"doc {kind}, h long, size int, {_SCHEMA}")
+    # the chunks of long texts are spread by their place, then written once as states and lines
+    pieces = src.where(F.col("size") > chunk).mapInPandas(_pieces(chunk), f"doc {kind}, h long, size int, at int, piece string").repartition("h", "at")
+    read = cut(pieces.mapInPandas(_chunk_states, _PIECE.format(kind=kind)))
+    states = read.where("state is not null").select("doc", "h", "size", "at", "state").dropDuplicates(["doc", "h", "size", "at"])
+    lines = read.where("line is not null").dropDuplicates(["doc", "h", "size", "at", "line"]).select("doc", "h", "size", "line", "times", "solid")
     most = 2**31 // chunk + 1  # a text has at most 2^31 characters
     while most > 1:
-        states = states.groupBy("doc", "h", F.floor(F.col("at") / FAN_IN).alias("__g")).applyInPandas(_merge_group, f"doc {kind}, h long, at int, state binary")
+        states = states.groupBy("doc", "h", "size", F.floor(F.col("at") / FAN_IN).alias("__g")).applyInPandas(_merge_group, f"doc {kind}, h long, size int, at int, state binary")
         most = -(-most // FAN_IN)
-    big = states.mapInPandas(_from_states, f"doc {kind}, {_SCHEMA}")
-    return small.unionByName(big).withColumnRenamed("doc", doc_id)
+    sums = states.mapInPandas(_from_states, f"doc {kind}, h long, size int, {', '.join(f'{k} long' for k in SUMS)}, crossing array<struct<line:string,times:long,solid:long>>")
+    crossing = sums.select("doc", "h", "size", F.inline("crossing"))
+    again = lines.unionByName(crossing).groupBy("doc", "h", "size", "line").agg(F.sum("times").alias("times"), F.first("solid").alias("solid")).where(F.col("times") > REPEATS)
+    again = again.groupBy("doc", "h", "size").agg(F.sum((F.col("times") - REPEATS) * F.col("solid")).alias("repeated"))
+    big = sums.alias("s").join(again.alias("a"), F.col("s.doc").eqNullSafe(F.col("a.doc")) & (F.col("s.h") == F.col("a.h")) & (F.col("s.size") == F.col("a.size")), "left")
+    extra = F.coalesce(F.col("a.repeated"), F.lit(0))
+    big = big.select("s.doc", "s.h", "s.size", *[(F.col("s.running") - extra).alias("running") if k == "running" else F.col(f"s.{k}") for k in SUMS], extra.alias("repeated"))
+    return small.unionByName(big).dropDuplicates(["doc", "h", "size"]).drop("h", "size").withColumnRenamed("doc", doc_id)
 
 
 def statistics(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", chunk: int = CHUNK) -> DataFrame:
