@@ -17,11 +17,18 @@ from ..runtime import cut, lookup_join
 from .line_types import M, typed_counts
 
 
+#: tasks over which the sequences of one first partition are spread
+SPREAD = 4
+
+
 def counted(lines: DataFrame) -> DataFrame:
-    """``tokens, head, cnt``: the typed token sequences of the lines (``text``, ``host``) that may be heads of entries."""
+    """``pid, tokens, head, cnt``: the typed token sequences of the lines (``text``, ``host``) that may be heads of entries."""
     text = F.when(F.length("host") > 2, F.replace("text", F.col("host"), F.lit(f" {M}H "))).otherwise(F.col("text"))
     typed = lines.where("text is not null").select(text.alias("text")).mapInArrow(typed_counts(zone_abbreviations()), "tokens array<string>, head array<string>, cnt long")
-    return typed.groupBy("tokens", "head").agg(F.sum("cnt").alias("cnt"))
+    # The first split, by token count and head, is the partitioning as well: what belongs together is combined in the task by
+    # all later splits. A partition of many lines is spread over SPREAD tasks.
+    placed = typed.withColumns({"pid": F.xxhash64(F.size("tokens"), "head"), "salt": F.pmod(F.xxhash64("tokens"), F.lit(SPREAD))}).repartition("pid", "salt")
+    return placed.groupBy("pid", "salt", "tokens", "head").agg(F.sum("cnt").alias("cnt")).drop("salt")
 
 
 def _class(token: Column) -> Column:
@@ -61,13 +68,13 @@ def _split_by_bijection(parts: DataFrame) -> DataFrame:
 
 
 def templates(shapes: DataFrame) -> DataFrame:
-    """``pid, cnt, head, slots``: the leaf templates of ``tokens, head, cnt`` rows.
+    """``pid, cnt, head, slots``: the leaf templates of ``pid, tokens, head, cnt`` rows.
 
     ``head`` has the classes of the tokens of its lines' heads. ``slots`` has one struct a position, in order: ``token``
     (null for a variable slot), its least and greatest token ``lo`` and ``hi``, and ``named``, the share of the lines in
     which the slot holds a numbered name such as ``pool-3``.
     """
-    parts = shapes.withColumn("pid", F.xxhash64(F.size("tokens"), "head"))
+    parts = shapes
     # each split reads its input several times, so the input is written once
     for split in (_split_by_position, _split_by_bijection, _split_by_position):
         parts = split(cut(parts))

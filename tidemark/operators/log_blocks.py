@@ -29,6 +29,7 @@ _TOKEN = re.compile(r'"((?:[^"\\]|\\.)*)"|([{\[])|([}\]])|(:)|([^\s{}\[\]:,"]+)'
 _ROW = "first_line long, last_line long, lvl string, comp string, ts_raw string, msg string"
 #: kind 0: a finished entry; 1: the summary of a block's start; 2: an entry among the pieces there; 3: of its rest
 _OUT = f"file string, blk long, kind int, {_ROW}, before long, more string"
+_FIELDS = ["lvl", "comp", "ts_raw", "msg"]
 _NAMES = [c.split()[0] for c in _OUT.split(", ")]
 _TYPES = [{"string": pa.string(), "long": pa.int64(), "int": pa.int32()}[c.split()[1]] for c in _OUT.split(", ")]
 
@@ -101,23 +102,24 @@ class Lead:
                 lv["fields"].setdefault(e, v)
 
 
-def _block(file: str, blk: int, line: np.ndarray, t: np.ndarray, col: dict) -> list[list]:
+def _block(file: str, blk: int, line: np.ndarray, t: np.ndarray, col: dict[str, pa.Array]) -> pa.RecordBatch:
     """Output rows of one block's lines, sorted by number and without repeats."""
     blank = t == "B"
     upto = np.maximum.accumulate(np.where(blank, -1, line))  # the last line so far that is not blank
     is_head, is_piece = t == "H", t == "P"
-    found = [(int(i), None) for i in np.flatnonzero(is_head)]
+    places, scans = np.flatnonzero(is_head), {}
     lead, lead_end, tail = Lead(), len(line), None
     stops = np.flatnonzero(is_head | (t == "X"))
     if len(stops):
         lead_end = int(stops[0])
     if is_piece.any():
-        since = np.searchsorted(stops, np.flatnonzero(is_piece))
+        at = np.flatnonzero(is_piece)
+        since = np.searchsorted(stops, at)
         scan, before = None, -1
-        for i, n in zip(np.flatnonzero(is_piece).tolist(), since.tolist()):
+        for i, n, text in zip(at.tolist(), since.tolist(), col["piece"].take(pa.array(at)).to_pylist()):
             if n != before:
                 scan, before = None, n
-            text, no = col["piece"][i], int(line[i])
+            no = int(line[i])
             opens = text.lstrip()[:1] == "{"
             if opens and text[0] == "{" and i < lead_end:
                 lead_end = i
@@ -127,38 +129,42 @@ def _block(file: str, blk: int, line: np.ndarray, t: np.ndarray, col: dict) -> l
                 scan = Scan(no, i)
             if scan is not None:
                 if scan.feed(text):
-                    found.append((scan.at, scan))
+                    scans[scan.at] = scan
                 if scan.depth <= 0:
                     scan = None
         tail = scan if before == len(stops) else None
-        found.sort(key=lambda x: x[0])
-    rows: list[list] = []
-    inner = sum(1 for i, _ in found if i < lead_end)
-    for k, (i, scan) in enumerate(found):
-        values = [col[c][i] for c in ("lvl", "comp", "ts_raw", "msg")] if scan is None else scan.row()
-        last = int(upto[found[k + 1][0] - 1 if k + 1 < len(found) else -1])
-        earlier = int(upto[i - 1]) if i else -1
-        kind = 2 if k < inner else 0 if k + 1 < len(found) else 3
-        rows.append([file, blk, kind, int(line[i]), last, *values, earlier if kind == 2 else None, None])
-    first_body = found[inner][0] if inner < len(found) else len(line)
-    headless = int(upto[first_body - 1]) if first_body else -1
-    whole = lead_end == len(line)
+        places = np.union1d(places, np.fromiter(scans, dtype=np.int64, count=len(scans)))
+    n = len(places)
+    inner = int(np.searchsorted(places, lead_end))
+    first_body = int(places[inner]) if inner < n else len(line)
     open_object = None
     if tail is not None:
         open_object = {"first": tail.first, "before": int(upto[tail.at - 1]) if tail.at else -1, "depth": tail.depth, "done": tail.done, "fields": tail.fields}
-    rest = json.dumps({"headless": headless, "whole": whole, "object": open_object})
-    if rows and rows[-1][2] == 3:
-        rows[-1][-1] = rest
-    else:
-        rows.append([file, blk, 3, None, None, None, None, None, None, None, rest])
+    rest = json.dumps({"headless": int(upto[first_body - 1]) if first_body else -1, "whole": lead_end == len(line), "object": open_object})
+    kind = np.zeros(n, dtype=np.int32)
+    kind[:inner] = 2
+    if inner < n:
+        kind[-1] = 3
+    fields = [col[c].take(pa.array(places)) for c in _FIELDS]
+    if scans:
+        fields = [f.to_pylist() for f in fields]
+        for k in np.flatnonzero(np.isin(places, list(scans))).tolist():
+            for f, v in zip(fields, scans[int(places[k])].row()):
+                f[k] = v
+        fields = [pa.array(f, pa.string()) for f in fields]
+    ends = np.append(places[1:], len(line))[:n]
+    earlier = np.where(places > 0, upto[places - 1], -1)
+    out = [pa.array([file] * n, pa.string()), pa.array(np.full(n, blk)), pa.array(kind), pa.array(line[places]), pa.array(upto[ends - 1]), *fields, pa.array(earlier, mask=kind != 2), pa.array([rest if k == 3 else None for k in kind.tolist()], pa.string())]
+    more = []
+    if inner == n:
+        more.append((3, rest))
     if lead.pieces:
-        rows.append([file, blk, 1, None, None, None, None, None, None, None, json.dumps({"depth": lead.depth, "levels": sorted(lead.levels.items())})])
-    return rows
-
-
-def _batch(rows: list[list]) -> pa.RecordBatch:
-    cols = list(zip(*rows)) if rows else [()] * len(_NAMES)
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, _TYPES)], _NAMES)
+        more.append((1, json.dumps({"depth": lead.depth, "levels": sorted(lead.levels.items())})))
+    done = pa.RecordBatch.from_arrays([a.cast(k) for a, k in zip(out, _TYPES)], _NAMES)
+    if not more:
+        return done
+    extra = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*[(file, blk, k, *[None] * 7, m) for k, m in more]), _TYPES)], _NAMES)
+    return pa.concat_batches([done, extra])
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,8 +178,10 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep = np.concatenate(([True], line[1:] != line[:-1]))
         if not keep.all():
             b, line = b.filter(pa.array(keep)), line[keep]
-        col = {c: b[c].to_pylist() for c in ("lvl", "comp", "ts_raw", "msg", "piece")}
-        return _batch(_block(*key, line, np.array(b["t"].to_pylist(), dtype="U1"), col))
+        t = b["t"].combine_chunks().dictionary_encode() if isinstance(b["t"], pa.ChunkedArray) else b["t"].dictionary_encode()
+        kinds = np.array(t.dictionary.to_pylist(), dtype="U1")[t.indices.to_numpy()]
+        whole = lambda c: c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c
+        return _block(*key, line, kinds, {c: whole(b[c]) for c in (*_FIELDS, "piece")})
 
     for batch in batches:
         if not batch.num_rows:
@@ -190,7 +198,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held.append(batch.slice(a, z - a))
     if held:
         yield flush()
-    yield _batch([])
+    yield pa.RecordBatch.from_arrays([pa.array([], k) for k in _TYPES], _NAMES)
 
 
 class _Stitch:

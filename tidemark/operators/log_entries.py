@@ -159,7 +159,7 @@ def _token(tokens: list[str], i: int, component: bool, n: int) -> str:
         apart = set(c) == {"-"} or set(tokens[i - 1]) == {"-"}  # dashes are tokens only where white space sets them apart
         out = r"\s+" if apart or c in _WORDY and tokens[i - 1] in _WORDY and not first else r"\s*"
     if component:
-        return out + rf"(?<c{n}>[^\s\[\](){{}}<>|:,;=\"'@]+)"
+        return out + rf"(?<c{n}>[^\s\[\](){{}}<>|:,;=\"'@]++)"
     if c == "T":
         return out + rf"(?<t{n}>{time_pattern(f'x{n}')})"
     if c == "L":
@@ -236,7 +236,7 @@ def classified(lines: DataFrame, specs: list[dict]) -> DataFrame:
     h = F.col("h")
     return (
         lines.select("file", "line_no", F.when(F.col("text").rlike(r"\S"), text).otherwise("").alias("line_text"))
-        .withColumn("h", F.when(line == "", F.lit(None)).when(braced, from_obj).when(line.rlike(r"^\s"), F.lit(None)).otherwise(heads))
+        .withColumn("h", F.when(line == "", F.lit(None)).when(braced, from_obj).when(F.substring(line, 1, 1).isin(" ", "\t"), F.lit(None)).otherwise(heads))
         .withColumn("t", F.when(h.isNotNull(), "H").when(line == "", "B").when(piece, "P").otherwise("X"))
         .select(
             "file",

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import os
 import tempfile
 import uuid
 
@@ -64,9 +63,11 @@ _own_dir: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, else a local one made for tests."""
+    """The folder all executors share: ``spark.checkpoint.dir``. Only on a local master, as in tests, one is made if it is unset."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         if not _own_dir:
             _own_dir.append("file://" + tempfile.mkdtemp(prefix="tidemark-"))
         where = _own_dir[0]
@@ -74,14 +75,27 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write a frame to the shared folder and read it again: lineage ends there and survives lost executors."""
+    """Write a frame to the shared folder and read it again: lineage ends there and survives lost executors.
+
+    The table stays until ``drop_cuts`` or the end of the program, as frames that were made from it may read it at any time.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    atexit.register(_drop, spark, path)
+    _cuts[path] = spark
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_cuts() -> None:
+    """Remove all tables written by ``cut``; to be called when the results of the queries so far have been written."""
+    while _cuts:
+        _drop(*reversed(_cuts.popitem()))
+
+
+_cuts: dict[str, SparkSession] = {}
+atexit.register(drop_cuts)
+
+
 def _drop(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark._jvm
@@ -92,11 +106,3 @@ def _drop(spark: SparkSession, path: str) -> None:
             import shutil
 
             shutil.rmtree(path[7:], ignore_errors=True)
-
-
-def has_column(df: DataFrame, name: str) -> bool:
-    return name.lower() in (c.lower() for c in df.columns)
-
-
-def repo_root() -> str:
-    return os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
