@@ -26,7 +26,7 @@ NEAR = 3
 #: words kept behind the level, among them the component
 BEHIND = 2
 #: entries of the tables of remembered words and counted lines
-REMEMBERED = 200_000
+REMEMBERED = 1 << 16
 
 _FOLD = bytes(0x31 if 0x30 <= b <= 0x39 else b for b in range(256))
 _MON = "(?:" + "|".join(MONTHS[:12]) + ")"
