@@ -51,9 +51,76 @@ def test_encodings(spark, tmp_path, key, text):
 
 def test_detection():
     assert [src.detect_encoding(x) for x in (b"abc", "é".encode(), "é".encode()[:1], b"\xe9t\xe9 ", b"\xff\xfea\0", "abcdefgh".encode("utf-16-le"))] == ["utf8", "utf8", "utf8", "windows1252", "utf16le", "utf16le"]
+    heads = {"windows1252": "Größe überschritten, dépôt fermé", "shiftjis": "ファイルが見つかりません 時刻", "eucjp": "接続が切れました エラー", "euckr": "연결이 끊어졌습니다 오류", "gb18030": "错误：文件不能打开", "big5": "錯誤：檔案不能開啟", "windows1251": "Ошибка записи в журнал", "koi8r": "Ошибка записи в журнал", "windows1250": "Příliš žluťoučký kůň", "iso88592": "Zażółć gęślą jaźń ąśź"}
+    assert {k: src.detect_encoding(b"2026-03-01 ERROR " + t.encode(src.CODECS.get(k, k))) for k, t in heads.items()} == {k: k for k in heads}
     assert src.is_binary(bytes([1, 2, 0] * 500)) and not src.is_binary(b"a" * 100 + b"\0") and not src.is_binary("text".encode("utf-16-le") * 50)
 
 
+@pytest.mark.parametrize("key", ["utf16le", "utf16be", "shiftjis", "gb18030", "windows1251"])
+def test_numbers_and_bytes_in_other_encodings(spark, tmp_path, monkeypatch, key):
+    """Lines over many splits, with characters whose bytes look like line ends in UTF-16."""
+    from tidemark.sources import files
+
+    monkeypatch.setattr(files, "RANGE", 4096)
+    monkeypatch.setattr(files, "STEP", 100)
+    odd = "\u0a05\u0100\u010a" if key.startswith("utf16") else "д" if key == "windows1251" else "時"
+    body = [f"line {i} {odd * (i % 5)}" for i in range(3000)]
+    p, codec = tmp_path / "e.log", src.CODECS.get(key, key)
+    p.write_bytes("\r\n".join(body).encode(codec))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16384")
+    try:
+        got = src.read_lines(spark, str(p), key).orderBy("line").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [r["text"] for r in got] == body and [r["line"] for r in got] == list(range(1, 3001))
+    data = p.read_bytes()
+    assert all(data[r["byte"] :].startswith(r["text"].encode(codec)) for r in got)
+
+
+def test_numbering_shuffles_no_text(spark, tmp_path):
+    p = tmp_path / "x.log"
+    p.write_text("a\nb\n")
+    plan = src.read_lines(spark, str(p))._jdf.queryExecution().executedPlan().toString()
+    exchanges = [x for x in plan.splitlines() if "Exchange hashpartitioning" in x]
+    assert exchanges and all("value" not in x and "text" not in x for x in exchanges)
+
+
+def test_open_log_finds_kind_and_encoding(spark, tmp_path):
+    texts = {"a.log": "один\nдва\n".encode("koi8_r") + b"Error\n", "b.log": "één\ntwee".encode(), "c.log": "\ufeffx\ny".encode("utf-16-le")}
+    for n, d in texts.items():
+        (tmp_path / n).write_bytes(d)
+    (tmp_path / "d.log.gz").write_bytes(gzip.compress("p\nq\n".encode()))
+    df = src.open_log(spark, [str(tmp_path / n) for n in (*texts, "d.log.gz")])
+    got = {}
+    for r in df.orderBy("file", "line").collect():
+        got.setdefault(r["file"].rsplit("/", 1)[-1], []).append(r["text"])
+    assert got == {"a.log": ["один", "два", "Error"], "b.log": ["één", "twee"], "c.log": ["x", "y"], "d.log.gz": ["p", "q"]}
+    (tmp_path / "bin").write_bytes(bytes([0, 1, 2] * 4000))
+    with pytest.raises(ValueError):
+        src.open_log(spark, str(tmp_path / "bin"))
+
+
+def test_command_line(spark, tmp_path):
+    from tidemark.__main__ import main
+
+    def run(*args):
+        out = io.StringIO()
+        return main([str(a) for a in args], spark, out), out.getvalue()
+
+    p, e, b, w = (tmp_path / n for n in ("s.log", "empty.log", "bin", "w.log"))
+    p.write_text("2026-09-04 INFO start\n2026-09-04 ERROR disk full\n2026-09-04 INFO stop\n")
+    e.write_text("")
+    b.write_bytes(bytes([0, 1, 2] * 4000))
+    w.write_text("open ticket\ngolden hour\n")
+    code, text = run("count", p)
+    assert code == 0 and "Lines: 3" in text and "Size: 70 B (70 bytes)" in text
+    assert "Baris: 3" in run("--lang", "id", "count", p)[1]
+    assert run("grep", "ERROR", p) == (0, "2026-09-04 ERROR disk full\n") and run("grep", "-n", "ERROR", p) == (0, "2:2026-09-04 ERROR disk full\n")
+    assert run("grep", "-c", "ERROR", p) == (0, "1\n") and run("grep", "FATAL", p) == (1, "") and run("grep", "-c", "FATAL", p) == (1, "0\n")
+    assert run("--lang", "en", "grep", "-c", "en", w) == (0, "2\n") and run("grep", "-c", "x", e) == (1, "0\n")
+    assert [run(*a)[0] for a in (("grep", "x", tmp_path / "none"), ("count", b), ("grep", "x", b), ("count",), ("grep", "x"), ())] == [2] * 6
+
+
 def test_archives(spark, tmp_path):
     log = b"one\r\ntwo\nthree"
     paths = []
@@ -136,7 +203,7 @@ def test_identity(tmp_path):
 def test_scalars(spark):
     one = lambda c: spark.range(1).select(c.alias("x")).first()["x"]
     assert one(scalars.base64_text(F.lit("w6kg YQ"))) == "é a" and one(scalars.base64_text(F.lit("#"))) is None and one(scalars.base64_text(F.lit("_-8="))) == one(scalars.base64_text(F.lit("/+8")))
-    assert one(scalars.jwt_parts(F.lit("eyJhIjoxfQ.eyJiIjoyfQ.x")))["payload"] == '{"b":2}' and one(scalars.jwt_parts(F.lit("x"))) is None
+    assert one(scalars.jwt_parts(F.lit("eyJhIjoxfQ.eyJiIjoyfQ.x")))["payload"] == '{\n  "b": 2\n}' and one(scalars.jwt_parts(F.lit("eyJhIjoxfQ.YWJj"))) is None and one(scalars.jwt_parts(F.lit("x"))) is None
     assert one(scalars.count_text(F.lit(1842291))) == "1.842.291" and one(scalars.size_text(F.lit(1536))) == "1,5 KB" and one(scalars.size_text(F.lit(12))) == "12 B"
     assert one(scalars.hex_rows(F.lit(b"abc\x00defghijklmnop"))) == ["00000000: 61 62 63 00 64 65 66 67  68 69 6a 6b 6c 6d 6e 6f  |abc.defghijklmno|", "00000010: 70 " + "   " * 7 + " " + "   " * 8 + " |p|"]
     assert one(scalars.line_hash(F.lit("a"))) == scalars.short_hash("a") and scalars.fnv1a(b"a") == 0xAF63DC4C8601EC8C

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .instants import bind
 from .text import present
 
 # Keywords which the SQL tidy writes in capitals, and those which start a line.
@@ -25,9 +26,16 @@ def base64_text(c: Column) -> Column:
 
 
 def jwt_parts(c: Column) -> Column:
-    """``header, payload`` of a token as JSON text; null if it has not two or three parts."""
+    """``header, payload`` of a token as JSON with two spaces; null if it has not two or three parts or one of both is no JSON."""
     p = F.split(F.trim(present(c)), r"\.")
-    return F.when(F.size(p).between(2, 3), F.struct(base64_text(F.get(p, F.lit(0))).alias("header"), base64_text(F.get(p, F.lit(1))).alias("payload")))
+    part = lambda i: json_pretty(base64_text(F.get(p, F.lit(i))))
+    both = F.struct(part(0).alias("header"), part(1).alias("payload"))
+    return F.when(F.size(p).between(2, 3) & both["header"].isNotNull() & both["payload"].isNotNull(), both)
+
+
+def jwt_text(c: Column) -> Column:
+    """The same as one text, each part under a heading."""
+    return bind(jwt_parts(c), lambda j: F.when(j.isNotNull(), F.concat(F.lit("== header ==\n"), j["header"], F.lit("\n== payload ==\n"), j["payload"], F.lit("\n"))))
 
 
 def _by_value(fn, kind: str = "string"):
@@ -38,10 +46,14 @@ def _by_value(fn, kind: str = "string"):
     return run
 
 
+def _no_constant(name: str):
+    raise ValueError(name)
+
+
 def pretty_json(text: str) -> str | None:
     """JSON with two spaces; null if it does not parse."""
     try:
-        return json.dumps(json.loads(text), indent=2, ensure_ascii=False)
+        return json.dumps(json.loads(text, parse_constant=_no_constant), indent=2, ensure_ascii=False)
     except ValueError:
         return None
 
@@ -49,7 +61,7 @@ def pretty_json(text: str) -> str | None:
 def tidy_sql(text: str) -> str:
     """Keywords in capitals and clauses on their own lines, outside single quotes; no parser."""
     parts = re.split(r"('[^']*'?)", text)
-    word = re.compile(r"\b(?:" + "|".join(w.replace(" ", " ") for w in sorted(SQL_WORDS, key=len, reverse=True)) + r")\b", re.IGNORECASE)
+    word = re.compile(r"\b(?:" + "|".join(sorted(SQL_WORDS, key=len, reverse=True)) + r")\b", re.IGNORECASE)
     out = "".join(p if i % 2 else word.sub(lambda m: m[0].upper(), p) for i, p in enumerate(parts))
     out = re.sub(r"[ \t]+(" + "|".join(SQL_LINES) + r")\b", r"\n\1", out)
     out = "\n".join(x.rstrip() for x in out.splitlines())
@@ -108,6 +120,14 @@ def size_text(c: Column) -> Column:
     return F.translate(out, ".", ",")
 
 
+def size_of_bytes(n: int) -> str:
+    """The same for one number, on the driver."""
+    for k, name in ((3, "GB"), (2, "MB"), (1, "KB")):
+        if n >= 1024**k:
+            return f"{n / 1024**k:.1f} {name}".replace(".", ",")
+    return f"{n} B"
+
+
 def safe_name(c: Column) -> Column:
     """A file name of letters, digits, ``-`` and ``_``: others dropped, blanks to dashes, lower case, at most 40."""
     kept = F.trim(F.regexp_replace(present(c), "[^A-Za-z0-9_ -]", ""))

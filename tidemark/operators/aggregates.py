@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import present
 from ..functions.timestamps import prefix_seconds
+from ..runtime import lookup_join
+from ..sources.lines import with_bytes
 
 # Error words by priority; the error and warning marks of the density map.
 ERROR_WORDS = ["ERROR", "EXCEPTION", "FATAL"]
@@ -52,26 +54,32 @@ def _marked(text: Column, words: list[str]) -> Column:
 
 
 def error_histogram(lines: DataFrame, bins: int = 1024) -> DataFrame:
-    """``bin, start_min, count, first_line``: error lines per time bin, all bins of the span; no rows with fewer than two
-    dated error lines or all in one minute. Lines are counted per minute first, so only minutes meet the span."""
+    """``file, bin, start_min, count, first_line``: error lines of each file per time bin, all bins of the file's span; no
+    rows for a file with fewer than two dated error lines or all in one minute. Lines are counted per file and minute
+    first, so only minutes meet the spans."""
     at = prefix_seconds(F.ltrim(present(F.col("text"))))
-    minutes = lines.where(_marked(F.col("text"), ERROR_MARKS)).select(F.floor(at / 60).cast("long").alias("m"), "line").where("m is not null")
-    per = minutes.groupBy("m").agg(F.count("*").alias("n"), F.min("line").alias("first_line"))
-    span = per.agg(F.min("m").alias("lo"), F.max("m").alias("hi"), F.sum("n").alias("total")).where("hi > lo and total >= 2")
+    minutes = lines.where(_marked(F.col("text"), ERROR_MARKS)).select("file", F.floor(at / 60).cast("long").alias("m"), "line").where("m is not null")
+    per = minutes.groupBy("file", "m").agg(F.count("*").alias("n"), F.min("line").alias("first_line"))
+    span = per.groupBy("file").agg(F.min("m").alias("lo"), F.max("m").alias("hi"), F.sum("n").alias("total")).where("hi > lo and total >= 2")
     size = F.col("hi") - F.col("lo") + 1
-    span = span.select("lo", "hi", F.ceil(size / F.least(size, F.lit(bins))).cast("long").alias("step"))
+    span = span.select("file", "lo", "hi", F.ceil(size / F.least(size, F.lit(bins))).cast("long").alias("step"))
     n_bins = F.ceil((F.col("hi") - F.col("lo") + 1) / F.col("step")).cast("int")
-    every = span.select("lo", "step", F.explode(F.sequence(F.lit(0), n_bins - 1)).alias("bin"))  # at most ``bins`` rows
-    counted = per.crossJoin(F.broadcast(span)).select(F.floor((F.col("m") - F.col("lo")) / F.col("step")).cast("int").alias("bin"), "n", "first_line").groupBy("bin").agg(F.sum("n").alias("count"), F.min("first_line").alias("first_line"))  # one row: the span
-    return every.join(counted, "bin", "left").select("bin", (F.col("lo") + F.col("bin") * F.col("step")).alias("start_min"), F.coalesce("count", F.lit(0)).alias("count"), "first_line")
+    every = span.select("file", "lo", "step", F.explode(F.sequence(F.lit(0), n_bins - 1)).alias("bin"))  # at most ``bins`` rows a file
+    placed = lookup_join(per, span, ["file"], "inner", salt_by=F.col("m"))
+    counted = placed.select("file", F.floor((F.col("m") - F.col("lo")) / F.col("step")).cast("int").alias("bin"), "n", "first_line").groupBy("file", "bin").agg(F.sum("n").alias("count"), F.min("first_line").alias("first_line"))
+    return every.join(counted, ["file", "bin"], "left").select("file", "bin", (F.col("lo") + F.col("bin") * F.col("step")).alias("start_min"), F.coalesce("count", F.lit(0)).alias("count"), "first_line")
 
 
 def density(lines: DataFrame, buckets: int = 512) -> DataFrame:
-    """``file, bucket, has_error, has_warn``: which parts of a file, by bytes, hold error and warning lines. Needs ``byte``."""
-    total = lines.groupBy("file").agg(F.max(F.col("byte") + F.octet_length(present(F.col("text"))) + 1).alias("total"))
+    """``file, bucket, has_error, has_warn``: which parts of a file, by bytes, hold error and warning lines. Without a column
+    ``byte`` the lines are placed as if all ended in one ``\\n``; only sizes and flags are shuffled for that, no text."""
+    size = (F.octet_length(present(F.col("text"))) + 1).cast("long")
+    narrow = lines.select("file", "line", *(["byte"] if "byte" in lines.columns else []), size.alias("size"), _marked(F.col("text"), ERROR_MARKS).alias("e"), _marked(F.col("text"), WARN_MARKS).alias("w"))
+    placed = narrow if "byte" in lines.columns else with_bytes(narrow)
+    total = placed.groupBy("file").agg(F.max(F.col("byte") + F.col("size")).alias("total"))
     b = F.least(F.floor(F.col("byte") * buckets / F.col("total")), F.lit(buckets - 1)).cast("int")
-    flagged = lines.select("file", "byte", _marked(F.col("text"), ERROR_MARKS).alias("e"), _marked(F.col("text"), WARN_MARKS).alias("w")).where("e or w")
-    return flagged.join(total, "file").select("file", b.alias("bucket"), "e", "w").groupBy("file", "bucket").agg(F.bool_or("e").alias("has_error"), F.bool_or("w").alias("has_warn"))
+    flagged = lookup_join(placed.where("e or w"), total, ["file"], "inner", salt_by=F.col("line"))
+    return flagged.select("file", b.alias("bucket"), "e", "w").groupBy("file", "bucket").agg(F.bool_or("e").alias("has_error"), F.bool_or("w").alias("has_warn"))
 
 
 def text_stats(text: Column) -> Column:

@@ -23,35 +23,35 @@ def marks(kind: str, text: Column) -> tuple[Column, Column]:
     if kind == "sql":
         return t.startswith("--INSERT-") | t.startswith("INSERT INTO"), go
     if kind == "transaction":
-        bare = F.regexp_replace(up, r"^--\s*", "")
-        return bare.startswith("BEGIN TRANSACTION"), bare.startswith("COMMIT WORK") | bare.startswith("ROLLBACK WORK") | go
+        return up.startswith("BEGIN TRANSACTION") | up.startswith("--BEGIN TRANSACTION"), up.startswith("COMMIT WORK") | up.startswith("ROLLBACK WORK") | go
     if kind == "checkpoint":
-        bare = F.regexp_replace(up, r"^--\s*", "")
-        return bare.startswith("START CHECKPOINT"), bare.startswith("FINISH CHECKPOINT")
+        return up.startswith("--START CHECKPOINT"), up.startswith("--FINISH CHECKPOINT")
     raise ValueError(f"no blocks of kind {kind!r}")
 
 
 def bounds(lines: DataFrame, kind: str, reach: int | None = None) -> DataFrame:
-    """Lines with ``block_start, block_end`` (null where a mark is missing within reach).
+    """``file, line, block_start, block_end`` (null where a mark is missing within reach).
 
-    A file is cut into pieces of eight times the reach; each piece also sees ``reach`` lines of its neighbours, so a file
-    of any length is spread over many tasks and every line still sees its whole frame.
+    Only marks and line numbers are shuffled, no text. A file is cut into pieces of eight times the reach; each piece also
+    sees the marks of ``reach`` lines of its neighbours, so a file of any length is spread over many tasks and every line
+    still sees its whole frame.
     """
     n = reach or REACH[kind]
     size = 8 * n
     own = F.floor(F.col("line") / size).cast("long")
     pieces = F.array_distinct(F.array(F.floor((F.col("line") - n) / size).cast("long"), own, F.floor((F.col("line") + n) / size).cast("long")))
-    spread = lines.withColumn("__own", own).withColumn("__piece", F.explode(pieces))
     start, end = marks(kind, F.col("text"))
     l = F.col("line")  # noqa: E741
+    marked = lines.select("file", "line", F.when(start, l).alias("__s"), F.when(end, l).alias("__e"), own.alias("__own"))
+    # lines without a mark are needed in their own piece only
+    marked = marked.withColumn("__piece", F.explode(F.when(F.col("__s").isNotNull() | F.col("__e").isNotNull(), pieces).otherwise(F.array(own))))
     # running extremes in both directions: the nearest marks, which then must lie within reach
-    marked = spread.withColumns({"__s": F.when(start, l), "__e": F.when(end, l)})
     by = Window.partitionBy("file", "__piece").orderBy("line")
     back = Window.partitionBy("file", "__piece").orderBy(F.desc("line")).rowsBetween(Window.unboundedPreceding, 0)
     near = marked.withColumns({"__s": F.max("__s").over(by.rowsBetween(Window.unboundedPreceding, 0)), "__p": F.max("__e").over(by.rowsBetween(Window.unboundedPreceding, -1)), "__e": F.min("__e").over(back)})
     within = lambda c: F.when(F.abs(F.col(c) - l) <= n, F.col(c))
-    out = near.withColumns({"block_start": F.greatest(within("__s"), within("__p") + 1), "block_end": within("__e")}).drop("__s", "__p", "__e")
-    return out.where("__own = __piece").drop("__own", "__piece")
+    out = near.where("__own = __piece").withColumns({"block_start": F.greatest(within("__s"), within("__p") + 1), "block_end": within("__e")})
+    return out.select("file", "line", "block_start", "block_end")
 
 
 def block_of(lines: DataFrame, kind: str, file: str, line: int) -> DataFrame:

@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -209,15 +210,17 @@ def lookup(fields: Column, name: str) -> Column:
 
 
 def detect(lines: DataFrame) -> DataFrame:
-    """One row: ``format`` (json, sql, generic or plain: the first that reads at least half of the non-blank lines), shares and counts."""
+    """``file, format, percent, n_lines, n_json, n_sql, n_generic``: how many of a file's non-blank lines each parser reads,
+    every line counted for the first of JSON, SQL trace and generic that reads it. ``format`` is the first of them with at
+    least half of the lines, else ``plain`` with the largest share."""
     t = F.col("text")
-    seen = F.struct(parse_json(t).isNotNull().alias("j"), parse_sql_trace(t).isNotNull().alias("s"), parse_generic(t).isNotNull().alias("g"))
-    n = lines.where(F.trim(present(t)) != "").select(F.inline(F.array(seen)))
-    c = n.agg(F.count("*").alias("n_lines"), *[F.count_if(F.col(x)).alias(y) for x, y in (("j", "n_json"), ("s", "n_sql"), ("g", "n_generic"))])
-    half = lambda x: (F.col(x) * 2 >= F.col("n_lines")) & (F.col("n_lines") > 0)
+    kind = F.when(parse_json(t).isNotNull(), "j").when(parse_sql_trace(t).isNotNull(), "s").when(parse_generic(t).isNotNull(), "g").otherwise("p")
+    n = lines.where(F.trim(present(t)) != "").select("file", F.explode(F.array(kind)).alias("k"))
+    c = n.groupBy("file").agg(F.count("*").alias("n_lines"), *[F.count_if(F.col("k") == x).alias(y) for x, y in (("j", "n_json"), ("s", "n_sql"), ("g", "n_generic"))])
+    half = lambda x: F.col(x) * 2 >= F.col("n_lines")
     name = F.when(half("n_json"), "json").when(half("n_sql"), "sql").when(half("n_generic"), "generic").otherwise("plain")
-    hit = F.when(name == "json", F.col("n_json")).when(name == "sql", F.col("n_sql")).when(name == "generic", F.col("n_generic")).otherwise(F.lit(0))
-    return c.select(name.alias("format"), F.when(F.col("n_lines") > 0, F.floor(hit * 100 / F.col("n_lines"))).otherwise(0).cast("long").alias("percent"), "n_lines", "n_json", "n_sql", "n_generic")
+    hit = F.when(half("n_json"), F.col("n_json")).when(half("n_sql"), F.col("n_sql")).when(half("n_generic"), F.col("n_generic")).otherwise(F.greatest("n_json", "n_sql", "n_generic"))
+    return c.select("file", name.alias("format"), F.floor(hit * 100 / F.col("n_lines")).cast("long").alias("percent"), "n_lines", "n_json", "n_sql", "n_generic")
 
 
 # ---- line classes ----
@@ -235,18 +238,40 @@ def is_stack_line(text: Column) -> Column:
 
 def keywords(text: Column) -> Column:
     """Severity words of a line in order, the longest first where several begin at one place."""
-    return F.regexp_extract_all(present(text), F.lit("(Caused by:|Exception|WARNING|ERROR|FATAL|WARN)"), F.lit(1))
+    return F.regexp_extract_all(present(text), F.lit(_KEYWORDS), F.lit(1))
+
+
+_KEYWORDS = "(Caused by:|Exception|WARNING|ERROR|FATAL|WARN)"
+
+
+def keyword_spans(text: Column) -> Column:
+    """``array<struct<start:int,end:int,word:string>>``: the severity words with their byte columns."""
+    from .search import spans
+
+    return spans(present(text), _KEYWORDS)
 
 
 @dataclass(frozen=True)
 class Rule:
-    """A highlight rule: literal or regex, case, whole line or match only."""
+    """A highlight rule: literal or regex, case, whole line or match only, each value in a shade of its own."""
 
     name: str
     pattern: str
     regex: bool = False
     sensitive: bool = False
     whole_line: bool = False
+    variants: bool = False
+
+    def java(self) -> str:
+        from ..functions.text import quoted
+
+        return ("" if self.sensitive else "(?iu)") + (java_regex(self.pattern) if self.regex else quoted(self.pattern))
+
+    def groups(self) -> int:
+        """Capture groups of the pattern; if it has some, they are highlighted and not the whole match."""
+        import regex
+
+        return regex.compile(self.pattern).groups if self.regex else 0
 
 
 def highlight(text: Column, rules: list[Rule]) -> Column:
@@ -260,9 +285,58 @@ def highlight(text: Column, rules: list[Rule]) -> Column:
     return out
 
 
+def highlight_spans(text: Column, rules: list[Rule]) -> Column:
+    """``array<struct<rule:string,start:int,end:int,word:string,shade:int>>`` of every rule that applies, in the order of the
+    rules: the whole line for a ``whole_line`` rule, else its matches (byte columns). ``shade`` is 0 without ``variants``."""
+    from ..functions.text import byte_length
+    from .search import spans
+
+    t = present(text)
+    out = []
+    for r in rules:
+        if not r.pattern:
+            continue
+        if r.whole_line:
+            found = F.when(t.rlike(r.java()), F.array(F.struct(F.lit(0).alias("start"), byte_length(t).alias("end"), t.alias("word"))))
+        elif r.groups():
+            found = _group_spans(r)(t)
+        else:
+            found = spans(t, r.java())
+        found = F.coalesce(found, F.array().cast("array<struct<start:int,end:int,word:string>>"))
+        out.append(_labelled(found, r))
+    return F.concat(*out) if out else F.array().cast("array<struct<rule:string,start:int,end:int,word:string,shade:int>>")
+
+
+def _labelled(found: Column, rule: Rule) -> Column:
+    shade = variant if rule.variants else lambda _: F.lit(0)
+    return F.transform(found, lambda s: F.struct(F.lit(rule.name).alias("rule"), s["start"].alias("start"), s["end"].alias("end"), s["word"].alias("word"), shade(s["word"]).alias("shade")))
+
+
+def _group_spans(rule: Rule):
+    """Spans of a pattern's capture groups, by Arrow batches: the JVM tells no places of groups."""
+
+    @F.pandas_udf("array<struct<start:int,end:int,word:string>>")
+    def run(texts: pd.Series) -> pd.Series:
+        import regex
+
+        rx = regex.compile(rule.pattern, 0 if rule.sensitive else regex.IGNORECASE)
+
+        def one(t: str) -> list[dict]:
+            places = (m.span(g) for m in rx.finditer(t) for g in range(1, rx.groups + 1))
+            return [{"start": len(t[:a].encode()), "end": len(t[:z].encode()), "word": t[a:z]} for a, z in places if z > a >= 0]
+
+        return texts.map(one)
+
+    return run
+
+
 def variant(value: Column, n: int = 5) -> Column:
-    """Deterministic shade 0..n-1 of a value."""
-    return F.pmod(F.xxhash64(value), F.lit(n)).cast("int")
+    """Deterministic shade 0..n-1 of a value: 32-bit FNV-1a of its bytes, modulo n."""
+    data = F.encode(present(value), "UTF-8")
+    byte = lambda i: F.conv(F.hex(F.substr(data, i, F.lit(1))), 16, 10).cast("long")
+    step = lambda h, i: (h.bitwiseXOR(byte(i)) * F.lit(16777619)).bitwiseAND(F.lit(0xFFFFFFFF))
+    at = F.when(F.octet_length(data) > 0, F.sequence(F.lit(1), F.octet_length(data))).otherwise(F.array().cast("array<int>"))
+    return (F.aggregate(at, F.lit(2166136261).cast("long"), step) % n).cast("int")
 
 
 def result_row(rank: Column, line: Column, ts_raw: Column, text: Column) -> Column:

@@ -7,13 +7,12 @@ Lines are ``file, line, text`` (``byte`` optional: the line's start in the file)
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import boolean
+from ..functions.instants import bind
 from ..functions.text import byte_length, java_regex, present, quoted
 
 HIT = ["file", "line", "byte", "col_start", "col_end"]
@@ -30,80 +29,100 @@ def literal_condition(text: Column, needle: str, sensitive: bool = False) -> Col
     return t.contains(needle) if sensitive else t.rlike("(?iu)" + quoted(needle))
 
 
-def required_literals(pattern: str) -> list[str]:
-    """Literals that every match of a pattern (look-around allowed) contains: runs of plain characters at its top level.
-
-    Anything uncertain gives none: alternation, quantifiers, groups, classes and inline flags end a run, a quantifier
-    also takes its last character away. Sound, not complete.
-    """
-    if re.search(r"\(\?[a-z]*i|\|", pattern):
+def required_clauses(pattern: str) -> list[list[str]]:
+    """What every match of a pattern contains: for each clause at least one of its literals (the longest runs of plain
+    characters, through groups and alternations; look-around demands nothing). Sound, not complete; empty if unsure."""
+    try:
+        tree = re._parser.parse(pattern.replace("(?<", "(?P<") if re.search(r"\(\?<[A-Za-z_]", pattern) else pattern)
+    except (re.error, AttributeError, OverflowError, RecursionError):
+        return []
+    if tree.state.flags & re.IGNORECASE or re.search(r"\(\?[a-zA-Z]*[ix]", pattern):
         return []
-    out, run, i = [], "", 0
+    return sorted(_clauses(tree), key=lambda c: (-min(map(len, c)), len(c)))[:4]
+
+
+def _clauses(items) -> list[list[str]]:
+    out, run = [], ""
 
     def flush() -> None:
         nonlocal run
         if len(run) >= 2:
-            out.append(run)
+            out.append([run])
         run = ""
 
-    while i < len(pattern):
-        c = pattern[i]
-        if c == "\\":
-            nxt = pattern[i + 1 : i + 2]
-            if nxt and not nxt.isalnum():
-                run += nxt
-            else:
-                flush()
-            i += 2
-        elif c == "[":
+    for op, arg in items:
+        name = str(op)
+        if name == "LITERAL":
+            run += chr(arg)
+        elif name == "SUBPATTERN" and not arg[1] and not arg[2]:
             flush()
-            i += 1
-            i += pattern[i : i + 1] == "^"
-            i += pattern[i : i + 1] == "]"
-            while i < len(pattern) and pattern[i] != "]":
-                i += 2 if pattern[i] == "\\" else 1
-            i += 1
-        elif c == "(":
+            out.extend(_clauses(arg[3]))
+        elif name == "ATOMIC_GROUP":
             flush()
-            depth = 1
-            i += 1
-            while i < len(pattern) and depth:
-                if pattern[i] == "\\":
-                    i += 1
-                elif pattern[i] == "[":
-                    i += 1
-                    i += pattern[i : i + 1] == "^"
-                    i += pattern[i : i + 1] == "]"
-                    while i < len(pattern) and pattern[i] != "]":
-                        i += 2 if pattern[i] == "\\" else 1
-                elif pattern[i] == "(":
-                    depth += 1
-                elif pattern[i] == ")":
-                    depth -= 1
-                i += 1
-        elif c in "*?{+":
-            if c != "+":
-                run = run[:-1]
+            out.extend(_clauses(arg))
+        elif name in ("MAX_REPEAT", "MIN_REPEAT", "POSSESSIVE_REPEAT"):
             flush()
-            if c == "{":
-                i = pattern.find("}", i) if "}" in pattern[i:] else i
-            i += 1
-        elif c in ".^$)":
+            if arg[0] >= 1:
+                out.extend(_clauses(arg[2]))
+        elif name == "BRANCH":
             flush()
-            i += 1
+            sides = [_clauses(side) for side in arg[1]]
+            if all(sides):
+                best = [max(side, key=lambda c: min(map(len, c))) for side in sides]
+                out.append([w for c in best for w in c])
+        elif name in ("ASSERT", "ASSERT_NOT", "AT"):
+            if name != "AT":
+                flush()
         else:
-            run += c
-            i += 1
+            flush()
     flush()
-    return sorted(out, key=len, reverse=True)
+    return out
+
+
+def literal_alternatives(pattern: str) -> list[str] | None:
+    """The literals of a pattern that is nothing but an alternation of them, else None."""
+    parts, word, escaped = [], "", False
+    for c in pattern:
+        if escaped:
+            if c.isalnum():
+                return None
+            word, escaped = word + c, False
+        elif c == "\\":
+            escaped = True
+        elif c == "|":
+            parts.append(word)
+            word = ""
+        elif c in ".^$*+?{}[]()":
+            return None
+        else:
+            word += c
+    parts.append(word)
+    return parts if not escaped and len(parts) > 1 and all(parts) else None
 
 
 def regex_condition(text: Column, pattern: str, sensitive: bool = True) -> Column:
-    """Lines the pattern matches; a literal it requires is tested first (written order is kept, and the literal reaches the scan)."""
+    """Lines the pattern matches; literals it requires are tested first (written order is kept, and they reach the scan). An
+    alternation of literals needs no regex. ValueError if the pattern does not compile."""
+    import regex
+
+    try:
+        regex.compile(pattern)
+    except regex.error as e:
+        raise ValueError(f"the pattern does not compile: {e}") from None
     t = present(text)
-    body = t.rlike(("" if sensitive else "(?iu)") + java_regex(pattern))
-    must = required_literals(pattern) if sensitive else []
-    return t.contains(must[0]) & body if must else body
+    words = literal_alternatives(pattern) if sensitive else None
+    if words:
+        out = t.contains(words[0])
+        for w in words[1:]:
+            out = out | t.contains(w)
+        return out
+    out = t.rlike(("" if sensitive else "(?iu)") + java_regex(pattern))
+    for clause in reversed(required_clauses(pattern) if sensitive else []):
+        has = t.contains(clause[0])
+        for w in clause[1:]:
+            has = has | t.contains(w)
+        out = has & out
+    return out
 
 
 def mode(query: str, regex: bool = False) -> str:
@@ -141,25 +160,31 @@ def literal_hits(lines: DataFrame, needle: str, sensitive: bool = True) -> DataF
     return parts.select("file", "line", "byte", F.explode(spans).alias("x")).select("file", "line", "byte", F.col("x.s").alias("col_start"), F.col("x.e").alias("col_end"))
 
 
-def regex_hits(lines: DataFrame, pattern: str, sensitive: bool = True) -> DataFrame:
-    """Every non-empty match of a pattern with its byte columns; Arrow batches of the lines that match at all."""
-    src = _with_byte(lines).where(regex_condition(F.col("text"), pattern, sensitive)).select("file", "line", "byte", "text")
-    kind = src.schema["file"].dataType.simpleString()
+def spans(text: Column, rx: str) -> Column:
+    """``array<struct<start:int,end:int,word:string>>``: the non-empty matches of a JVM pattern with their byte columns. The pieces
+    between the matches give all offsets inside the JVM; an empty match at the start has no piece before it."""
+    pieces, words = F.split(text, rx, -1), F.regexp_extract_all(text, F.lit(rx), F.lit(0))
+
+    def placed(p: Column, m: Column) -> Column:
+        zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,word:string>>").alias("out"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import regex
+        def step(acc: Column, i: Column) -> Column:
+            start = acc["at"] + byte_length(F.get(p, i - (F.size(m) + 1 - F.size(p))))
+            start = F.coalesce(start, acc["at"])
+            word = F.get(m, i)
+            end = start + byte_length(word)
+            return F.struct(end.alias("at"), F.when(word == "", acc["out"]).otherwise(F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), word.alias("word"))))).alias("out"))
 
-        rx = regex.compile(pattern, 0 if sensitive else regex.IGNORECASE)
-        for pdf in batches:
-            out = []
-            for f, n, b, t in pdf.itertuples(index=False):
-                for m in rx.finditer(t):
-                    if m.end() > m.start():
-                        s = len(t[: m.start()].encode())
-                        out.append((f, n, b, s, s + len(m[0].encode())))
-            yield pd.DataFrame(out, columns=HIT)
+        return F.when(F.size(m) > 0, F.aggregate(F.sequence(F.lit(0), F.size(m) - 1), zero, step)["out"])
 
-    return src.mapInPandas(run, f"file {kind}, line long, byte long, col_start int, col_end int")
+    return bind(pieces, lambda p: bind(words, lambda m: placed(p, m)))
+
+
+def regex_hits(lines: DataFrame, pattern: str, sensitive: bool = True) -> DataFrame:
+    """Every non-empty match of a pattern with its byte columns, by the engine that also filters the lines."""
+    src = _with_byte(lines).where(regex_condition(F.col("text"), pattern, sensitive))
+    found = src.select("file", "line", "byte", F.explode(spans(F.col("text"), ("" if sensitive else "(?iu)") + java_regex(pattern))).alias("x"))
+    return found.select("file", "line", "byte", F.col("x.start").alias("col_start"), F.col("x.end").alias("col_end"))
 
 
 def boolean_hits(lines: DataFrame, query: str, sensitive: bool = False) -> DataFrame:
@@ -278,19 +303,19 @@ def merge_ranges(ranges: DataFrame) -> DataFrame:
 
 # ---- queries as objects ----
 
-#: saved searches: name -> (query, is it a regex)
+# The saved searches offered at first, name -> (query, is it a regex); all ignore case.
 PRESETS = {
-    "errors": ("ERROR OR FATAL OR Exception", False),
-    "warnings": ("WARN", False),
-    "errors without retries": ("ERROR -retry", False),
-    "exceptions": (r"\b\w+(?:Exception|Error)\b", True),
-    "stack frames": (r"^\s+at ", True),
-    "timeouts": ("timeout OR timed", False),
-    "ids": (r"\bid=\d+", True),
-    "slow": (r"\bms=\d{4,}", True),
-    "IPv4": (r"\b(?:\d{1,3}\.){3}\d{1,3}\b", True),
-    "UUID": (r"\b[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}\b", True),
-    "SQL writes": ("INSERT OR UPDATE OR DELETE", False),
+    "Java: ERROR": ("ERROR", False),
+    "Java: FATAL": ("FATAL", False),
+    "Java: Exception & cause": ("Exception|Caused by:", True),
+    "Java: OutOfMemory": ("OutOfMemoryError", False),
+    "Java: Connection refused": ("Connection refused", False),
+    "Java: timeout": ("timeout", False),
+    "SQL: Checkpoint": ("CHECKPOINT", False),
+    "SQL: Transaction": ("TRANSACTION", False),
+    "SQL: Rollback": ("ROLLBACK", False),
+    "SQL: Commit": ("COMMIT", False),
+    "SQL: INSERT INTO": ("INSERT INTO", False),
 }
 
 
