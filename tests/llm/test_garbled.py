@@ -4,7 +4,8 @@ import random
 
 from pyspark.sql import functions as F
 
-from tidemark.llm.garbled import Codecs, alignment, garbled_lines, odd, restored_lines, undone, vocabulary
+from tidemark.llm import near_twins
+from tidemark.llm.garbled import Codecs, _became, garbled_lines, odd, restored_lines, undone, vocabulary
 
 CLEAN = ["conexão recusada", "Größe überschritten", "ошибка записи в журнал", "ПОВТОР ОПЕРАЦИИ", "łącze zostało zamknięte", "接続が切断されました", "연결이 끊어졌습니다", "€12 · £9", "° → ✓", "déjà fermé", "¿índice dañado?"]
 
@@ -61,11 +62,13 @@ def test_odd_and_undone():
 
 
 def test_alignment(spark):
-    import pandas as pd
-
-    got = alignment(pd.DataFrame([("GrÃ¶ÃŸe", "Größe", "windows1252>utf8")], columns=["phrase", "restored", "chain"]))
-    assert got == {"Ã¶": "ö", "ÃŸ": "ß"}
+    assert _became("GrÃ¶ÃŸe", "Größe", "windows1252>utf8", Codecs()) == {"Ã¶": "ö", "ÃŸ": "ß"}
+    assert near_twins.aligned_pair("GrÃ¶ÃŸe da", "Größe da", True) == [("Ã¶", "ö"), ("ÃŸ", "ß")]
+    assert near_twins.pattern(list("für uns")) == near_twins.pattern(list("fьr uns")) != near_twins.pattern(list("fur ünt")) and near_twins.pattern(list("né")) is None
     v = vocabulary(spark.createDataFrame([("a", 'msg="für x": é, é'), ("b", "für x"), (None, None)], "file string, text string"))
+    doc = spark.createDataFrame([("a", "utf8", None), ("b", "koi8r", "utf8"), (None, "x", "y")], "file string, detected string, encoding_override string")
+    w = vocabulary(spark.createDataFrame([("a", "für"), ("b", "für"), ("c", "für")], "file string, text string"), doc)
+    assert [(r["n_files"], r["keys"]) for r in w.collect()] == [(3, ["utf8"])]
     assert {(r["phrase"], r["n_files"], r["n_lines"]) for r in v.collect()} == {("für", 2, 2), ("é", 1, 2)}
 
 
@@ -83,3 +86,33 @@ def test_decodings_repeated_often_or_in_mixed_ways(spark):
     mixed = wrong(wrong("Ошибка Записи", "koi8r", "windows1251"), "utf8", "windows1252")
     df = spark.createDataFrame([("g", 1, "x " + often), ("g", 2, "x " + mixed)], "file string, line_no long, text string")
     assert {r["line_no"]: r["restored"] for r in restored_lines(df).collect()} == {1: "x Größe überschritten", 2: "x " + mixed}  # not certain which single-byte encoding it was
+
+
+RUSSIAN = """ошибка записи в журнал; соединение с сервером потеряно; файл настроек не найден; повтор операции через минуту; очередь сообщений переполнена
+контрольная точка сохранена; сегмент журнала повреждён; время ожидания истекло; доступ к разделу запрещён; перестроение индекса завершено; узел отключён от сети
+не удалось открыть файл данных; свободное место на диске закончилось; запрос отменён пользователем; сервер перезапущен после сбоя; проверка целостности данных
+резервная копия создана успешно; неверный формат строки запроса; сессия закрыта по таймауту; кэш очищен и перестроен; слишком много открытых соединений""".replace("\n", ";").split(";")
+
+
+def _other_file(spark, e, d):
+    """One file's phrases have clean twins; another file, decoded the same wrong way, has phrases that stand nowhere else."""
+    said = [p.strip() for p in RUSSIAN]
+    # every letter of the new phrases stands in two of the known ones, as the mapping needs the support of two twins
+    known, new = said[:20], ["сервер остановлен после ошибки", "не удалось создать копию журнала", "повтор запроса отменён", "доступ к данным восстановлен"]
+    rows = [(f"f{i % 9}", i, f"2026 job {i}: {p}") for i, p in enumerate(said * 3)]
+    bad = lambda p: p.encode(e).decode(d)
+    rows += [("g", 1000 + i, f"2026 job {i}: {bad(p)}") for i, p in enumerate(known)]
+    rows += [("h", 2000 + i, f"2026 job {i}: {bad(p)}") for i, p in enumerate(new)]
+    rows += [("k", 3000 + i, f"2026 job {i}: {p.upper()}") for i, p in enumerate(said)]
+    got = {r["line_no"]: r["restored"] for r in restored_lines(spark.createDataFrame(rows, "file string, line_no long, text string")).collect()}
+    return got, {1000 + i: f"2026 job {i}: {p}" for i, p in enumerate(known)} | {2000 + i: f"2026 job {i}: {p}" for i, p in enumerate(new)}
+
+
+def test_what_twins_teach_decides_files_without_twins(spark):
+    got, want = _other_file(spark, "koi8_r", "cp1251")
+    assert got == want
+
+
+def test_encodings_outside_the_list_are_learned_by_alignment(spark):
+    got, want = _other_file(spark, "cp1251", "iso8859_5")
+    assert got == want

@@ -2,11 +2,13 @@
 
 1. Lines are reduced to their phrases with non-ASCII characters, and these to a vocabulary with the number of files and
    lines that hold each phrase (``vocabulary``). All decisions are made on distinct phrases.
-2. Every phrase is undone by every pair of encodings of CODECS (decoded with D, was in E), once or repeatedly, whole or in
-   the run that D can write. The results are joined with the vocabulary on the restored text; a hit that keeps the
-   phrase's ASCII characters is a clean near-twin (``twins``). The pairs of encodings with twins are the learned
-   transformations; aligning twins character by character gives what each character became (``aligned``).
-3. Phrases without a twin are decided by the learned transformations and characters (``decided``).
+2. Phrases are joined with clean near-twins on their text stripped of non-ASCII characters, aligned character by character,
+   and what several twins agree on is the learned mapping (``near_twins``), whichever encodings it came from.
+3. Every phrase is also undone by every pair of encodings of CODECS (decoded with D, was in E), once or repeatedly, whole or
+   in the run that D can write; where that gives a cleaner phrase of the vocabulary, the pair is learned as well (``twins``,
+   ``aligned``). This extends the mapping to characters that no twin has, and to repeated decodings.
+4. Phrases without a twin are decided by what was learned: mapping, characters, pairs of encodings; where the phrase does not
+   look wrong by itself, the restored text must read more like the vocabulary (``decided``).
 
 Defined results
 * the replacement character, C1 controls and private-use characters are garbled (not always restorable: ``restored`` null);
@@ -17,7 +19,6 @@ Defined results
 from __future__ import annotations
 
 import re
-import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
@@ -25,6 +26,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import cut, lookup_join, table
+from . import near_twins
+from .oddness import odd, telling
 
 #: encoding keys -> codecs
 CODECS = {
@@ -43,11 +46,6 @@ CODECS = {
 SINGLE = ["windows1252", "windows1250", "windows1251", "koi8r", "iso88592"]
 #: a phrase: words with non-ASCII characters, one space apart; ends at white space, quotes, colons, commas and semicolons
 PHRASE = r"""[A-Za-z']*[^\x00-\x7F][^\x00-\x20":;,]*(?: [^\x00-\x20":;,]*[^\x00-\x7F][^\x00-\x20":;,]*)*"""
-_LOST = re.compile("[\ufffd\x80-\x9f\ue000-\uf8ff]")
-#: signs that stand in clean text
-_FAIR_SIGNS = set("\u2014\u2013\u2026\xab\xbb\u201e\u201c\u201d\u2018\u2019\u201a\u2022\xb7\xb0\xb1\xd7\xf7\xb5\xbd\xbc\xbe\u20ac\xa3\xa5\xa7\xa9\xae\u2122\u2116\u2192\u2190\u2191\u2193\u2713\u2717\u2264\u2265\u2248\u2260\u221e\xbf\xa1\xaa\xba\xb2\xb3\xb9\u2030\u3001\u3002\u30fb\u300c\u300d\uff08\uff09\uff1a\uff1b\uff01\uff1f\ufeff\u200b")
-#: signs that may follow a word's last letter in clean text
-_CLOSING = set("\u2026\xbb\u201c\u201d\u201e\u2018\u2019\u201a\u2013\u2014\u2022\xb7")
 _SEQUENCE = re.compile(rb"[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}")
 
 
@@ -114,37 +112,6 @@ class Codecs:
         return out
 
 
-def script(c: str) -> str:
-    return unicodedata.name(c, "?").split(" ")[0].split("-")[0]
-
-
-def odd(phrase: str) -> bool:
-    """Whether a phrase looks wrong by itself: lost characters, signs within text, scripts mixed or capitals inside a word."""
-    if _LOST.search(phrase):
-        return True
-    for word in phrase.split(" "):
-        scripts = set()
-        for i, c in enumerate(word):
-            if c.isascii():
-                if c.isalpha():
-                    scripts.add("LATIN")
-                continue
-            cat = unicodedata.category(c)
-            if cat[0] == "L":
-                s = script(c)
-                scripts.add({"HIRAGANA": "CJK", "KATAKANA": "CJK", "HANGUL": "CJK", "MICRO": "LATIN", "FEMININE": "LATIN", "MASCULINE": "LATIN"}.get(s, s))
-            elif cat[0] not in "MN" and c not in _FAIR_SIGNS:
-                return True
-        letters = [c for c in word if c.isalpha()]
-        if "GREEK" in scripts and len(letters) <= 3:
-            scripts.discard("GREEK")
-        if len(scripts) > 1:
-            return True
-        if any(a.islower() and b.isupper() and not b.isascii() for a, b in zip(letters, letters[1:])):
-            return True
-    return False
-
-
 def undone(phrase: str, codecs: Codecs) -> list[tuple[str, str, int]]:
     """What undoing wrong decodings gives: (chain of ``D>E`` steps, text, UTF-8 sequences undone)."""
     out: dict[str, tuple[str, int]] = {}
@@ -185,11 +152,17 @@ def stripped(phrase: str) -> str:
     return re.sub(r"[^\x00-\x7f]+", "", phrase)
 
 
-def vocabulary(lines: DataFrame) -> DataFrame:
-    """``phrase, n_files, n_lines`` of all phrases with non-ASCII characters."""
+def vocabulary(lines: DataFrame, doc: DataFrame | None = None) -> DataFrame:
+    """``phrase, n_files, n_lines, keys`` of all phrases with non-ASCII characters; ``keys`` are the encodings with which their
+    files were decoded (``doc``: the override, else the detected one), at most as many as there are."""
     rows = lines.where("text is not null and octet_length(text) <> length(text)")
-    said = rows.select("file", F.explode(F.regexp_extract_all("text", F.lit(PHRASE), F.lit(0))).alias("phrase"))
-    return said.groupBy("phrase", "file").agg(F.count("*").alias("n")).groupBy("phrase").agg(F.count("*").alias("n_files"), F.sum("n").alias("n_lines"))
+    said = rows.select("file", F.explode(F.regexp_extract_all("text", F.lit(PHRASE), F.lit(0))).alias("phrase")).groupBy("phrase", "file").agg(F.count("*").alias("n"))
+    if doc is None:
+        said = said.withColumn("key", F.lit(None).cast("string"))
+    else:
+        used = doc.where("file is not null").groupBy("file").agg(F.first(F.coalesce("encoding_override", "detected"), True).alias("key"))
+        said = lookup_join(said, used, ["file"], "left", salt_by=F.col("phrase"))
+    return said.groupBy("phrase").agg(F.count("*").alias("n_files"), F.sum("n").alias("n_lines"), F.collect_set("key").alias("keys"))
 
 
 _CANDIDATE = "phrase string, skeleton string, odd boolean, chain string, restored string, restored_skeleton string, restored_odd boolean, sequences int"
@@ -236,26 +209,10 @@ def _became(p: str, v: str, chain: str, codecs: Codecs) -> dict[str, str]:
     return out
 
 
-def alignment(pairs: pd.DataFrame) -> dict[str, str]:
-    """What became of characters: garbled sequence -> character, from twins (``phrase``, ``restored``, ``chain``)."""
-    codecs, out = Codecs(), {}
-    for p, v, chain in zip(pairs["phrase"], pairs["restored"], pairs["chain"]):
-        out |= _became(p, v, chain, codecs)
-    return out
-
-
-def _telling(phrase: str, garbled: str) -> bool:
-    """Whether a sequence cannot be clean text by chance: a sign joined to a letter, unless it may close the word."""
-    signs = [c for c in garbled[1:] if c in _FAIR_SIGNS or unicodedata.category(c)[0] not in "LM"]
-    if not signs:
-        return False
-    return garbled[-1] not in _CLOSING or re.search(re.escape(garbled) + r"\w", phrase) is not None
-
-
 def _align(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     codecs = Codecs()
     for pdf in batches:
-        out = [(p, v, c, t, b, _telling(p, t)) for p, v, c in zip(pdf["phrase"], pdf["restored"], pdf["chain"]) for t, b in _became(p, v, c, codecs).items()]
+        out = [(p, v, c, t, b, telling(p, t)) for p, v, c in zip(pdf["phrase"], pdf["restored"], pdf["chain"]) for t, b in _became(p, v, c, codecs).items()]
         yield pd.DataFrame(out, columns=["phrase", "restored", "chain", "garbled", "became", "telling"])
 
 
@@ -273,11 +230,32 @@ def decided(vocab: DataFrame) -> DataFrame:
     learned = hits.groupBy("chain").agg(F.countDistinct("phrase").alias("pairs"))
     by_twin = hits.groupBy("phrase").agg(F.max_by("restored", F.struct("clean_files", "clean_lines", "restored")).alias("restored"))
     rest = ways.join(by_twin.select("phrase"), "phrase", "left_anti")
+    # near-twins on the stripped text and what they teach
+    cells = cut(near_twins.replacements(near_twins.near_twins(vocab)))
+    mapping = cut(near_twins.mappings(cells))
+    alone = vocab.join(by_twin.select("phrase"), "phrase", "left_anti")
+    by_map = near_twins.applied(alone, mapping)
+    # one single-byte set for another may give text that does not look wrong by itself: which of both reads like the rest?
+    twice = cut(learned.where("pairs >= 3 and not chain like '%utf8%'"))
+    plain = lookup_join(rest.where("chain is not null and not odd and not restored_odd"), twice, ["chain"], "inner", salt_by=F.col("phrase"))
+    ways_out = by_map.unionByName(plain.select("phrase", "restored", "chain", F.lit(False).alias("odd"), F.lit(False).alias("telling")))
+    # what leads to a phrase of the vocabulary must lead to the more frequent one
+    there = vocab.select(F.col("phrase").alias("restored"), F.struct("n_files", "n_lines").alias("there"))
+    here = vocab.select("phrase", "keys", F.struct("n_files", "n_lines").alias("here"))
+    ways_out = cut(ways_out.join(here, "phrase").join(there, "restored", "left").where("there is null or there > here").drop("here", "there"))
+    unsure = ways_out.where("not odd and not telling")
+    gains = unsure.join(near_twins.fluency(alone, unsure), ["phrase", "restored"])
+    same = F.exists("keys", lambda k: F.col("chain").startswith(F.concat(k, F.lit(">"))))
+    fluent = gains.where((F.col("gain") >= near_twins.MARGIN) | same & (F.col("gain") >= near_twins.SAME_KEY_MARGIN)).select("phrase", "restored", F.col("gain").alias("worth"))
+    plainly = ways_out.where("odd or telling").select("phrase", "restored", F.lit(100.0).alias("worth"))
+    twin = near_twins.confirmed(cells, mapping).join(by_twin.select("phrase"), "phrase", "left_anti").select("phrase", "restored", F.lit(200.0).alias("worth"))
+    by_map_or_sense = fluent.unionByName(plainly).unionByName(twin).groupBy("phrase").agg(F.max_by("restored", F.struct("worth", "restored")).alias("restored"))
     # characters: as many rows as there are characters and encodings in use
     taught = cut(aligned(hits).select("garbled", "became").distinct().withColumn("known", F.lit(True)))
     met = lookup_join(aligned(rest), taught, ["garbled", "became"], "left")
     spelt = met.groupBy("phrase", "restored", "chain").agg(F.min(F.coalesce("known", F.lit(False))).alias("all_known"), F.max("telling").alias("telling")).where("all_known and telling").select("phrase", "restored", "chain", F.lit(True).alias("spelt"))
-    known = rest.join(F.broadcast(learned), "chain", "left").join(spelt, ["phrase", "restored", "chain"], "left")
+    # as many chains as encodings in use, yet checked
+    known = lookup_join(rest, cut(learned), ["chain"], "left", salt_by=F.col("phrase")).join(spelt, ["phrase", "restored", "chain"], "left")
     utf8 = F.col("chain").endswith("utf8") | F.col("chain").endswith("utf8*")
     # by a transformation that twins taught, by UTF-8 sequences, which do not arise by chance, or by characters that twins
     # taught, where one sequence is enough
@@ -297,31 +275,41 @@ def decided(vocab: DataFrame) -> DataFrame:
         .where("sure or lost or single")
         .select("phrase", F.when(F.col("sure") | F.col("single"), F.col("restored")).alias("restored"))
     )
-    return by_twin.unionByName(by_rule)
+    # by a twin, by rule, by the learned mapping and by sense, in this order; a restored text goes before none
+    ranked = by_twin.withColumn("rank", F.lit(3)).unionByName(by_rule.withColumn("rank", F.lit(2))).unionByName(by_map_or_sense.withColumn("rank", F.lit(1)))
+    out = cut(ranked.groupBy("phrase").agg(F.max_by("restored", F.struct(F.col("restored").isNotNull(), "rank")).alias("restored")))
+    # what became a phrase that is garbled itself goes one step on
+    again = out.select(F.col("phrase").alias("restored"), F.col("restored").alias("further"), F.lit(True).alias("garbled"))
+    return out.join(again, "restored", "left").select("phrase", F.when(F.col("garbled"), F.col("further")).otherwise(F.col("restored")).alias("restored"))
 
 
-def garbled_lines(lines: DataFrame) -> DataFrame:
+def garbled_lines(lines: DataFrame, doc: DataFrame | None = None) -> DataFrame:
     """``file, line_no, phrase, restored``: the garbled phrases of all lines."""
     rows = lines.where("file is not null and line_no is not null and text is not null and octet_length(text) <> length(text)")
-    bad = cut(decided(cut(vocabulary(lines))))
+    bad = cut(decided(cut(vocabulary(lines, doc))))
     said = rows.select("file", "line_no", F.explode(F.regexp_extract_all("text", F.lit(PHRASE), F.lit(0))).alias("phrase"))
     return lookup_join(said, bad, ["phrase"], "inner", salt_by=F.col("line_no"))
 
 
-def restored_lines(lines: DataFrame) -> DataFrame:
-    """``file, line_no, text, restored, whole``: garbled lines with every restorable phrase put right; ``whole`` if nothing was lost."""
-    fixes = garbled_lines(lines).groupBy("file", "line_no").agg(F.array_sort(F.collect_set(F.struct(F.length("phrase").alias("n"), "phrase", "restored"))).alias("fixes"))  # as many as a line has phrases
+def restored_lines(lines: DataFrame, doc: DataFrame | None = None) -> DataFrame:
+    """``file, line_no, text, restored, whole``: garbled lines with every restorable phrase put right at its place; ``whole`` if nothing was lost."""
+    fixes = garbled_lines(lines, doc).groupBy("file", "line_no").agg(F.collect_set(F.struct("phrase", "restored")).alias("fixes"))  # as many as a line has phrases
     texts = lines.select("file", "line_no", "text").where("text is not null and octet_length(text) <> length(text)")
     hit = lookup_join(texts, cut(fixes), ["file", "line_no"], "inner", salt_by=F.col("line_no")).dropDuplicates(["file", "line_no"])
-    put = F.aggregate(F.reverse("fixes"), F.col("text"), lambda t, f: F.when(f["restored"].isNull(), t).otherwise(F.replace(t, f["phrase"], f["restored"])))
-    return hit.select("file", "line_no", "text", put.alias("restored"), F.forall("fixes", lambda f: f["restored"].isNotNull()).alias("whole"))
+    # the text between the phrases stays, each phrase is looked up once
+    put = F.expr("transform(phrases, p -> coalesce(element_at(map_from_entries(fixes), p), p))")
+    begin = F.when(F.size("parts") > F.size("phrases"), F.get("parts", F.lit(0))).otherwise("")
+    rest = F.when(F.size("parts") > F.size("phrases"), F.slice("parts", 2, F.size("phrases"))).otherwise(F.col("parts"))
+    whole = F.concat(begin, F.array_join(F.zip_with(put, rest, lambda p, r: F.concat(p, r)), ""))
+    cutup = hit.withColumns({"parts": F.split("text", PHRASE, -1), "phrases": F.regexp_extract_all("text", F.lit(PHRASE), F.lit(0))})
+    return cutup.select("file", "line_no", "text", whole.alias("restored"), F.forall("fixes", lambda f: f["restored"].isNotNull()).alias("whole"))
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``file, line_no`` of lines in which all or part of the text is garbled."""
-    return garbled_lines(table(spark, sf_dir, "line_view")).select("file", "line_no").distinct()
+    return garbled_lines(table(spark, sf_dir, "line_view"), table(spark, sf_dir, "doc")).select("file", "line_no").distinct()
 
 
 def p3_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Garbled lines with their restored text."""
-    return restored_lines(table(spark, sf_dir, "line_view"))
+    return restored_lines(table(spark, sf_dir, "line_view"), table(spark, sf_dir, "doc"))
