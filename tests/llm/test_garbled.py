@@ -98,7 +98,7 @@ def _other_file(spark, e, d):
     """One file's phrases have clean twins; another file, decoded the same wrong way, has phrases that stand nowhere else."""
     said = [p.strip() for p in RUSSIAN]
     # every letter of the new phrases stands in two of the known ones, as the mapping needs the support of two twins
-    known, new = said[:20], ["сервер остановлен после ошибки", "не удалось создать копию журнала", "повтор запроса отменён", "доступ к данным восстановлен"]
+    known, new = said[:20], ["сервер остановлен после ошибки", "не удалось создать раздел журнала", "повтор запроса отменён", "доступ к данным восстановлен"]
     rows = [(f"f{i % 9}", i, f"2026 job {i}: {p}") for i, p in enumerate(said * 3)]
     bad = lambda p: p.encode(e).decode(d)
     rows += [("g", 1000 + i, f"2026 job {i}: {bad(p)}") for i, p in enumerate(known)]

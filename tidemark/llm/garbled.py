@@ -234,6 +234,7 @@ def decided(vocab: DataFrame) -> DataFrame:
     cells = cut(near_twins.replacements(near_twins.near_twins(vocab)))
     mapping = cut(near_twins.mappings(cells))
     alone = vocab.join(by_twin.select("phrase"), "phrase", "left_anti")
+    twin = cut(near_twins.confirmed(cells, mapping).join(by_twin.select("phrase"), "phrase", "left_anti"))
     by_map = near_twins.applied(alone, mapping)
     # one single-byte set for another may give text that does not look wrong by itself: which of both reads like the rest?
     twice = cut(learned.where("pairs >= 3 and not chain like '%utf8%'"))
@@ -244,12 +245,11 @@ def decided(vocab: DataFrame) -> DataFrame:
     here = vocab.select("phrase", "keys", F.struct("n_files", "n_lines").alias("here"))
     ways_out = cut(ways_out.join(here, "phrase").join(there, "restored", "left").where("there is null or there > here").drop("here", "there"))
     unsure = ways_out.where("not odd and not telling")
-    gains = unsure.join(near_twins.fluency(alone, unsure), ["phrase", "restored"])
+    gains = unsure.join(near_twins.fluency(alone.join(twin.select("phrase"), "phrase", "left_anti"), unsure), ["phrase", "restored"])
     same = F.exists("keys", lambda k: F.col("chain").startswith(F.concat(k, F.lit(">"))))
     fluent = gains.where((F.col("gain") >= near_twins.MARGIN) | same & (F.col("gain") >= near_twins.SAME_KEY_MARGIN)).select("phrase", "restored", F.col("gain").alias("worth"))
     plainly = ways_out.where("odd or telling").select("phrase", "restored", F.lit(100.0).alias("worth"))
-    twin = near_twins.confirmed(cells, mapping).join(by_twin.select("phrase"), "phrase", "left_anti").select("phrase", "restored", F.lit(200.0).alias("worth"))
-    by_map_or_sense = fluent.unionByName(plainly).unionByName(twin).groupBy("phrase").agg(F.max_by("restored", F.struct("worth", "restored")).alias("restored"))
+    by_map_or_sense = fluent.unionByName(plainly).unionByName(twin.select("phrase", "restored", F.lit(200.0).alias("worth"))).groupBy("phrase").agg(F.max_by("restored", F.struct("worth", "restored")).alias("restored"))
     # characters: as many rows as there are characters and encodings in use
     taught = cut(aligned(hits).select("garbled", "became").distinct().withColumn("known", F.lit(True)))
     met = lookup_join(aligned(rest), taught, ["garbled", "became"], "left")
