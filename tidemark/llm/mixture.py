@@ -4,7 +4,10 @@ Poisson replication: a source with S tokens that shall give w of T tokens needs
 Each document's number of copies comes from a Poisson distribution truncated at the source's cap, inverted at a uniform
 number hashed from seed and document, so it depends on nothing else. The distribution's rate is solved for the mean
 after truncation; a source which cannot reach its share gives every document as often as allowed. The copies are
-exploded and shuffled globally by another hash.
+exploded, their texts joined by id, and all is shuffled globally by another hash.
+
+A source that cannot reach its share (too few documents, too low a cap, or none) gives what it may; the others keep their
+ratios, so each has a renormalised share: what the short sources leave, divided by target (``shares``).
 
 T is ``total_tokens``, by default the tokens of all documents whose source has a weight.
 
@@ -16,10 +19,10 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..runtime import cut, table
+from ..runtime import cut, lookup_join, table
 from .tokenise import VOCABULARY, token_ids
 
 SEED = 17
@@ -70,41 +73,59 @@ def sized(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
     return token_ids(d, keep=["doc_id", "source"], path=path, counts_only=True).where("n_tokens > 0").dropDuplicates(["doc_id"])
 
 
-def mixture(docs: DataFrame, weights: DataFrame, total_tokens: int | None = None, seed: int = SEED, path: str = VOCABULARY) -> DataFrame:
-    """``doc_id, source, copy, n_tokens`` of the mixture in a globally shuffled order (sorted by ``shuffle_key``)."""
-    d = cut(sized(docs, path))
+def mixture(docs: DataFrame, weights: DataFrame, total_tokens: int | None = None, seed: int = SEED, path: str = VOCABULARY, texts: bool = True, counted: DataFrame | None = None) -> DataFrame:
+    """``doc_id, source, copy, n_tokens, shuffle_key`` and, with ``texts``, ``text`` of the mixture in a globally shuffled order:
+    a record's place is its ``shuffle_key``, partitions and the order within them follow it. ``counted``: ``sized(docs)``, if at hand."""
+    d = cut(sized(docs, path)) if counted is None else counted
     # one row per source that has a weight: the weights' table is a configuration, as long as it has sources
-    sources = F.broadcast(weights.select("source").distinct())
-    sizes = {r["source"]: r["n"] for r in d.join(sources, "source").groupBy("source").agg(F.sum("n_tokens").alias("n")).collect()}
+    sizes = {r["source"]: r["n"] for r in _available(d, weights).collect()}
     rows = [(r["source"], r["target_share"], r["max_repeat"]) for r in weights.select("source", "target_share", "max_repeat").distinct().collect()]
     cuts = plan(sizes, rows, total_tokens)
     spark = docs.sparkSession
     rates = spark.createDataFrame(list(cuts.items()) or [("", [])], "source string, steps array<double>")
     uniform = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id"), 11)).cast("double") / F.lit(float(1 << 53))
-    drawn = d.join(F.broadcast(rates), "source").withColumn("u", uniform)
-    copies = F.size(F.filter("steps", lambda t: t <= F.col("u")))
-    out = drawn.withColumn("copies", copies).where("copies > 0").select("doc_id", "source", "n_tokens", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
+    drawn = lookup_join(d, rates, ["source"], "inner", salt_by=F.col("doc_id")).withColumn("u", uniform)
+    some = drawn.withColumn("copies", F.size(F.filter("steps", lambda t: t <= F.col("u")))).where("copies > 0").select("doc_id", "source", "n_tokens", "copies")
+    if texts:
+        # each document once, also if its row is repeated
+        some = some.join(docs.select("doc_id", "text").where("text is not null"), "doc_id").dropDuplicates(["doc_id"])
+    out = some.select("doc_id", "source", "n_tokens", *(["text"] if texts else []), F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
     out = out.withColumn("shuffle_key", F.xxhash64(F.lit(seed + 1), "doc_id", "copy"))
-    return out.repartitionByRange("shuffle_key").sortWithinPartitions("shuffle_key", "doc_id", "copy").select("doc_id", "source", "copy", "n_tokens", "shuffle_key")
+    return out.repartition("shuffle_key").sortWithinPartitions("shuffle_key", "doc_id", "copy").select("doc_id", "source", "copy", "n_tokens", "shuffle_key", *(["text"] if texts else []))
+
+
+def _available(counted: DataFrame, weights: DataFrame) -> DataFrame:
+    """``source, n``: tokens of the sources that have a weight."""
+    return lookup_join(counted, weights.select("source").distinct(), ["source"], "left_semi", salt_by=F.col("doc_id")).groupBy("source").agg(F.sum("n_tokens").alias("n"))
 
 
-def shares(mixed: DataFrame, weights: DataFrame) -> DataFrame:
-    """``source, target_share, max_repeat, n_documents, n_copies, most_copies, n_tokens, actual_share`` of every source with a weight."""
+def shares(mixed: DataFrame, weights: DataFrame, counted: DataFrame, total_tokens: int | None = None) -> DataFrame:
+    """Every source with a weight: ``source, target_share, max_repeat, n_documents, n_copies, most_copies, n_tokens,
+    actual_share, reachable, renormalised_share``. ``reachable``: the source has the tokens for its share under its cap;
+    ``renormalised_share``: what it can be held to, its actual share if it falls short."""
     by_doc = mixed.groupBy("source", "doc_id").agg(F.count("*").alias("copies"), F.sum("n_tokens").alias("n"))
     got = by_doc.groupBy("source").agg(F.count("*").alias("n_documents"), F.sum("copies").alias("n_copies"), F.max("copies").alias("most_copies"), F.sum("n").alias("n_tokens"))
-    all_ = got.agg(F.sum("n_tokens").alias("whole"))
     w = weights.select("source", "target_share", "max_repeat").distinct()
-    out = w.join(got, "source", "left").crossJoin(F.broadcast(all_))  # one row: the total
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
-    return out.select("source", "target_share", "max_repeat", zero("n_documents"), zero("n_copies"), zero("most_copies"), zero("n_tokens"), F.round(F.coalesce("n_tokens", F.lit(0)) / F.greatest(F.coalesce("whole", F.lit(0)), F.lit(1)), 6).alias("actual_share"))
+    rows = w.join(got, "source", "left").join(_available(counted, weights), "source", "left")
+    rows = rows.select("source", "target_share", "max_repeat", zero("n_documents"), zero("n_copies"), zero("most_copies"), zero("n_tokens"), F.coalesce("n", F.lit(0)).alias("has"), F.greatest(F.coalesce("target_share", F.lit(0.0)), F.lit(0.0)).alias("wanted"), F.greatest(F.coalesce("max_repeat", F.lit(0)), F.lit(0)).alias("cap"))
+    # sums over the table of sources, which is a configuration
+    every = Window.partitionBy(F.lit(1))
+    whole = F.lit(total_tokens) if total_tokens is not None else F.sum("has").over(every)
+    rows = rows.withColumn("reachable", F.col("cap") * F.col("has") > F.col("wanted") / F.greatest(F.sum("wanted").over(every), F.lit(1e-12)) * whole)
+    rows = rows.withColumn("actual", F.col("n_tokens") / F.greatest(F.sum("n_tokens").over(every), F.lit(1)))
+    left = 1 - F.sum(F.when(F.col("reachable"), 0.0).otherwise(F.col("actual"))).over(every)
+    held = F.col("wanted") / F.greatest(F.sum(F.when(F.col("reachable"), F.col("wanted")).otherwise(0.0)).over(every), F.lit(1e-12)) * left
+    return rows.select("source", "target_share", "max_repeat", "n_documents", "n_copies", "most_copies", "n_tokens", F.round("actual", 6).alias("actual_share"), "reachable", F.round(F.when(F.col("reachable"), held).otherwise(F.col("actual")), 6).alias("renormalised_share"))
 
 
 def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The mixture of all documents by mix_weight."""
+    """The mixture of all documents by mix_weight, with their texts."""
     return mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_weight"))
 
 
 def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every source's actual share in the mixture."""
-    weights = table(spark, sf_dir, "mix_weight")
-    return shares(mixture(table(spark, sf_dir, "documents"), weights), weights)
+    """Every source's actual share in the mixture, whether it can reach its target, and the share it is held to."""
+    docs, weights = table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_weight")
+    counted = cut(sized(docs))
+    return shares(mixture(docs, weights, texts=False, counted=counted), weights, counted)

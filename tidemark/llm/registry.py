@@ -23,6 +23,7 @@ def queries():
 
 def oracle_sql():
     return {
+        "p4_top": """SELECT label, cast(sum(greatest("count", 0)) AS BIGINT) AS "count", true AS proven FROM top_item WHERE label IS NOT NULL AND label <> '' GROUP BY label ORDER BY 2 DESC, 1 LIMIT 100""",
         "p4_found": """
             SELECT label FROM (SELECT label, sum("count") AS n FROM top_item WHERE label IS NOT NULL AND label <> '' GROUP BY label)
             WHERE n >= 0.005 * (SELECT sum("count") FROM top_item WHERE label IS NOT NULL AND label <> '')""",
