@@ -74,7 +74,7 @@ def test_rows_agree_with_plain_checks(d):
         cells = [rng.choice(["2026-02-28 10:00:00", "2026-02-30 10:00:00", "x", '"2024-02-29 23:59:59"']), rng.choice(["INFO", "info", "EROR", '"WARN"']), rng.choice(["S-1", "", '""']), rng.choice(["200", "600", "2O0"]), rng.choice(["1.5", "12", "1.", "-1"]), rng.choice(["ok", '"a ""b"" c"', f'"x{d}y"', '"open', 'st"ray', '"a" ', "é" * 3])]
         line = d.join(cells)
         lines.append(rng.choice([line, line, line, line + d + "x", line + "\r", line.rsplit(d, 1)[0], ""]))
-    reason, at, cells = read_rows(pa.array(lines), header)
+    reason, at, cells, _ = read_rows(pa.array(lines), header)
     assert list(reason) == [reference(x, header) for x in lines]
     good = [x for x, r in zip(lines, reason) if r is None]
     want = [next(csv.reader([x.removesuffix("\r")], delimiter=d)) for x in good]
@@ -85,7 +85,7 @@ def test_rows_agree_with_plain_checks(d):
 def test_inner_line_breaks_and_long_cells():
     long = "y" * 3_000_000
     lines = ['2026-01-01 00:00:00,INFO,s,200,1,"a\nb\rc"', f"2026-01-01 00:00:00,INFO,s,200,1,{long}", "a,b"]
-    reason, at, cells = read_rows(pa.array(lines), HEAD)
+    reason, at, cells, _ = read_rows(pa.array(lines), HEAD)
     assert list(reason) == [None, None, "columns"]
     assert cells["msg"][0].as_py() == "a\nb\rc" and cells["msg"][1].as_py() == long
 
@@ -94,7 +94,7 @@ def test_csv_tables(spark):
     doc = spark.createDataFrame([("a", "csv"), ("a", "csv"), ("b", "csv"), ("c", "log"), (None, "csv")], "file string, kind string")
     rows = [("a", 1, HEAD), ("a", 3, "bad"), ("a", 2, "2026-01-01 00:00:00,INFO,s,200,1,m"), ("a", 2, "2026-01-01 00:00:00,INFO,s,200,1,m"), ("a", 4, None), ("a", 5, ""), ("c", 1, "x,y"), ("c", 2, "z"), ("b", 7, None), (None, 1, "q"), ("a", None, "q")]
     lines = spark.createDataFrame(rows, "file string, line_no long, text string").withColumn("header", F.lit("clash")).withColumn("kind", F.lit("clash"))
-    assert {tuple(r) for r in csv_rejects(lines, doc).collect()} == {("a", 3, "columns"), ("a", 5, "columns")}
+    assert {tuple(r) for r in csv_rejects(lines, doc).collect()} == {("a", 3, "columns", None, "bad"), ("a", 5, "columns", None, "")}
     got = csv_loaded(lines, doc).collect()
     assert [(r["line"], r["level"], r["status"], r["ms"], r["msg"]) for r in got] == [(2, "INFO", 200, 1.0, "m")]
     assert csv_rejects(lines.limit(0), doc).count() == 0 and csv_rejects(lines, doc.limit(0)).count() == 0
@@ -122,3 +122,14 @@ def test_both_tables_are_loaded(spark, tmp_path):
         ("parsed_record", "a", 1, "generic", None, "s", 200, 1.5, None, 90071992547409930, None, None),
         ("parsed_record", "a", 3, "sql", None, "", None, None, None, None, "INSERT", "it 'fine'"),
     }
+
+
+def test_failing_cells_are_named_and_all_columns_loaded(spark):
+    doc = spark.createDataFrame([("a", "csv"), ("b", "csv")], "file string, kind string")
+    rows = [(f, i, t) for f, ts in {"a": ["bytes;status;ms;note", "9;200;1.5;x", "8;20x;y;z", '7;200;2;"p;""q"', '6;200;"2;r', "5;99;z"], "b": ["a b c", "1 2 3"]}.items() for i, t in enumerate(ts, 1)]
+    lines = spark.createDataFrame(rows, "file string, line_no long, text string")
+    assert {tuple(r) for r in csv_rejects(lines, doc).collect()} == {("a", 3, "value", "status", "20x"), ("a", 5, "quoting", None, '6;200;"2;r'), ("a", 6, "columns", None, "5;99;z")}
+    got = {(r["file"], r["line"]): (r["status"], r["ms"], r["other"]) for r in csv_loaded(lines, doc).collect()}
+    assert got == {("a", 2): (200, 1.5, {"bytes": "9", "note": "x"}), ("a", 4): (200, 2.0, {"bytes": "7", "note": 'p;"q'}), ("b", 2): (None, None, {"a b c": "1 2 3"})}
+    records = spark.createDataFrame([("a", 1, "generic", {"session": "s", "status": "700", "ms": "1", "bytes": "x"}), ("a", 2, "sql", {"session": "'s", "action": "SELECT", "query": "q"}), ("a", 3, "sql", {"action": "SELECT"})], "file string, line long, kind string, fields map<string,string>")
+    assert {tuple(r) for r in record_rejects(records).collect()} == {("a", 1, "value", "bytes", "x"), ("a", 2, "quoting", "session", "'s"), ("a", 3, "columns", None, '{"action":"SELECT"}')}

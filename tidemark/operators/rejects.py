@@ -11,12 +11,13 @@ Defined results
 * cells are whole: no length limit; a line feed inside a line's text is part of its cell;
 * null maps, missing, extra or null-valued fields: ``columns`` (null value: ``value``); a kind other than generic
   and sql, or a null one, has no layout and is left out;
-* repeated rows give one result row; further columns are ignored.
+* repeated rows give one result row; further columns of the input are ignored; a csv column beyond the known ones is
+  loaded as text under its name in the map ``other``;
+* an unknown delimiter makes a file of one column, whose header has no known name: its rows stand in ``other``.
 """
 
 from __future__ import annotations
 
-import io
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,6 +35,7 @@ DELIMITERS = [",", ";", "\t", "|"]
 _STATUS, _MS = r"^[1-5][0-9]{2}$", r"^[0-9]+(\.[0-9]+)?$"
 #: the columns of the typed result, with the check of problem 5 behind each
 TYPED = "ts timestamp, level string, session string, status int, ms double, msg string"
+_KNOWN = [c.split()[0] for c in TYPED.split(", ")]
 #: what only valid record maps have besides; ``bytes`` holds any number of up to 38 digits, beyond which the load fails
 RECORD_TYPED = "bytes decimal(38,0), action string, query string"
 
@@ -69,11 +71,12 @@ def _good_cells(name: str, values: pa.Array) -> np.ndarray:
     return np.ones(len(values), bool)
 
 
-def read_rows(texts: pa.Array, header: str) -> tuple[np.ndarray, np.ndarray, dict[str, pa.Array]]:
-    """Reason per row (object array, None if valid), the positions of the structurally whole rows, and their cells by column."""
+def read_rows(texts: pa.Array, header: str) -> tuple[np.ndarray, np.ndarray, dict[str, pa.Array], np.ndarray]:
+    """Reason per row (object array, None if valid), the positions of the structurally whole rows, their cells by column, and
+    per row the first column with a failing value."""
     d, names, grammar = layout(header)
     n = len(texts)
-    reason = np.full(n, None, object)
+    reason, where = np.full(n, None, object), np.full(n, None, object)
     texts = pc.replace_substring_regex(texts, r"\r\z", "")
     whole = pc.match_substring_regex(texts, grammar).to_numpy(False)
     reason[~whole] = "quoting"
@@ -97,13 +100,10 @@ def read_rows(texts: pa.Array, header: str) -> tuple[np.ndarray, np.ndarray, dic
         return "skip"
 
     cols = [f"c{i}" for i in range(len(names))]
-    sink = io.BytesIO()
-    for t in kept.to_pylist():
-        sink.write(t.encode("utf-8", "surrogatepass"))
-        sink.write(b"\n")
     cells: dict[str, pa.Array] = {}
     if len(at):
-        data = sink.getvalue()
+        lines = pa.ListArray.from_arrays(pa.array([0, len(kept)], pa.int32()), kept)
+        data = pc.binary_join(lines, "\n")[0].as_buffer().to_pybytes() + b"\n"
         got = pacsv.read_csv(
             pa.BufferReader(data),
             pacsv.ReadOptions(column_names=cols, use_threads=False, block_size=len(data) + 1),
@@ -119,8 +119,10 @@ def read_rows(texts: pa.Array, header: str) -> tuple[np.ndarray, np.ndarray, dic
                 col = pc.replace_substring(pc.replace_substring(col, feed, "\n"), ret, "\r")
             cells.setdefault(name, col)
             good = _good_cells(name, col)
-            reason[at[~good]] = "value"
-    return reason, at, cells
+            bad_cells = at[~good]
+            reason[bad_cells] = "value"
+            where[bad_cells[where[bad_cells] == None]] = name  # noqa: E711
+    return reason, at, cells, where
 
 
 def _batches(batches: Iterator[pa.RecordBatch], typed: bool) -> Iterator[pa.RecordBatch]:
@@ -130,11 +132,16 @@ def _batches(batches: Iterator[pa.RecordBatch], typed: bool) -> Iterator[pa.Reco
         for code, header in enumerate(heads.dictionary.to_pylist()):
             rows = np.flatnonzero(codes == code)
             part = batch.take(pa.array(rows))
-            reason, at, cells = read_rows(part.column("text"), header)
+            reason, at, cells, where = read_rows(part.column("text"), header)
             ids = [part.column("file"), part.column("line_no")]
             if not typed:
-                hit = pa.array(np.flatnonzero(reason != None))  # noqa: E711
-                yield pa.RecordBatch.from_arrays([c.take(hit) for c in ids] + [pa.array(reason, pa.string()).take(hit)], ["file", "line", "reason"])
+                failing = np.flatnonzero(reason != None)  # noqa: E711
+                hit = pa.array(failing)
+                place = {int(r): i for i, r in enumerate(at)}
+                # the failing cell as it stands, or the whole row if its structure is wrong
+                texts = part.column("text").take(hit).to_pylist()
+                values = [t if where[r] is None else cells[where[r]][place[int(r)]].as_py() for r, t in zip(failing, texts)]
+                yield pa.RecordBatch.from_arrays([c.take(hit) for c in ids] + [pa.array(x, pa.string()) for x in (reason[failing], where[failing], values)], ["file", "line", "reason", "field", "value"])
                 continue
             ok = np.array([r is None for r in reason[at]], bool)
             keep, pick = pa.array(at[ok]), pa.array(np.flatnonzero(ok))
@@ -150,11 +157,21 @@ def _batches(batches: Iterator[pa.RecordBatch], typed: bool) -> Iterator[pa.Reco
                     pc.cast(col["status"], pa.int32()) if "status" in col else none(pa.int32()),
                     pc.cast(col["ms"], pa.float64()) if "ms" in col else none(pa.float64()),
                     col.get("msg", none(pa.string())),
+                    _others({k: v for k, v in col.items() if k not in _KNOWN}, len(pick)),
                 ],
-                ["file", "line", "ts", "level", "session", "status", "ms", "msg"],
+                ["file", "line", "ts", "level", "session", "status", "ms", "msg", "other"],
             )
 
 
+def _others(cols: dict[str, pa.Array], n: int) -> pa.Array:
+    """Columns as one map column; null where there are none."""
+    kind = pa.map_(pa.string(), pa.string())
+    if not cols:
+        return pa.nulls(n, kind)
+    rows = zip(*(c.to_pylist() for c in cols.values()))
+    return pa.array([list(zip(cols, r)) for r in rows], kind)
+
+
 def csv_lines(lines: DataFrame, doc: DataFrame) -> DataFrame:
     """``file, line_no, text, header`` of the data rows of every csv file: the first line of a file is its header."""
     csv = doc.where(F.col("kind") == "csv").select("file").distinct()
@@ -165,19 +182,21 @@ def csv_lines(lines: DataFrame, doc: DataFrame) -> DataFrame:
 
 
 def csv_rejects(lines: DataFrame, doc: DataFrame) -> DataFrame:
-    """``file, line, reason`` of every csv row which does not fit its file's layout."""
-    return csv_lines(lines, doc).mapInArrow(lambda b: _batches(b, False), "file string, line long, reason string").distinct()
+    """``file, line, reason, field, value`` of every csv row which does not fit its file's layout: the first failing column and
+    its cell, or no column and the whole row where the structure is wrong."""
+    return csv_lines(lines, doc).mapInArrow(lambda b: _batches(b, False), "file string, line long, reason string, field string, value string").dropDuplicates(["file", "line", "reason"])
 
 
 def csv_loaded(lines: DataFrame, doc: DataFrame) -> DataFrame:
-    """The valid csv rows with typed columns: ``file, line`` and TYPED; a column the file lacks is null."""
-    return csv_lines(lines, doc).mapInArrow(lambda b: _batches(b, True), f"file string, line long, {TYPED}").distinct()
+    """The valid csv rows with typed columns: ``file, line``, TYPED and ``other map``; a column the file lacks is null.
+    Repeated rows are found by file, line and a hash of their text."""
+    src = csv_lines(lines, doc)
+    return src.mapInArrow(lambda b: _batches(b, True), f"file string, line long, {TYPED}, other map<string,string>").dropDuplicates(["file", "line", *_KNOWN])
 
 
 def record_reason(kind: Column, fields: Column) -> Column:
     """Reason why a record's map does not fit its kind's layout, or null."""
-    closed = r"""\A(?:[^'"]|'[^']*+'|"[^"]*+")*+\z"""
-    odd_quote = F.exists(F.map_values(fields), lambda v: ~v.rlike(closed))
+    odd_quote = F.exists(F.map_values(fields), lambda v: ~v.rlike(_CLOSED))
     keys = F.array_sort(F.map_keys(fields))
 
     def exactly(*names: str) -> Column:
@@ -193,8 +212,23 @@ def record_reason(kind: Column, fields: Column) -> Column:
 
 
 def record_rejects(records: DataFrame) -> DataFrame:
-    """``file, line, reason`` of every parsed record whose fields do not fit the layout of its kind."""
-    return records.select("file", "line", record_reason(F.col("kind"), F.col("fields")).alias("reason")).where("reason is not null").distinct()
+    """``file, line, reason, field, value`` of every parsed record whose fields do not fit the layout of its kind: the first
+    failing field by name and its value, or the whole map as text where the set of fields is wrong."""
+    odd = F.array_sort(F.filter(F.map_entries("fields"), lambda e: ~e["value"].rlike(_CLOSED)))
+    bad = F.array_sort(F.filter(F.map_entries("fields"), lambda e: ~F.coalesce(_fits_field(e["key"], e["value"]), F.lit(False))))
+    cell = F.when(F.col("reason") == "quoting", F.get(odd, F.lit(0))).when(F.col("reason") == "value", F.get(bad, F.lit(0)))
+    whole = F.when(F.col("reason") == "columns", F.to_json("fields"))
+    rows = records.select("file", "line", "fields", record_reason(F.col("kind"), F.col("fields")).alias("reason")).where("reason is not null")
+    return rows.select("file", "line", "reason", cell["key"].alias("field"), F.coalesce(cell["value"], whole).alias("value")).dropDuplicates(["file", "line", "reason"])
+
+
+_CLOSED = r"""\A(?:[^'"]|'[^']*+'|"[^"]*+")*+\z"""
+
+
+def _fits_field(name: Column, value: Column) -> Column:
+    """Whether a value fits the field of its name, in the kind which has it."""
+    as_is = lambda p: value.rlike(p.replace("$", r"\z"))
+    return F.when(name == "status", as_is(_STATUS)).when(name == "ms", as_is(_MS)).when(name == "bytes", value.rlike(r"^[0-9]+\z")).when(name == "action", value.isin(ACTIONS)).otherwise(True)
 
 
 def records_loaded(records: DataFrame) -> DataFrame:
@@ -214,10 +248,17 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.unionByName(b).select("tbl", "file", "line", "reason")
 
 
+def p5_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``tbl, file, line, reason, field, value``: the same with the first failing cell, or the whole row without a field."""
+    a = csv_rejects(table(spark, sf_dir, "line_view"), table(spark, sf_dir, "doc")).withColumn("tbl", F.lit("line_view"))
+    b = record_rejects(table(spark, sf_dir, "parsed_record")).withColumn("tbl", F.lit("parsed_record"))
+    return a.unionByName(b).select("tbl", "file", "line", "reason", "field", "value")
+
+
 def p5_loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``tbl, file, line, kind``, TYPED and RECORD_TYPED: the valid rows of all csv files and the valid parsed records,
+    """``tbl, file, line, kind``, TYPED, RECORD_TYPED and ``other``: the valid rows of all csv files and the valid parsed records,
     typed; ``kind`` is that of a record, columns of the other table are null."""
     rows = csv_loaded(table(spark, sf_dir, "line_view"), table(spark, sf_dir, "doc")).withColumn("tbl", F.lit("line_view"))
     records = records_loaded(table(spark, sf_dir, "parsed_record")).withColumn("tbl", F.lit("parsed_record"))
-    cols = ["tbl", "file", "line", "kind", *(c.split()[0] for c in f"{TYPED}, {RECORD_TYPED}".split(", "))]
+    cols = ["tbl", "file", "line", "kind", *(c.split()[0] for c in f"{TYPED}, {RECORD_TYPED}".split(", ")), "other"]
     return rows.unionByName(records, allowMissingColumns=True).select(*cols)

@@ -120,7 +120,7 @@ _add("sql_missing_field", _sql("SELECT COUNT(*) WHERE nothing = '' AND nothing !
 _add("sql_group_two_keys", _sql("SELECT level FROM log WHERE cents >= 100 GROUP BY level, id ORDER BY id LIMIT 100000"), f"WITH {_E} SELECT lvl AS level, cast(event_id AS VARCHAR) AS id, count(*) AS \"count\" FROM el WHERE cents >= 100 GROUP BY ALL ORDER BY id, level LIMIT 100000")
 _add("sql_select_columns", _sql("SELECT ts, level, id FROM log WHERE level = ERROR LIMIT 100000"), f"WITH {_E} SELECT line, file, stamp AS ts, lvl AS level, cast(event_id AS VARCHAR) AS id FROM el WHERE lvl = 'ERROR' ORDER BY line LIMIT 100000")
 _add("sql_shorthand", _sql("level = WARN AND cents > 9000"), f"WITH {_E} SELECT line, file, stamp AS ts, lvl AS level, msg FROM el WHERE lvl = 'WARN' AND cents > 9000 ORDER BY line LIMIT 1000")
-_add("sql_statistics", lambda s, d: sql_lite.statistics("level = WARN", sql_lite.rows(e_lines(s, d))), f"WITH {_E} SELECT count(*) AS scanned, count(*) FILTER (lvl = 'WARN') AS matched, count(*) FILTER (lvl = 'WARN') > 1000 AS truncated_rows FROM el")
+_add("sql_statistics", lambda s, d: sql_lite.statistics("level = WARN", sql_lite.rows(e_lines(s, d)), 700), f"WITH {_E} SELECT count(*) FILTER (line <= 700) AS scanned, count(*) FILTER (lvl = 'WARN' AND line <= 700) AS matched, count(*) FILTER (lvl = 'WARN' AND line <= 700) > 1000 AS truncated_rows, count(*) FILTER (line > 700) > 0 AS truncated_scan FROM el")
 
 # ---- search ----
 _add("search_literal_ci", lambda s, d: d_lines(s, d).where(search.literal_condition(F.col("text"), "ARCHIVE")).groupBy("file").agg(F.count("*").alias("n")), f"WITH {_D} SELECT file, count(*) AS n FROM d WHERE contains(lower(text), 'archive') GROUP BY file")
@@ -194,4 +194,4 @@ _add("export_search", lambda s, d: export.matching(e_lines(s, d), "ERROR purchas
 _add("export_timeline", lambda s, d: timeline.exported(timeline.merged(e_lines(s, d, 3))), f"WITH {_E} SELECT stamp || ' | events' || (user_id % 3) || ':' || line || ' | ' || text AS value FROM el")
 _add("export_ticket", lambda s, d: export.ticket(e_lines(s, d), e_lines(s, d).where(F.col("text").contains("ERROR")), "ERROR", 1))
 
-_add("stream_windowed_counts", lambda s, d: follow.run_to_table(follow.windowed_counts(streamed_lines(s, d), "1 day", "1 hour")).select(F.unix_timestamp("start").alias("start"), "level", "lines"), f"WITH {_E} SELECT {_SECONDS} // 3600 * 3600 AS start, lvl AS level, count(*) AS lines FROM el GROUP BY ALL")
+_add("stream_windowed_counts", lambda s, d: follow.run_to_table(follow.windowed_counts(streamed_lines(s, d), "1 day", "1 hour"), ["start", "level"]).select(F.unix_timestamp("start").alias("start"), "level", "lines"), f"WITH {_E} SELECT {_SECONDS} // 3600 * 3600 AS start, lvl AS level, count(*) AS lines FROM el GROUP BY ALL")

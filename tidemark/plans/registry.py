@@ -13,6 +13,7 @@ _RECORD_QUERIES = {
     "p2_times": normalise_times.p2_times,
     "p5_found": rejects.p5_found,
     "p5_loaded": rejects.p5_loaded,
+    "p5_rejects": rejects.p5_rejects,
     "p6_found": schema_drift.p6_found,
     "p6_unified": schema_drift.p6_unified,
 }

@@ -237,9 +237,11 @@ def as_rows(recs: DataFrame) -> DataFrame:
     return recs.select("file", "line", "ts", "ts_raw", F.explode(F.array(lowered(F.col("fields"), F.col("level"), F.col("msg")))).alias("fields"))
 
 
-def run(statement: str | Statement, src: DataFrame, extra: list[str] | None = None) -> DataFrame:
-    """Result of a statement over rows(). ``extra``: custom columns shown by ``*``."""
+def run(statement: str | Statement, src: DataFrame, extra: list[str] | None = None, scan: int | None = None) -> DataFrame:
+    """Result of a statement over rows(). ``extra``: custom columns shown by ``*``; ``scan``: read only the first so many lines of each file."""
     s = parse(statement) if isinstance(statement, str) else statement
+    if scan is not None:
+        src = src.where(F.col("line") <= scan)
     if s.where is not None:
         src = src.where(condition(s.where))
     if s.group:
@@ -264,11 +266,13 @@ def run(statement: str | Statement, src: DataFrame, extra: list[str] | None = No
     return src.orderBy("file", "line").limit(s.limit).select("line", "file", *cols)
 
 
-def statistics(statement: str | Statement, src: DataFrame) -> DataFrame:
-    """One row: ``scanned, matched, truncated_rows`` of a statement."""
+def statistics(statement: str | Statement, src: DataFrame, scan: int | None = None) -> DataFrame:
+    """One row: ``scanned, matched, truncated_rows, truncated_scan`` of a statement; with ``scan`` only the first so many lines of each file are looked at."""
     s = parse(statement) if isinstance(statement, str) else statement
     hit = condition(s.where) if s.where is not None else F.lit(True)
-    return src.agg(F.count("*").alias("scanned"), F.count_if(hit).alias("matched")).withColumn("truncated_rows", F.lit(False) if s.count else F.col("matched") > s.limit)
+    inside = F.col("line") <= scan if scan is not None else F.lit(True)
+    out = src.agg(F.count_if(inside).alias("scanned"), F.count_if(inside & hit).alias("matched"), F.coalesce(F.bool_or(~inside), F.lit(False)).alias("truncated_scan"))
+    return out.select("scanned", "matched", (F.lit(False) if s.count else F.col("matched") > s.limit).alias("truncated_rows"), "truncated_scan")
 
 
 def bars(groups: DataFrame, key: str, width: int = 28, most: int = 20) -> DataFrame:

@@ -116,14 +116,23 @@ def windowed_counts(stream: DataFrame, late: str = "10 minutes", width: str = "1
     return counted.select(F.col("w.start").alias("start"), "level", "lines")
 
 
-def run_to_table(stream: DataFrame, mode: str = "complete") -> DataFrame:
-    """Run a streaming query over all input that is there now and return its last result as a table in the shared folder."""
+def run_to_table(stream: DataFrame, keys: list[str], mode: str = "update") -> DataFrame:
+    """Run a streaming query over all input that is there now and return its result as a table in the shared folder.
+
+    In ``update`` mode the state of windows behind the watermark is dropped; a row replaces the earlier one of its ``keys``.
+    """
     import uuid
 
+    from pyspark.sql import functions as F
+
     from ..runtime import shared_dir
 
     spark = stream.sparkSession
     base = f"{shared_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
-    q = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/state").foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(f"{base}/out")).trigger(availableNow=True).start()
+    put = lambda df, i: df.withColumn("__batch", F.lit(i)).write.mode("append").parquet(f"{base}/out")
+    q = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/state").foreachBatch(put).trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{base}/out")
+    rows = spark.read.schema(f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in stream.schema)}, __batch long").parquet(f"{base}/out")
+    rest = [c for c in stream.columns if c not in keys]
+    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "__batch").alias("r"))
+    return last.select(*keys, *[F.col(f"r.{c}").alias(c) for c in rest]).select(*stream.columns)
