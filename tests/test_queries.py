@@ -231,3 +231,31 @@ def test_aggregates(spark):
     c = aggregates.coverage(timeline.merged(df))
     assert c.first()["dated"] == 2 and aggregates.skew(c).first()["disjoint"] is False
     assert "only one dated file" in [r["report"] for r in aggregates.skew_report(c).collect()][-1]
+
+
+def test_required_literals_of_a_statement_change_nothing(spark):
+    texts = ["2026-03-01 10:00:00 ERROR disk id=1", "2026-03-01 10:00:01 WARN slow", '{"level":"err\\u006fr","msg":"x"}', '{"Level":"Error","msg":"DISK full"}', "plain error", None, "2026-03-01 10:00:02 session=a insert into t"]
+    lines = spark.createDataFrame([("f", i, t) for i, t in enumerate(texts, 1)], "file string, line long, text string")
+    for q in ("level = error", "msg ~ disk AND level = ERROR", "level = error OR level = warn", "NOT level = error", "session = '-'", "msg ~ disk OR line > 4", "action = INSERT", "level != error", "SELECT COUNT(*) WHERE msg ~ 'disk'", "SELECT level WHERE level ~ r GROUP BY level"):
+        got = sorted(map(tuple, sql_lite.query(q, lines).collect()))
+        assert got == sorted(map(tuple, sql_lite.run(q, sql_lite.rows(lines)).collect())), q
+    assert sql_lite.required(sql_lite.parse("msg ~ disk AND level = ERROR").where) == ["error"] and sql_lite.required(sql_lite.parse("NOT level = error").where) is None
+
+
+def test_scan_cap(spark):
+    lines = spark.createDataFrame([(f, i, f"2026-03-01 10:00:{i:02d} {'ERROR' if i % 10 == 0 else 'INFO'} x") for f in "ab" for i in range(1, 51)], "file string, line long, text string")
+    rows = sql_lite.rows(lines)
+    assert sql_lite.run("level = ERROR", rows, scan=20).count() == 4 and sql_lite.query("SELECT COUNT(*) WHERE level = ERROR", lines, scan=20).first()["count"] == 4
+    assert tuple(sql_lite.statistics("level = ERROR", rows, 20).first()) == (40, 4, False, True) and tuple(sql_lite.statistics("level = ERROR", rows).first()) == (100, 10, False, False)
+
+
+def test_histogram_per_file_and_block_marks(spark):
+    from tidemark.operators import blocks
+
+    lines = spark.createDataFrame([(f, i, f"2026-03-01 10:{m:02d}:00 ERROR x") for f, ms in {"a": [0, 0, 3], "b": [5, 7], "c": [1, 1]}.items() for i, m in enumerate(ms, 1)], "file string, line long, text string")
+    got = {(r["file"], r["bin"]): (r["count"], r["first_line"]) for r in aggregates.error_histogram(lines).collect()}
+    assert got == {("a", 0): (2, 1), ("a", 1): (0, None), ("a", 2): (0, None), ("a", 3): (1, 3), ("b", 0): (1, 1), ("b", 1): (0, None), ("b", 2): (1, 2)}
+    texts = ["START CHECKPOINT", "--start checkpoint 1", "-- FINISH CHECKPOINT", "x", "--FINISH CHECKPOINT", "--COMMIT WORK", "--BEGIN TRANSACTION", "y", "--ROLLBACK WORK", "rollback work", "go"]
+    b = spark.createDataFrame([("f", i, t) for i, t in enumerate(texts, 1)], "file string, line long, text string")
+    assert [tuple(r) for r in blocks.all_blocks(b, "checkpoint").collect()] == [("f", 2, 5, 4)]
+    assert ("f", 7, 10, 4) in [tuple(r) for r in blocks.all_blocks(b, "transaction").collect()]

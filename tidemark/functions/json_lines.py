@@ -15,18 +15,32 @@ MESSAGE_KEYS = ["msg", "message", "text", "error", "event"]
 TIME_KEYS = ["timestamp", "time", "ts", "@timestamp", "datetime", "date"]
 
 
-def is_object(text: Column) -> Column:
-    """Whether the line is exactly one JSON object. The parser alone accepts trailing text, so the object is also read inside an array and inside an object."""
-    t = F.trim(text)
-    one = F.size(F.from_json(F.concat(F.lit("["), t, F.lit("]")), "array<map<string,string>>", _STRICT)) == 1
+def _objects(t: Column) -> Column:
+    """The text read as the only items of an array; null if that is no JSON."""
+    return F.from_json(F.concat(F.lit("["), t, F.lit("]")), "array<map<string,string>>", _STRICT)
+
+
+def _one(t: Column, objects: Column) -> Column:
+    """Whether the items are exactly one object. The parser alone accepts trailing text; within the array only text that closes
+    it early can follow, for which alone the text is read once more, inside an object."""
     inside = F.from_json(F.concat(F.lit('{"w":'), t, F.lit("}")), "w map<string,string>", _STRICT)["w"].isNotNull()
-    return F.coalesce(t.startswith("{") & t.endswith("}"), F.lit(False)) & F.coalesce(one, F.lit(False)) & F.coalesce(inside, F.lit(False))
+    return F.coalesce((F.size(objects) == 1) & F.when(t.rlike(r"\}\s*\]\s*,"), inside).otherwise(True), F.lit(False))
+
+
+def is_object(text: Column) -> Column:
+    """Whether the line is exactly one JSON object."""
+    return bind(F.trim(text), lambda t: F.when(t.startswith("{") & t.endswith("}"), bind(_objects(t), lambda o: _one(t, o))).otherwise(False))
 
 
 def json_fields(text: Column) -> Column:
-    """Non-null top-level fields as text (objects and arrays as compact JSON), or null if the line is no object or has none."""
-    m = F.map_filter(F.from_json(F.trim(text), "map<string,string>", _STRICT), lambda _, v: v.isNotNull())
-    return F.when(is_object(text), bind(m, lambda kept: F.when(F.size(kept) > 0, kept)))
+    """Non-null top-level fields as text (objects and arrays as compact JSON), or null if the line is no object or has none. The text is parsed once."""
+
+    def fields(t: Column) -> Column:
+        kept = lambda o: F.map_filter(F.get(o, F.lit(0)), lambda _, v: v.isNotNull())
+        full = lambda m: F.when(F.size(m) > 0, m)
+        return F.when(t.startswith("{") & t.endswith("}"), bind(_objects(t), lambda o: F.when(_one(t, o), bind(kept(o), full))))
+
+    return bind(F.trim(text), fields)
 
 
 def pick(fields: Column, keys: list[str]) -> Column:

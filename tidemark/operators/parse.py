@@ -44,21 +44,23 @@ def trimmed(text: Column) -> Column:
 
 def key_values(msg: Column, most: int = 8) -> Column:
     """``k=v`` words of a message: keys of at most 32 letters, digits, ``_`` and ``-``; values not empty, quotes trimmed; the first ``most``."""
-    words = F.filter(F.split(msg, r"\s+"), lambda w: w.rlike(r"^[A-Za-z0-9_-]{1,32}=(?s:.)+$"))
-    return F.transform(F.slice(words, 1, most), lambda w: F.struct(F.substring_index(w, "=", 1).alias("k"), F.regexp_replace(F.substr(w, F.instr(w, "=") + 1), "^[\"']+|[\"']+$", "").alias("v")))
+    words = F.regexp_extract_all(msg, F.lit(r"(?<!\S)[A-Za-z0-9_-]{1,32}=\S+"), F.lit(0))
+    pair = lambda w: F.struct(F.substring_index(w, "=", 1).alias("k"), F.regexp_replace(F.substr(w, F.instr(w, "=") + 1), "^[\"']+|[\"']+$", "").alias("v"))
+    return F.when(msg.contains("="), F.transform(F.slice(words, 1, most), pair)).otherwise(F.array().cast("array<struct<k:string,v:string>>"))
 
 
 def first_wins(entries: Column) -> Column:
     """A map of (k, v) structs in which the first of equal keys wins."""
 
     def kept(es: Column, ks: Column) -> Column:
-        return F.map_from_entries(F.filter(es, lambda e, i: F.array_position(ks, e["k"]) == i + 1))
+        once = F.size(F.array_distinct(ks)) == F.size(ks)
+        return F.when(once, F.map_from_entries(es)).otherwise(F.map_from_entries(F.filter(es, lambda e, i: F.array_position(ks, e["k"]) == i + 1)))
 
     return bind(entries, lambda es: bind(F.transform(es, lambda e: e["k"]), lambda ks: kept(es, ks)))
 
 
 def _record(kind: str, ts_raw: Column, level: Column, msg: Column, fields: Column) -> Column:
-    return F.struct(F.lit(kind).alias("kind"), ts_raw.alias("ts_raw"), prefix_seconds(F.trim(ts_raw)).alias("ts"), level.cast("string").alias("level"), msg.alias("msg"), fields.alias("fields")).cast(RECORD)
+    return F.struct(F.lit(kind).alias("kind"), ts_raw.alias("ts_raw"), prefix_seconds(F.trim(ts_raw)).alias("ts"), level.cast("string").alias("level"), msg.alias("msg"), fields.alias("fields"))
 
 
 def _pairs(*named: tuple[str, Column]) -> Column:
@@ -197,7 +199,11 @@ def lowered(fields: Column, level: Column, msg: Column) -> Column:
     """Fields under lower-case names (the first of equal ones wins), with level and message added where missing."""
     entries = F.transform(F.map_entries(fields), lambda e: F.struct(F.lower(e["key"]).alias("k"), e["value"].alias("v")))
     extra = F.filter(_pairs(("level", level), ("msg", msg)), lambda e: e["v"].isNotNull())
-    return first_wins(F.concat(F.coalesce(entries, F.array().cast("array<struct<k:string,v:string>>")), extra))
+    built = first_wins(F.concat(F.coalesce(entries, F.array().cast("array<struct<k:string,v:string>>")), extra))
+    # most records have all of it already
+    names = F.array_join(F.map_keys(fields), "\u0001")
+    as_is = (names == F.lower(names)) & (level.isNull() | F.map_contains_key(fields, F.lit("level"))) & (msg.isNull() | F.map_contains_key(fields, F.lit("msg")))
+    return F.when(as_is, fields).otherwise(built)
 
 
 _ALIASES = [["ts", "timestamp", "time", "datetime", "date"], json_lines.LEVEL_KEYS, json_lines.MESSAGE_KEYS]

@@ -93,7 +93,7 @@ _SECONDS = "cast(epoch(date_trunc('second', ts)) AS BIGINT)"
 
 
 def _sql(statement: str):
-    return lambda s, d: sql_lite.run(statement, sql_lite.rows(e_lines(s, d)))
+    return lambda s, d: sql_lite.query(statement, e_lines(s, d))
 
 
 def _parsed(lines, *cols: str):

@@ -237,6 +237,34 @@ def as_rows(recs: DataFrame) -> DataFrame:
     return recs.select("file", "line", "ts", "ts_raw", F.explode(F.array(lowered(F.col("fields"), F.col("level"), F.col("msg")))).alias("fields"))
 
 
+def required(node) -> list[str] | None:
+    """Literals of which every matching line must hold one, in any ASCII case; None if there are none. Values that a parser
+    makes up (``-``) and numbers and times, which compare by value, are not among them."""
+    if isinstance(node, Compare):
+        plain = node.column.lower() not in ("line", "file") and node.op in ("=", "~") and node.value not in ("", "-") and node.value.isascii() and node.value.isprintable() and "\\" not in node.value and '"' not in node.value
+        return [ascii_fold(node.value)] if plain else None
+    parts = [required(x) for x in node.of] if node is not None else []
+    if not parts or node.op == "not":
+        return None
+    if node.op == "and":
+        known = [p for p in parts if p]
+        return max(known, key=lambda p: min(map(len, p))) if known else None
+    return [w for p in parts for w in p] if all(parts) else None
+
+
+def query(statement: str | Statement, lines: DataFrame, parser: Parser | None = None, extra: list[str] | None = None, scan: int | None = None) -> DataFrame:
+    """Result of a statement over unparsed lines. Lines without a literal that the statement requires are left out before they
+    are parsed (but for escaped ones, whose text differs from their fields), where the lines themselves are not returned or counted."""
+    s = parse(statement) if isinstance(statement, str) else statement
+    if words := required(s.where):
+        text = F.lower(present(F.col("text")))
+        some = text.contains("\\")
+        for w in words:
+            some = some | text.contains(w)
+        lines = lines.where(some)
+    return run(s, rows(lines, parser), extra, scan)
+
+
 def run(statement: str | Statement, src: DataFrame, extra: list[str] | None = None, scan: int | None = None) -> DataFrame:
     """Result of a statement over rows(). ``extra``: custom columns shown by ``*``; ``scan``: read only the first so many lines of each file."""
     s = parse(statement) if isinstance(statement, str) else statement
