@@ -467,3 +467,8 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p9_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statistics of every document with a text."""
     return statistics(table(spark, sf_dir, "documents"))
+
+
+def p9_basic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The statistics that SQL can count as well: lines, words, their mean length, lines that end in punctuation, list items."""
+    return p9_statistics(spark, sf_dir).select("doc_id", "n_lines", "n_words", "mean_word_length", "line_end_ratio", "list_ratio")
