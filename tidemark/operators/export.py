@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import count_text, fnv1a, line_hash
 from ..functions.text import present
+from ..sources.files import opened
 from . import search
 
 
@@ -63,17 +64,17 @@ def csv_header(df: DataFrame) -> str:
     return ",".join('"' + c.replace('"', '""') + '"' if any(x in c for x in ',"\n\r') else c for c in df.columns)
 
 
-def copied(lines: DataFrame, most: int = 16 * 1024 * 1024) -> str:
-    """The text of a selection, for the clipboard; ValueError above ``most`` bytes, checked before anything is fetched."""
+def copied(lines: DataFrame, most: int = 16 * 1024 * 1024, with_numbers: bool = False) -> str:
+    """The text of a selection, for the clipboard, each line with its number if asked for; ValueError above ``most`` bytes, checked before anything is fetched."""
     size = lines.agg(F.coalesce(F.sum(F.octet_length(present(F.col("text"))) + 1), F.lit(0)).alias("n")).first()["n"]
     if size > most:
         raise ValueError(f"{size} bytes are too many to copy")
-    return "\n".join(r["text"] or "" for r in lines.orderBy("file", "line").select("text").collect())
+    return "\n".join((f"{r['line']}: " if with_numbers else "") + (r["text"] or "") for r in lines.orderBy("file", "line").select("line", "text").collect())
 
 
 def save_bookmarks(path: str, source: str, marks: list[dict]) -> None:
     """Bookmarks (line, label, colour) of a file as JSON beside its head's fingerprint."""
-    with open(source, "rb") as f:
+    with opened(source) as f:
         head = f"{fnv1a(f.read(65536)):016x}"
     with open(path, "w", encoding="utf-8") as f:
         json.dump({"head": head, "marks": sorted(marks, key=lambda m: m["line"])}, f, ensure_ascii=False)
@@ -85,6 +86,6 @@ def load_bookmarks(path: str, source: str) -> tuple[list[dict], bool]:
         return [], True
     with open(path, encoding="utf-8") as f:
         data = json.load(f)
-    with open(source, "rb") as f:
+    with opened(source) as f:
         head = f"{fnv1a(f.read(65536)):016x}"
     return data["marks"], data["head"] == head

@@ -155,6 +155,7 @@ def typed_counts(zones: list[str]):
                 yield _flushed(counts)
                 counts = {}
         yield _flushed(counts)
+        pa.default_memory_pool().release_unused()
 
     return run
 

@@ -198,6 +198,8 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held.append(batch.slice(a, z - a))
     if held:
         yield flush()
+    held.clear()
+    pa.default_memory_pool().release_unused()
     yield pa.RecordBatch.from_arrays([pa.array([], k) for k in _TYPES], _NAMES)
 
 

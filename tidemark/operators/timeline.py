@@ -12,10 +12,12 @@ from ..functions.timestamps import PREFIX, prefix_seconds
 from .parse import parse_auto
 
 
-def merged(*sources: DataFrame, parsed: bool = True) -> DataFrame:
-    """``file, line, ts_raw, ts, text`` of all lines of all sources. With ``parsed`` the time comes from the record; lines that
+def merged(*sources: DataFrame, parsed: bool = True, scan: int | None = None) -> DataFrame:
+    """``file, line, ts_raw, ts, text`` of all lines of all sources, with ``scan`` of the first so many lines of each file. With ``parsed`` the time comes from the record; lines that
     are no record fall back to a timestamp at their start."""
     both = reduce(DataFrame.unionByName, [s.select("file", "line", "text") for s in sources])
+    if scan is not None:
+        both = both.where(F.col("line") <= scan)
     t = present(F.col("text"))
     raw = F.regexp_extract(t, PREFIX, 0)
     plain = F.struct(F.when(raw != "", raw).alias("ts_raw"), prefix_seconds(t).alias("ts"))

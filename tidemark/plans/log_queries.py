@@ -192,6 +192,11 @@ _add("hex_rows", lambda s, d: e_lines(s, d).select("line", F.posexplode(scalars.
 _add("export_csv", lambda s, d: export.csv_rows(l_lines(s, d).where("text is not null").select("line", "text")), f"""WITH {_L} SELECT line || ',' || CASE WHEN regexp_matches(text, '[,"\\n\\r]') THEN '"' || replace(text, '"', '""') || '"' ELSE text END AS value FROM l WHERE text IS NOT NULL""")
 _add("export_search", lambda s, d: export.matching(e_lines(s, d), "ERROR purchase OR WARN click"), f"WITH {_E} SELECT line || ': ' || text AS value FROM el WHERE lvl = 'WARN'")
 _add("export_timeline", lambda s, d: timeline.exported(timeline.merged(e_lines(s, d, 3))), f"WITH {_E} SELECT stamp || ' | events' || (user_id % 3) || ':' || line || ' | ' || text AS value FROM el")
-_add("export_ticket", lambda s, d: export.ticket(e_lines(s, d), e_lines(s, d).where(F.col("text").contains("ERROR")), "ERROR", 1))
+_FNV = "list_reduce(list_prepend(14695981039346656037::HUGEINT, list_transform(range(1, strlen(text) + 1), lambda i: cast('0x' || substr(hex(encode(text)), cast(2 * i - 1 AS BIGINT), 2) AS HUGEINT))), lambda h, b: (xor(h, b) * 1099511628211::HUGEINT) % 18446744073709551616::HUGEINT)"
+_add("export_ticket", lambda s, d: export.ticket(e_lines(s, d), e_lines(s, d).where(F.col("text").contains("ERROR")), "ERROR", 1), f"""WITH {_E}, h AS (SELECT line AS hit FROM el WHERE lvl = 'ERROR'), o AS (SELECT line, min(hit) AS hit FROM (SELECT hit, unnest([hit - 1, hit, hit + 1]) AS line FROM h) GROUP BY line),
+  c AS (SELECT el.line, CASE WHEN lvl = 'ERROR' THEN el.line ELSE hit END AS hit, CASE WHEN lvl = 'ERROR' THEN '>>> ' ELSE '    ' END || text AS shown, text, lvl FROM el JOIN o ON o.line = el.line),
+  b AS (SELECT hit, string_agg(shown, chr(10) ORDER BY line) AS body, max(text) FILTER (line = hit) AS text FROM c GROUP BY hit), k AS (SELECT *, {_FNV} AS fnv FROM b)
+  SELECT 'events' AS file, '# Log report' || chr(10) || chr(10) || '- File: `events`' || chr(10) || '- Query: `ERROR`' || chr(10) || '- Hits: ' || regexp_replace(format('{{:,}}', count(*)), ',', '.', 'g') || chr(10) || '- Context: +-1 lines' || chr(10) AS value FROM h
+  UNION ALL SELECT 'events', '## Line ' || regexp_replace(format('{{:,}}', hit), ',', '.', 'g') || ' {{#' || lpad(lower(hex(cast(xor(fnv // 4294967296, fnv % 4294967296) AS BIGINT))), 8, '0') || '}}' || chr(10) || '```' || chr(10) || body || chr(10) || '```' || chr(10) FROM k""")
 
 _add("stream_windowed_counts", lambda s, d: follow.run_to_table(follow.windowed_counts(streamed_lines(s, d), "1 day", "1 hour"), ["start", "level"]).select(F.unix_timestamp("start").alias("start"), "level", "lines"), f"WITH {_E} SELECT {_SECONDS} // 3600 * 3600 AS start, lvl AS level, count(*) AS lines FROM el GROUP BY ALL")

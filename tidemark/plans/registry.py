@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import log_queries
+from . import log_queries, record_sql
 from ..operators import log_entries, normalise_times, rejects, schema_drift
 
 _RECORD_QUERIES = {
@@ -28,4 +28,4 @@ def queries():
 
 
 def oracle_sql():
-    return dict(log_queries.SQL)
+    return log_queries.SQL | record_sql.SQL
