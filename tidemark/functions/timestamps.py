@@ -11,6 +11,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import lookup_join
 from .instants import bind, epoch_day
 
 PREFIX = r"^(\d{4})[-/](0[1-9]|1[0-2])[-/](0[1-9]|[12]\d|3[01])[ T]([01]\d|2[0-3]):([0-5]\d):([0-5]\d|60)"
@@ -77,7 +78,7 @@ def time_range(lines: DataFrame, start: int, end: int) -> DataFrame:
         raise ValueError("the range ends before it starts")
     at = prefix_seconds(F.col("text"))
     b = lines.groupBy("file").agg(F.min(F.when(at >= start, F.col("line"))).alias("lo"), F.min(F.when(at > end, F.col("line"))).alias("hi"))
-    return lines.join(b, "file").where((F.col("line") >= F.col("lo")) & F.coalesce(F.col("line") < F.col("hi"), F.lit(True))).drop("lo", "hi")
+    return lookup_join(lines, b, ["file"], "inner", salt_by=F.col("line")).where((F.col("line") >= F.col("lo")) & F.coalesce(F.col("line") < F.col("hi"), F.lit(True))).drop("lo", "hi")
 
 
 def toggle_bookmark(marks: DataFrame, lines: DataFrame, file: str, line: int) -> DataFrame:
