@@ -175,7 +175,9 @@ def moves(stats: DataFrame, files: DataFrame) -> DataFrame:
     keys = ["series", "seq", "field"]
     moved = before.join(here.select(*keys), keys, "left_anti").withColumn("gone", F.lit(True)).unionByName(here.join(before.select(*keys), keys, "left_anti").withColumn("gone", F.lit(False)))
     use = [*keys, "gone", "kind", "role", "n_real", "distinct", "s_len", "s_digits", "s_letters", "s_upper", "s_log", "s_log2", "hist"]
-    return moved.select(*use).groupBy("series", "seq").applyInPandas(_renames, "series string, seq int, field string, change string, new_name string")
+    # small groups, costly each: as many tasks as there are cores, which the size of the rows would not ask for
+    spread = moved.select(*use).repartition(2 * moved.sparkSession.sparkContext.defaultParallelism, "series", "seq")
+    return spread.groupBy("series", "seq").applyInPandas(_renames, "series string, seq int, field string, change string, new_name string")
 
 
 def _retyped(stats: DataFrame, files: DataFrame) -> DataFrame:
