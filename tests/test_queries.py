@@ -259,3 +259,17 @@ def test_histogram_per_file_and_block_marks(spark):
     b = spark.createDataFrame([("f", i, t) for i, t in enumerate(texts, 1)], "file string, line long, text string")
     assert [tuple(r) for r in blocks.all_blocks(b, "checkpoint").collect()] == [("f", 2, 5, 4)]
     assert ("f", 7, 10, 4) in [tuple(r) for r in blocks.all_blocks(b, "transaction").collect()]
+
+
+def test_sets_of_lines_and_kept_results(spark, lines):
+    a, b = lines.where("line <= 4"), lines.where("line >= 3 and line <= 6")
+    got = {how: sorted(r["line"] for r in search.combined(a.unionByName(a), b, how).collect()) for how in ("union", "intersect", "minus", "xor")}
+    assert got == {"union": [1, 2, 3, 4, 5, 6], "intersect": [3, 4], "minus": [1, 2], "xor": [1, 2, 5, 6]}
+    with pytest.raises(ValueError):
+        search.combined(a, b, "times")
+    kept, asked = search.Results(), []
+    first = kept.get("alpha", lambda: asked.append(1) or lines.where("text like '%alpha%'"))
+    assert kept.get("alpha", lambda: asked.append(1)) is first and asked == [1] and first.count() == 2 and kept.names() == ["alpha"]
+    kept.forget("alpha")
+    with pytest.raises(KeyError):
+        kept.get("alpha")

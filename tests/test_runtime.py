@@ -25,3 +25,27 @@ def test_cut_keeps_rows_and_schema(spark):
     assert got.inputFiles() and all("cut-" in f for f in got.inputFiles())
     assert runtime.estimated_bytes(df) > 0 and os.path.isdir(runtime.shared_dir(spark).removeprefix("file://"))
     assert runtime.cut(df.limit(0)).count() == 0
+
+
+def test_tagged_jobs_can_be_cancelled(spark):
+    import threading
+    import time
+
+    def stop():
+        time.sleep(3)
+        runtime.cancel(spark, "slow")
+
+    t = threading.Thread(target=stop)
+    t.start()
+    with pytest.raises(Exception, match="(?i)cancel"), runtime.tagged(spark, "slow"):
+        spark.range(0, 8, 1, 8).selectExpr("reflect('java.lang.Thread', 'sleep', 20000L)").collect()
+    t.join()
+    assert spark.range(3).count() == 3
+
+
+def test_cuts_are_dropped(spark):
+    got = runtime.cut(spark.range(5))
+    path = got.inputFiles()[0].removeprefix("file://")
+    assert os.path.exists(path)
+    runtime.drop_cuts()
+    assert not os.path.exists(path) and not runtime._cuts

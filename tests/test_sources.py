@@ -225,3 +225,24 @@ def test_follow_line_longer_than_a_batch(tmp_path, monkeypatch):
     p.write_text("x" * 50 + "\nnext\n" + "y" * 20 + "\n")
     rows, at = reader.read(at)
     assert [r[4] for r in rows] == ["y" * 20]
+
+
+def test_workspace(spark, tmp_path):
+    from tidemark.sources.workspace import Workspace
+
+    (tmp_path / "a.log").write_bytes("один\nERROR два\nERROR три\n".encode("koi8_r"))
+    (tmp_path / "b.log").write_text("ERROR x\nERROR y\n")
+    w = Workspace({str(tmp_path / "a.log"): "koi8r", str(tmp_path / "b.log"): None}, "error", last=2)
+    w.save(str(tmp_path / "w.json"))
+    again = Workspace.load(str(tmp_path / "w.json"))
+    assert again == w and {r["text"] for r in again.lines(spark).collect()} == {"ERROR два", "ERROR x", "ERROR y"}
+    (tmp_path / "odd.json").write_text("[1]")
+    with pytest.raises(ValueError):
+        Workspace.load(str(tmp_path / "odd.json"))
+    assert Workspace().lines(spark).count() == 0
+
+
+def test_search_of_followed_lines(spark):
+    df = spark.createDataFrame([("f", 0, 1, 0, "ERROR a"), ("f", 0, 2, 8, "b"), ("f", 1, 1, 0, "error c")], follow.SCHEMA)
+    assert {r["text"] for r in follow.searched(df, "error").collect()} == {"ERROR a", "error c"}
+    assert {tuple(r) for r in follow.new_lines(df).collect()} == {(0, 2, 2), (1, 1, 1)}

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import boolean
 from ..functions.instants import bind
 from ..functions.text import byte_length, java_regex, present, quoted
+from ..runtime import cut
 
 HIT = ["file", "line", "byte", "col_start", "col_end"]
 
@@ -301,6 +302,47 @@ def merge_ranges(ranges: DataFrame) -> DataFrame:
     return ranges.withColumn("o", opens).withColumn("g", F.sum("o").over(w)).groupBy("file", "g").agg(F.min("first").alias("first"), F.max("last").alias("last")).drop("g")
 
 
+# ---- sets of lines and kept results ----
+
+
+def combined(a: DataFrame, b: DataFrame, how: str) -> DataFrame:
+    """``file, line`` of two sets of lines: ``union``, ``intersect``, ``minus`` or ``xor``; every line once, nulls are equal."""
+    x, y = a.select("file", "line"), b.select("file", "line")
+    if how == "xor":
+        return x.subtract(y).unionByName(y.subtract(x))
+    try:
+        return {"union": lambda: x.unionByName(y).distinct(), "intersect": lambda: x.intersect(y), "minus": lambda: x.subtract(y)}[how]()
+    except KeyError:
+        raise ValueError(f"no set operation {how!r}") from None
+
+
+class Results:
+    """Results of searches under names. Each is computed once and written to the shared folder, so that it can be read again
+    and combined with others after its lines have changed."""
+
+    def __init__(self) -> None:
+        self._kept: dict[str, DataFrame] = {}
+
+    def keep(self, name: str, found: DataFrame) -> DataFrame:
+        """Write a result under a name (in place of an earlier one of that name) and return what was written."""
+        self._kept[name] = cut(found)
+        return self._kept[name]
+
+    def get(self, name: str, compute=None) -> DataFrame:
+        """The result of a name; without one, ``compute()`` is kept."""
+        if name not in self._kept:
+            if compute is None:
+                raise KeyError(name)
+            self.keep(name, compute())
+        return self._kept[name]
+
+    def names(self) -> list[str]:
+        return sorted(self._kept)
+
+    def forget(self, name: str) -> None:
+        self._kept.pop(name, None)
+
+
 # ---- queries as objects ----
 
 # The saved searches offered at first, name -> (query, is it a regex); all ignore case.

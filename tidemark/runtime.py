@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -96,6 +97,21 @@ _cuts: dict[str, SparkSession] = {}
 atexit.register(drop_cuts)
 
 
+@contextmanager
+def tagged(spark: SparkSession, tag: str):
+    """Jobs started within carry a tag, by which ``cancel`` ends them."""
+    spark.sparkContext.addJobTag(tag)
+    try:
+        yield
+    finally:
+        spark.sparkContext.removeJobTag(tag)
+
+
+def cancel(spark: SparkSession, tag: str) -> None:
+    """End the running jobs of a tag; the action that waits for them raises an error."""
+    spark.sparkContext.cancelJobsWithTag(tag)
+
+
 def _drop(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark._jvm

@@ -104,6 +104,22 @@ def follow(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.format("tidemark_follow").option("path", path).load()
 
 
+def searched(stream: DataFrame, query: str, regex: bool = False, sensitive: bool = False) -> DataFrame:
+    """The lines of a followed file that match a query, as they come: only new lines are searched."""
+    from pyspark.sql import functions as F
+
+    from ..operators.search import condition
+
+    return stream.where(condition(F.col("text"), query, regex, sensitive))
+
+
+def new_lines(batch: DataFrame) -> DataFrame:
+    """``generation, lines, last``: how many lines a batch (or table) of a followed file holds, and the number of the last."""
+    from pyspark.sql import functions as F
+
+    return batch.groupBy("generation").agg(F.count("*").alias("lines"), F.max("line").alias("last"))
+
+
 def windowed_counts(stream: DataFrame, late: str = "10 minutes", width: str = "1 minute") -> DataFrame:
     """Lines per level and time window of lines; on a stream, state of windows older than ``late`` is dropped by the watermark."""
     from pyspark.sql import functions as F
