@@ -51,8 +51,8 @@ _SEP = "\u0001"
 def layouts(lines: DataFrame) -> list[dict]:
     """The layouts of all lines (``text``, ``host``), mined from their templates.
 
-    What comes to the driver are the heads of templates as classes of tokens, in which all words look alike: its size
-    follows the number of layouts and of signs around their words, not of lines, words or templates.
+    What comes to the driver are the heads of templates as sequences of classes up to the second word behind the level, in which
+    all words look alike: its size follows the number of layouts and of the ways in which their messages begin, not of lines.
     """
     leaves = iplom.templates(iplom.counted(lines))
     keyed = (F.get("slots", F.lit(1))["token"] == "=") & (F.size("slots") > 3)
